@@ -198,25 +198,32 @@ def _broadcast_model(spark: SparkSession, model: BpeModel):
     return spark.sparkContext.broadcast(model)
 
 
+def _keys(key):
+    return [key] if isinstance(key, str) else list(key)
+
+
 def encode(spark: SparkSession, df: DataFrame, model: BpeModel,
-           key: str = "doc_id", text: str = "text") -> DataFrame:
+           key="doc_id", text: str = "text") -> DataFrame:
     """Per row: ids, tokens and code-point offsets into the original text.
-    Output: (doc_id, text, ids, tokens, starts, ends)."""
+    Output: (*keys, text, ids, tokens, starts, ends). Row-local, no shuffle."""
+    from ..session import ship_code
+    ship_code(spark)
+    keys = _keys(key)
     bc = _broadcast_model(spark, model)
     enc = _make_encoder(bc)
     t = F.col(text)
     aligned = _nfkc_align_udf(F.when(t.rlike(NEEDS_NFKC_RE), t))
-    step1 = df.select(F.col(key).alias("doc_id"), t.alias("text"), aligned.alias("al"))
+    step1 = df.select(*keys, t.alias("text"), aligned.alias("al"))
     norm = F.coalesce(F.col("al.norm"), F.col("text"))
     pieces = F.regexp_extract_all(norm, F.lit(PIECES_RE), 0)
-    step2 = step1.select("doc_id", "text", F.col("al.ostart").alias("ostart"),
+    step2 = step1.select(*keys, "text", F.col("al.ostart").alias("ostart"),
                          F.col("al.oend").alias("oend"), enc(pieces).alias("e"))
     has_al = F.col("ostart").isNotNull()
     starts = F.when(has_al, F.transform("e.starts", lambda s: F.element_at("ostart", s + 1))) \
         .otherwise(F.col("e.starts"))
     ends = F.when(has_al, F.transform("e.ends", lambda e: F.element_at("oend", e))) \
         .otherwise(F.col("e.ends"))
-    return step2.select("doc_id", "text", F.col("e.ids").alias("ids"),
+    return step2.select(*keys, "text", F.col("e.ids").alias("ids"),
                         F.col("e.tokens").alias("tokens"),
                         starts.alias("starts"), ends.alias("ends"))
 
@@ -225,34 +232,72 @@ def ids_csv(ids: Column) -> Column:
     return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
 
 
-def encode_summary(encoded: DataFrame) -> DataFrame:
-    """(doc_id, ids, tokens, ids_csv, token_count, compression_ratio):
-    ratio = characters incl. spaces / tokens, 0.0 for no tokens."""
+def compression_ratio(text: Column, ids: Column) -> Column:
+    """Characters incl. spaces per token; 0.0 when there is no token."""
+    n = F.size(ids)
+    return F.when(n > 0, F.length(text) / n).otherwise(F.lit(0.0)).cast("double")
+
+
+def ratio_text(r: Column) -> Column:
+    """f"{r:.2f}": Java's %.2f rounds exact binary ties (x.125) up where
+    Python rounds them to even; those ties are rounded half-even first."""
+    k = r * 1000
+    tie = (k == F.floor(k)) & (F.pmod(k, F.lit(10.0)) == 5)
+    return F.format_string("%.2f", F.when(tie, F.bround(r, 2)).otherwise(r))
+
+
+def encode_summary(encoded: DataFrame, key="doc_id") -> DataFrame:
+    """(*keys, ids, tokens, ids_csv, token_count, compression_ratio)."""
     n = F.size("ids")
-    ratio = F.when(n > 0, F.length("text") / n).otherwise(F.lit(0.0))
-    return encoded.select("doc_id", "ids", "tokens",
+    ratio = compression_ratio(F.col("text"), F.col("ids"))
+    return encoded.select(*_keys(key), "ids", "tokens",
                           ids_csv(F.col("ids")).alias("ids_csv"),
                           n.cast("int").alias("token_count"),
                           ratio.cast("double").alias("compression_ratio"))
 
 
-def token_offsets(encoded: DataFrame) -> DataFrame:
-    """(doc_id, token_idx, token, id, start, end), one row per token."""
+def token_offsets(encoded: DataFrame, key="doc_id") -> DataFrame:
+    """(*keys, token_idx, token, id, start, end), one row per token."""
+    keys = _keys(key)
     z = F.arrays_zip("tokens", "ids", "starts", "ends")
-    return (encoded.select("doc_id", F.posexplode(z).alias("token_idx", "t"))
-            .select("doc_id", F.col("token_idx").cast("int"),
+    return (encoded.select(*keys, F.posexplode(z).alias("token_idx", "t"))
+            .select(*keys, F.col("token_idx").cast("int"),
                     F.col("t.tokens").alias("token"), F.col("t.ids").alias("id"),
                     F.col("t.starts").alias("start"), F.col("t.ends").alias("end")))
 
 
+def json_ascii(c: Column) -> Column:
+    """A JSON string literal as json.dumps writes it (ensure_ascii): quote
+    and backslash escaped, control and non-ASCII characters as \\uXXXX
+    (surrogate pairs above the BMP)."""
+    def u4(x):
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(x)), 4, "0"))
+    short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t",
+             "\b": "\\b", "\f": "\\f"}
+
+    def one(ch):
+        cp = F.ascii(ch)
+        e = F.when(F.lit(False), F.lit(None))
+        for k, v in short.items():
+            e = e.when(ch == F.lit(k), F.lit(v))
+        hi = F.floor((cp - 0x10000) / 1024) + 0xD800
+        lo = F.pmod(cp - 0x10000, F.lit(1024)) + 0xDC00
+        return (e.when(cp < 0x20, u4(cp))
+                .when(cp < 0x7F + 1, ch)
+                .when(cp <= 0xFFFF, u4(cp))
+                .otherwise(F.concat(u4(hi), u4(lo))))
+    from .counts import chars
+    body = F.when(c.rlike(r'^[ !#-\[\]-~]*$'), c) \
+        .otherwise(F.array_join(F.transform(chars(c), one), ""))
+    return F.concat(F.lit('"'), body, F.lit('"'))
+
+
 def token_json(encoded: DataFrame) -> Column:
-    """JSON list of {"idx", "token", "id"} built as text so the spacing is
-    fixed (json.dumps default separators)."""
+    """json.dumps([{"idx": i, "token": t, "id": n}, ...]) as text."""
     z = F.arrays_zip("tokens", "ids")
-    esc = lambda s: F.regexp_replace(F.regexp_replace(s, r"\\", r"\\\\"), '"', r'\\"')
     items = F.transform(z, lambda x, i: F.concat(
-        F.lit('{"idx": '), i.cast("string"), F.lit(', "token": "'), esc(x["tokens"]),
-        F.lit('", "id": '), x["ids"].cast("string"), F.lit("}")))
+        F.lit('{"idx": '), i.cast("string"), F.lit(', "token": '), json_ascii(x["tokens"]),
+        F.lit(', "id": '), x["ids"].cast("string"), F.lit("}")))
     return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
 
 
@@ -337,8 +382,8 @@ def id_tokens(ids: Column, model: BpeModel, skip_special: bool = False) -> Colum
     voc = F.lit(list(model.vocab))
     n = len(model.vocab)
     lo = len(SPECIAL_TOKENS) if skip_special else 0
-    return F.transform(ids, lambda i: F.when((i >= 0) & (i < n), F.element_at(voc, (i + 1).cast("int")))
-                       .when(i < lo, F.lit(None)))
+    return F.transform(ids, lambda i: F.when((i >= lo) & (i < n),
+                                             F.element_at(voc, (i + 1).cast("int"))))
 
 
 def decode(df: DataFrame, model: BpeModel, key: str = "doc_id", ids: str = "ids",

@@ -139,3 +139,68 @@ def encode_ctes(src: str, key: str, text: str, steps: int) -> str:
         "list(wti.token ORDER BY pt.pi, wti.ti) AS tokens FROM pt JOIN wti ON wti.w = pt.w GROUP BY pt.doc_id) x "
         f"ON x.doc_id = d.{key})")
     return ",\n".join(parts)
+
+
+def cover_re() -> str:
+    """Pieces covering a whole text: pre-tokens and whitespace runs."""
+    return f"{PRETOKEN_RE2}|{WS_UNI}+"
+
+
+def encode_full_ctes(src: str, keys: list, text: str, steps: int, tag: str = "") -> str:
+    """Needs m{k} and vocab from bpe_ctes. Defines, with suffix `tag`:
+    pt (keys, w, pi, ps), wti (w, ti, id, token, tlen),
+    tk (keys, token_idx, token, id, start, end) and
+    enc (keys, text, ids, tokens) in token order."""
+    T, L = "chr(9)", "chr(10)"
+    K = ", ".join(keys)
+    P = lambda n: f"{n}{tag}"
+    parts = []
+    parts.append(
+        f"{P('pc')} AS MATERIALIZED (SELECT {K}, unnest(l) AS p, unnest(range(1, len(l) + 1)) AS k "
+        f"FROM (SELECT {K}, regexp_extract_all({text}, {q(cover_re())}) AS l FROM {src}))")
+    parts.append(
+        f"{P('pt')} AS MATERIALIZED (SELECT {K}, p AS w, row_number() OVER (PARTITION BY {K} ORDER BY k) AS pi, ps FROM "
+        f"(SELECT {K}, p, k, sum(length(p)) OVER (PARTITION BY {K} ORDER BY k ROWS UNBOUNDED PRECEDING) - length(p) AS ps "
+        f"FROM {P('pc')}) WHERE NOT regexp_matches(p, {q('^' + WS_UNI)}))")
+    parts.append(
+        f"{P('e0')} AS MATERIALIZED (SELECT w, {T} || array_to_string(regexp_extract_all(w, '(?s).'), {L} || {T}) || {L} AS sym "
+        f"FROM (SELECT DISTINCT w FROM {P('pt')}))")
+    for k in range(1, steps + 1):
+        parts.append(
+            f"{P(f'e{k}')} AS MATERIALIZED (SELECT w, coalesce(replace(sym, (SELECT {T} || \"left\" || {L} || {T} || \"right\" || {L} FROM m{k}), "
+            f"(SELECT {T} || merged || {L} FROM m{k})), sym) AS sym FROM {P(f'e{k - 1}')})")
+    parts.append(
+        f"{P('wt')} AS MATERIALIZED (SELECT w, unnest(s) AS tok, unnest(range(1, len(s) + 1)) AS ti FROM "
+        f"(SELECT w, string_split(substr(sym, 2, length(sym) - 2), {L} || {T}) AS s FROM {P(f'e{steps}')}))")
+    parts.append(
+        f"{P('wti')} AS MATERIALIZED (SELECT x.w, x.ti, coalesce(v.id, 1)::INT AS id, "
+        "CASE WHEN v.id IS NULL THEN '[UNK]' ELSE x.tok END AS token, length(x.tok) AS tlen "
+        f"FROM {P('wt')} x LEFT JOIN vocab v ON v.token = x.tok)")
+    parts.append(
+        f"{P('tk')} AS MATERIALIZED (SELECT {K}, (row_number() OVER (PARTITION BY {K} ORDER BY pi, ti) - 1)::INT AS token_idx, "
+        f"token, id, start::INT AS start, (start + tlen)::INT AS \"end\" FROM "
+        f"(SELECT {', '.join('a.' + k for k in keys)}, a.pi, b.ti, b.id, b.token, b.tlen, "
+        f"a.ps + sum(b.tlen) OVER (PARTITION BY {', '.join('a.' + k for k in keys)}, a.pi ORDER BY b.ti ROWS UNBOUNDED PRECEDING) - b.tlen AS start "
+        f"FROM {P('pt')} a JOIN {P('wti')} b ON b.w = a.w))")
+    parts.append(
+        f"{P('enc')} AS MATERIALIZED (SELECT {', '.join('d.' + k for k in keys)}, d.{text} AS text, "
+        "coalesce(x.ids, []::INT[]) AS ids, coalesce(x.tokens, []::VARCHAR[]) AS tokens FROM "
+        f"{src} d LEFT JOIN (SELECT {K}, list(id ORDER BY token_idx) AS ids, list(token ORDER BY token_idx) AS tokens "
+        f"FROM {P('tk')} GROUP BY {K}) x USING ({K}))")
+    return ",\n".join(parts)
+
+
+def word_positions_cte(src: str, keys: list, text: str, name: str = "wp") -> str:
+    K = ", ".join(keys)
+    cover = f"{WS_PY}+|[^{WS_PY[1:-1]}]+"
+    return (f"{name} AS MATERIALIZED (SELECT {K}, (row_number() OVER (PARTITION BY {K} ORDER BY k) - 1)::INT AS word_idx, "
+            f"p AS word, ps::INT AS start, (ps + length(p))::INT AS \"end\" FROM "
+            f"(SELECT {K}, p, k, sum(length(p)) OVER (PARTITION BY {K} ORDER BY k ROWS UNBOUNDED PRECEDING) - length(p) AS ps FROM "
+            f"(SELECT {K}, unnest(l) AS p, unnest(range(1, len(l) + 1)) AS k FROM "
+            f"(SELECT {K}, regexp_extract_all({text}, {q(cover)}) AS l FROM {src}))) "
+            f"WHERE NOT regexp_matches(p, {q('^' + WS_PY)}))")
+
+
+def json_token(x: str) -> str:
+    """json.dumps of an ASCII string (fixture tokens are ASCII or [UNK])."""
+    return "'\"' || replace(replace(" + x + ", '\\', '\\\\'), '\"', '\\\"') || '\"'"

@@ -238,12 +238,17 @@ def compression_ratio(text: Column, ids: Column) -> Column:
     return F.when(n > 0, F.length(text) / n).otherwise(F.lit(0.0)).cast("double")
 
 
+@F.pandas_udf(T.StringType())
+def _fmt_2f(r: pd.Series) -> pd.Series:
+    return r.map(lambda x: None if x is None or x != x else f"{x:.2f}")
+
+
 def ratio_text(r: Column) -> Column:
-    """f"{r:.2f}": Java's %.2f rounds exact binary ties (x.125) up where
-    Python rounds them to even; those ties are rounded half-even first."""
-    k = r * 1000
-    tie = (k == F.floor(k)) & (F.pmod(k, F.lit(10.0)) == 5)
-    return F.format_string("%.2f", F.when(tie, F.bround(r, 2)).otherwise(r))
+    """f"{r:.2f}" exactly as Python prints it (correct rounding of the binary
+    value); Java's %.2f rounds the shortest decimal form half-up instead
+    (2.675 -> 2.68 where Python gives 2.67), so this one text column uses
+    a vectorised helper."""
+    return _fmt_2f(r)
 
 
 def encode_summary(encoded: DataFrame, key="doc_id") -> DataFrame:

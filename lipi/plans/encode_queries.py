@@ -240,9 +240,9 @@ def round_trip(spark, sf):
 
 @query("decode_align", f"WITH {train_prefix()},\n{_enc('', 'conversations', CONV, 'text')},\n"
        "dec AS (SELECT conv_id, turn, array_to_string(tokens, ' ') AS text, ids AS given FROM enc),\n"
-       f"{_enc('2', 'dec', CONV, 'text')},\n{S.word_positions_cte('dec', CONV, 'text', 'wp2')},\n"
-       "ov2 AS (SELECT tk2.conv_id, tk2.turn, tk2.token_idx, wp2.word_idx, wp2.word FROM tk2 JOIN wp2 "
-       "ON tk2.conv_id = wp2.conv_id AND tk2.turn = wp2.turn AND tk2.start < wp2.\"end\" AND tk2.\"end\" > wp2.start),\n"
+       f"{_enc('_b', 'dec', CONV, 'text')},\n{S.word_positions_cte('dec', CONV, 'text', 'wp2')},\n"
+       "ov2 AS (SELECT tk_b.conv_id, tk_b.turn, tk_b.token_idx, wp2.word_idx, wp2.word FROM tk_b JOIN wp2 "
+       "ON tk_b.conv_id = wp2.conv_id AND tk_b.turn = wp2.turn AND tk_b.start < wp2.\"end\" AND tk_b.\"end\" > wp2.start),\n"
        "g AS (SELECT conv_id, turn, unnest(given) AS id, unnest(range(0, len(given))) AS token_idx FROM dec)\n"
        "SELECT g.conv_id, g.turn, g.token_idx::INT AS token_idx, g.id::INT AS id, "
        "coalesce((SELECT string_agg(word, ', ' ORDER BY word_idx) FROM (SELECT word, word_idx FROM ov2 "

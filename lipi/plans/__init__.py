@@ -1,6 +1,6 @@
 """Query registry: importing the query modules fills QUERIES / ORACLES."""
 
-from . import corpus_queries, encode_queries, model_queries  # noqa: F401
+from . import corpus_queries, encode_queries, model_queries, stream_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

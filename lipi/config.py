@@ -36,7 +36,9 @@ class TrainParams:
     checkpoint_every: int = 10
 
     def __post_init__(self):
-        if self.vocab_size < len(SPECIAL_TOKENS):
-            raise ValueError("vocab_size must hold the special tokens")
+        # A vocabulary smaller than specials + alphabet is allowed: the
+        # specials and the whole alphabet are always kept, no merge is made.
+        if self.vocab_size < 0:
+            raise ValueError("vocab_size must be >= 0")
         if self.min_frequency < 0:
             raise ValueError("min_frequency must be >= 0")

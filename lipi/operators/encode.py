@@ -414,5 +414,5 @@ def decode(df: DataFrame, model: BpeModel, key: str = "doc_id", ids: str = "ids"
     status = (F.when(~F.col("valid"), F.lit("invalid_id_list"))
               .when(unknown, F.lit("unknown_id"))
               .otherwise(F.lit("ok")))
-    return base.select("doc_id", F.col("ids").cast("array<int>").alias("ids"),
+    return base.select("doc_id", F.col("ids"),
                        F.when(F.col("valid"), text).alias("text"), status.alias("status"))

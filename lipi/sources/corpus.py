@@ -96,7 +96,7 @@ def dump_pages(spark: SparkSession, path: str) -> DataFrame:
     recs = (spark.read.option("lineSep", "<page>").text(path)
             .select(drop_bad_utf8(F.col("value").cast("binary").cast("string")).alias("rec"),
                     F.monotonically_increasing_id().alias("page_id")))
-    body = F.regexp_extract("rec", r"(?s)^[^\n]*\n(.*?)[^\n]*</page>", 1)
+    body = F.regexp_extract("rec", r"(?s)^[^\n]*\n(.*?)\n?[^\n]*</page>", 1)
     return (recs.filter(F.col("rec").contains("</page>"))
             .select("page_id", body.alias("body")))
 

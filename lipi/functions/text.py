@@ -20,6 +20,10 @@ WS_PY = (r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
 # Unicode White_Space (the `regex`-module flavour of \s): no \x1c-\x1f.
 WS_UNI = (r"[\t-\r\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
           r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+# The same two sets as literal characters (for trim()).
+WS_PY_CHARS = ("".join(map(chr, range(0x09, 0x0E))) + "".join(map(chr, range(0x1C, 0x21)))
+               + "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+               + "\u2028\u2029\u202f\u205f\u3000")
 # Default character allow-list of the page cleaner: the Devanagari block,
 # ASCII letters and digits, space and  । . ! ? , : ; ( ) " ' ’ “ ” - /
 DEFAULT_ALLOWED = r"\x{0900}-\x{097F}a-zA-Z0-9 \x{0964}.!?,:;()\"'\x{2019}\x{201C}\x{201D}\-/"
@@ -37,12 +41,16 @@ _UNIX = "(?d)"
 
 
 def py_strip(c: Column) -> Column:
-    """str.strip(): remove leading/trailing Unicode whitespace (not trim())."""
-    return F.regexp_replace(c, f"^{WS_PY}+|{WS_PY}+\\z", "")
+    """str.strip(): remove leading/trailing Unicode whitespace. trim() with
+    an explicit character set (plain trim() removes only 0x20)."""
+    return F.trim(c, F.lit(WS_PY_CHARS))
 
 
 def collapse_ws(c: Column, ws: str = WS_PY) -> Column:
-    return F.regexp_replace(c, f"{ws}+", " ")
+    """Every whitespace run -> one space. A run that already is one space is
+    left alone (no match), so ordinary text costs no replacement."""
+    not_space = ws[:-1] + "&&[^ ]]"
+    return F.regexp_replace(c, f" {ws}+|{not_space}{ws}*", " ")
 
 
 def strip_tags(c: Column) -> Column:

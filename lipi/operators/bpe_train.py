@@ -126,9 +126,29 @@ def _accept(top, vocab_texts: set, vocab_count: int, params: TrainParams,
 def train_bpe(spark: SparkSession, lines: DataFrame, line: str = "line",
               params: TrainParams = TrainParams(), batch: bool = True,
               word_table: DataFrame | None = None) -> TrainResult:
-    """Train a BPE vocabulary on the lines of a corpus table."""
+    """Train a BPE vocabulary on the lines of a corpus table.
+
+    The rounds run with adaptive execution off: each round is two short jobs
+    over a cached table whose shuffles are already shrunk by partial
+    aggregation, and re-planning every stage costs more than it saves
+    (measured: 33 s -> 22 s for 23 rounds). The caller's setting is
+    restored afterwards."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        return _train(spark, lines, line, params, batch, word_table)
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def _train(spark, lines, line, params, batch, word_table) -> TrainResult:
     ensure_checkpoint_dir(spark)
-    wc = word_table if word_table is not None else word_counts(lines, line)
+    owned = word_table is None
+    wc = word_counts(lines, line) if owned else word_table
     wc = wc.persist()
     alpha_rows = alphabet(wc).select("ch").collect()
     alpha = sorted(r["ch"] for r in alpha_rows)
@@ -141,7 +161,7 @@ def train_bpe(spark: SparkSession, lines: DataFrame, line: str = "line",
     k = params.candidates_per_round if batch else 1
     merges = []
     rounds = 0
-    old = [wc]
+    old = [wc] if owned else []
     while True:
         rounds += 1
         top = [(r["l"], r["r"], r["n"]) for r in top_pairs(pair_counts(words), k).collect()]

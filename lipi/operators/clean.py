@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import FILTER_MIN_CHARS, PAGE_MIN_CHARS_EXCLUSIVE
 from ..functions.text import DEFAULT_ALLOWED, clean_line, py_strip
+from ..session import keep_rows
 
 
 def clean_texts(df: DataFrame, key: str, text: str,
@@ -22,15 +23,14 @@ def clean_corpus(df: DataFrame, key: str = "doc_id", text: str = "text",
                  min_exclusive: int = PAGE_MIN_CHARS_EXCLUSIVE) -> DataFrame:
     """Cleaned page lines kept when longer than `min_exclusive` characters.
     One narrow stage: scan -> regex -> filter, no shuffle."""
-    return clean_texts(df, key, text, allowed).filter(F.col("n_chars") > min_exclusive)
+    return keep_rows(clean_texts(df, key, text, allowed), F.col("n_chars") > min_exclusive)
 
 
 def filter_corpus(lines: DataFrame, line: str = "clean",
                   min_len: int = FILTER_MIN_CHARS) -> DataFrame:
     """Second-pass filter: strip, keep lines of at least `min_len` chars."""
     stripped = py_strip(F.col(line))
-    return (lines.withColumn(line, stripped)
-            .filter(F.length(F.col(line)) >= F.lit(min_len)))
+    return keep_rows(lines.withColumn(line, stripped), F.length(F.col(line)) >= F.lit(min_len))
 
 
 def clean_corpus_stats(df: DataFrame, key: str = "doc_id", text: str = "text",

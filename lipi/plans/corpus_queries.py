@@ -8,7 +8,7 @@ from ..config import DEFAULT_EVAL_LINES, DEFAULT_STATS_LINES
 from ..functions import text as tx
 from ..operators import clean as cl
 from ..operators import counts as ct
-from ..session import read_table
+from ..session import keep_rows, read_table
 from ..sources import corpus as src
 from . import sqltext as S
 from .registry import query
@@ -114,7 +114,7 @@ WITH {S.corpus_clean_cte()}
 SELECT doc_id, e AS line FROM (SELECT doc_id, {S.eval_clean('clean')} AS e FROM corpus) WHERE e <> ''""")
 def eval_lines(spark, sf):
     c = corpus(spark, sf)
-    return c.select("doc_id", tx.eval_clean(F.col("clean")).alias("line")).filter(F.col("line") != "")
+    return keep_rows(c.select("doc_id", tx.eval_clean(F.col("clean")).alias("line")), F.col("line") != "")
 
 
 @query("pretokenize", f"""

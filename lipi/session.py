@@ -102,3 +102,12 @@ def keep_rows(df, cond):
     once."""
     from pyspark.sql import functions as F
     return df.select(F.inline(F.when(cond, F.array(F.struct(*[F.col(c) for c in df.columns])))))
+
+
+def first_n(df, n, *order):
+    """The first n rows in `order` (a top-k, TakeOrderedAndProject), dealt
+    over the cores. The repartition also keeps later Python UDFs above the
+    limit; otherwise the optimizer moves the projection below it and the
+    UDF runs on every row before the cut."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.orderBy(*order).limit(n).repartition(par)

@@ -20,14 +20,16 @@ from .registry import query
 @query("stream_word_counts", f"WITH {S.corpus_clean_cte()}, {S.word_counts_cte()} SELECT word, cnt FROM wc")
 def stream_word_counts(spark, sf):
     """The chunked feed as a file stream; final state equals word_counts."""
-    docs = feed.file_stream(spark, sf, "documents.parquet")
+    docs = feed.file_stream(spark, sf, "documents.parquet",
+                            spread=spark.sparkContext.defaultParallelism)
     final, _ = feed.stream_word_counts(spark, docs)
     return final
 
 
 @query("stream_encode", f"WITH {train_prefix()},\n{_enc('', 'conversations', CONV, 'text')}\n{_summary_sql(CONV)}")
 def stream_encode(spark, sf):
-    convs = feed.file_stream(spark, sf, "conversations.parquet")
+    convs = feed.file_stream(spark, sf, "conversations.parquet",
+                             spread=spark.sparkContext.defaultParallelism)
     out = feed.stream_encode(spark, convs, model_of(spark, sf), CONV, "text")
     return out.select(*CONV, "ids_csv", "token_count", "compression_ratio")
 

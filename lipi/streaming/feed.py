@@ -22,13 +22,16 @@ from ..session import ensure_checkpoint_dir
 
 
 def file_stream(spark: SparkSession, directory: str, file_glob: str,
-                max_files_per_trigger: int = 1) -> DataFrame:
-    """Parquet files of `directory` matching `file_glob` as a stream."""
+                max_files_per_trigger: int = 1, spread: int | None = None) -> DataFrame:
+    """Parquet files of `directory` matching `file_glob` as a stream.
+    `spread`: deal each micro-batch over that many tasks (for triggers made
+    of few large files); leave None when a trigger already has many splits."""
     schema = spark.read.option("pathGlobFilter", file_glob).parquet(directory).schema
-    return (spark.readStream.schema(schema)
-            .option("maxFilesPerTrigger", max_files_per_trigger)
-            .option("pathGlobFilter", file_glob)
-            .parquet(directory))
+    df = (spark.readStream.schema(schema)
+          .option("maxFilesPerTrigger", max_files_per_trigger)
+          .option("pathGlobFilter", file_glob)
+          .parquet(directory))
+    return df.repartition(spread) if spread else df
 
 
 def _work_dir(spark: SparkSession, name: str) -> str:

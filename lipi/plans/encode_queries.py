@@ -169,9 +169,8 @@ def token_labels(spark, sf):
 @query("word_first_token", _OVERLAP +
        "SELECT doc_id, word_idx, arg_min(id, token_idx) AS token_id FROM ov GROUP BY 1, 2")
 def word_first_token(spark, sf):
-    ov = _overlap(spark, sf)[2]
-    toks = en.token_offsets(enc_docs(spark, sf), DOC).select("doc_id", "token_idx", "id")
-    return (ov.join(toks, ["doc_id", "token_idx"])
+    toks, _, ov = _overlap(spark, sf)
+    return (ov.join(toks.select("doc_id", "token_idx", "id"), ["doc_id", "token_idx"])
             .groupBy("doc_id", "word_idx").agg(F.min_by("id", "token_idx").alias("token_id")))
 
 

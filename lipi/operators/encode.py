@@ -383,8 +383,22 @@ def id_tokens(ids: Column, model: BpeModel, skip_special: bool = False) -> Colum
                                              F.element_at(voc, (i + 1).cast("int"))))
 
 
+# --- Fixed values: the clean-up of tokenization spaces (optional decode
+# step), applied in this order: " ." " ?" " !" " ," " ' " " n't" " 'm"
+# " 's" " 've" " 're" lose their leading space (" ' " becomes "'").
+CLEANUP_REPLACEMENTS = ((" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" ' ", "'"),
+                        (" n't", "n't"), (" 'm", "'m"), (" 's", "'s"), (" 've", "'ve"),
+                        (" 're", "'re"))
+
+
+def cleanup_spaces(c: Column) -> Column:
+    for a, b in CLEANUP_REPLACEMENTS:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
 def decode(df: DataFrame, model: BpeModel, key: str = "doc_id", ids: str = "ids",
-           skip_special: bool = False, sep: str = " ") -> DataFrame:
+           skip_special: bool = False, sep: str = " ", cleanup: bool = False) -> DataFrame:
     """ids -> text: tokens joined by one space (no decoder is configured).
     Unknown ids are skipped and flagged. Input ids: an integer array or a
     CSV string (parsed as the decode endpoint does). Row-local: no shuffle.
@@ -402,6 +416,8 @@ def decode(df: DataFrame, model: BpeModel, key: str = "doc_id", ids: str = "ids"
     toks = F.transform("ids", lambda i: F.when((i >= lo) & (i < n),
                                                F.element_at(voc, (i + 1).cast("int"))))
     text = F.array_join(F.filter(toks, lambda t: t.isNotNull()), sep)
+    if cleanup:
+        text = cleanup_spaces(text)
     unknown = F.exists("ids", lambda i: i >= n)
     status = (F.when(~F.col("valid"), F.lit("invalid_id_list"))
               .when(unknown, F.lit("unknown_id"))

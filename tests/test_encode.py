@@ -123,3 +123,10 @@ def test_md5_fold_equals_python(spark):
         h = int(hashlib.md5(r["k"].encode()).hexdigest(), 16)
         assert r["h"] == h % 360
         assert r["c"] == f"hsl({h % 360}, {60 + h % 30}%, {75 + h % 15}%)"
+
+
+def test_decode_cleanup_option(spark):
+    model = BpeModel(("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "a", ".", "'", "s", ",", "n't"), ())
+    df = spark.createDataFrame([(0, [5, 9, 5, 7, 8, 5, 6])], "doc_id long, ids array<int>")
+    assert en.decode(df, model).collect()[0]["text"] == "a , a ' s a ."
+    assert en.decode(df, model, cleanup=True).collect()[0]["text"] == "a, a's a."

@@ -101,3 +101,13 @@ def test_artefacts_round_trip(spark):
     v1, m1, model1 = train_or_load(spark, lines, path, params=TrainParams(vocab_size=20, min_frequency=1))
     v2, m2, model2 = train_or_load(spark, lines, path)
     assert model1 == model2 and "abc" in model2.vocab
+
+
+def test_write_corpus_counts_in_same_pass(spark):
+    from lipi.operators.clean import clean_corpus, write_corpus
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    corpus = clean_corpus(docs)
+    out = tempfile.mkdtemp(prefix="lipi-corpus-") + "/clean"
+    stats = write_corpus(corpus, out)
+    back = spark.read.text(out)
+    assert stats["lines"] == back.count() == corpus.count()

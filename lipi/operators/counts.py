@@ -41,17 +41,6 @@ def to_symbols(word: Column) -> Column:
                     F.lit(SYM_CLOSE))
 
 
-def symbol_array(sym: Column) -> Column:
-    inner = F.substring(sym, 2, F.length(sym) - 2)
-    return F.split(inner, SYM_CLOSE + SYM_OPEN)
-
-
-def adjacent_pairs(syms: Column) -> Column:
-    n = F.size(syms) - 1
-    return F.zip_with(F.slice(syms, 1, n), F.slice(syms, 2, n),
-                      lambda a, b: F.struct(a.alias("l"), b.alias("r")))
-
-
 # Every adjacent symbol pair, overlapping, as its delimited text: a
 # zero-width look-ahead match at each symbol start captures the next two
 # symbols. Plain regex, so it stays inside whole-stage codegen (a zip_with

@@ -90,3 +90,17 @@ def test_encode_word_lowest_rank_first():
     assert encode_word("abc", tok2id, ranks) == [("abc", 10)]
     assert encode_word("abab", tok2id, ranks) == [("ab", 8), ("ab", 8)]
     assert encode_word("aéb", tok2id, ranks) == [("a", 5), ("é", 1), ("b", 6)]
+
+
+def test_same_merges_for_any_partitioning(spark):
+    lines = ["the then there these", "other brother the", "aaa aaaa aa"] * 3
+    out = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            df = lines_df(spark, lines).repartition(int(parts))
+            out.append(train_bpe(spark, df, "line", TrainParams(vocab_size=60, min_frequency=2)).merge_list)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert out[0] == out[1] and out[0]

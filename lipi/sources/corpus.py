@@ -47,7 +47,7 @@ def text_file_lines(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def page_bodies_from_lines(lines: DataFrame) -> DataFrame:
+def page_bodies_from_lines(lines: DataFrame, buckets: int | None = None) -> DataFrame:
     """Page assembly over an ordered, line-split dump (doc_id, line_no, line).
 
     A line holding "<page>" opens a page (and drops whatever was being
@@ -55,27 +55,40 @@ def page_bodies_from_lines(lines: DataFrame) -> DataFrame:
     between joined by "\\n"; marker lines themselves are not kept; lines
     outside pages and an unterminated page are dropped.
 
-    Spark form: a page key = the line_no of the latest opening marker at or
-    before the line (running max, per dump), the next closing marker after
-    it, and a group by page. The running max is per dump (doc_id), so the
-    window never spans dumps.
+    A line's page is the latest opening marker at or before it, and the page
+    is still open if no closing marker came after that opening. Both are
+    running maxima along the dump, computed in two levels so that a dump of
+    any size is spread over many tasks: lines are range-partitioned into
+    balanced buckets, a window inside each (bucket, dump) gives the maxima
+    there, and one row per (dump, bucket) carries the maxima of the earlier
+    buckets forward. Only a page (bounded) is ever collected into one group.
     """
     from pyspark.sql import Window as W
-    upto = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(
-        W.unboundedPreceding, W.currentRow)
-    before = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(
-        W.unboundedPreceding, -1)
+    sc = lines.sparkSession.sparkContext
+    p = buckets or sc.defaultParallelism
     is_open = F.col("line").contains("<page>")
     is_close = F.col("line").contains("</page>") & ~is_open
-    marked = lines.select(
-        "doc_id", "line_no", "line",
-        is_open.alias("is_open"),
-        is_close.alias("is_close"),
-        F.max(F.when(is_open, F.col("line_no"))).over(upto).alias("page_start"),
-        F.max(F.when(is_close, F.col("line_no"))).over(before).alias("prev_close"),
-    )
-    # The page opened at page_start is still open on this line.
-    open_page = marked.filter(
+    marked = (lines.select("doc_id", "line_no", "line", is_open.alias("is_open"), is_close.alias("is_close"))
+              .repartitionByRange(p, "doc_id", "line_no")
+              .withColumn("bucket", F.spark_partition_id())
+              .checkpoint(eager=True))  # fixes each line's bucket
+    open_no = F.when(F.col("is_open"), F.col("line_no"))
+    close_no = F.when(F.col("is_close"), F.col("line_no"))
+    inb = W.partitionBy("doc_id", "bucket").orderBy("line_no")
+    local = marked.select(
+        "*",
+        F.max(open_no).over(inb.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("open_in"),
+        F.max(close_no).over(inb.rowsBetween(W.unboundedPreceding, -1)).alias("close_in"))
+    earlier = W.partitionBy("doc_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    carry = (marked.groupBy("doc_id", "bucket")
+             .agg(F.max(open_no).alias("o"), F.max(close_no).alias("c"))
+             .select("doc_id", "bucket", F.max("o").over(earlier).alias("o_prev"),
+                     F.max("c").over(earlier).alias("c_prev")))
+    full = local.join(carry, ["doc_id", "bucket"]).select(
+        "doc_id", "line_no", "line", "is_open", "is_close",
+        F.greatest("open_in", "o_prev").alias("page_start"),
+        F.greatest("close_in", "c_prev").alias("prev_close"))
+    open_page = full.filter(
         F.col("page_start").isNotNull()
         & (F.col("prev_close").isNull() | (F.col("prev_close") < F.col("page_start"))))
     bodies = (open_page.filter(~F.col("is_open") & ~F.col("is_close"))

@@ -111,3 +111,15 @@ def test_write_corpus_counts_in_same_pass(spark):
     stats = write_corpus(corpus, out)
     back = spark.read.text(out)
     assert stats["lines"] == back.count() == corpus.count()
+
+
+def test_page_assembly_one_dump_over_many_buckets(spark):
+    import random
+    rnd = random.Random(7)
+    lines = []
+    for i in range(400):
+        lines.append(rnd.choice(["<page>", "</page>", "text %d" % i, "text", "  <page>", "x </page>"]))
+    df = spark.createDataFrame([(0, "\n".join(lines))], "doc_id long, text string")
+    for b in (1, 7, 23):
+        got = src.page_bodies_from_lines(src.document_lines(df), buckets=b).orderBy("page_start").collect()
+        assert [r["body"] for r in got] == py_pages(lines)

@@ -75,7 +75,7 @@ def py_strip(c: Column) -> Column:
 def collapse_ws(c: Column, ws: str = WS_PY) -> Column:
     """Every whitespace run -> one space. A run that already is one space is
     left alone (no match), so ordinary text costs no replacement."""
-    not_space = ws[:-1] + "&&[^ ]]"
+    not_space = ws.replace(r"\x{1c}-\x{20}", r"\x{1c}-\x{1f}").replace(r"\x{20}", "")
     return F.regexp_replace(c, f" {ws}+|{not_space}{ws}*", " ")
 
 

@@ -67,17 +67,19 @@ _CACHE_LIMIT = 500_000
 
 
 def _tables(model: BpeModel):
-    key = id(model)
-    t = _TABLES.get(key)
-    if t is None:
+    # The entry holds the model itself, so its id() cannot be reused by a
+    # later model while the entry lives (a freed broadcast value's address
+    # can be handed to the next one; an id-only key then serves stale ids).
+    t = _TABLES.get(id(model))
+    if t is None or t[0] is not model:
         tok2id = {tok: i for i, tok in enumerate(model.vocab)}
         ranks = {}
         for r, (a, b) in enumerate(model.merges):
             ranks.setdefault((a, b), (r, a + b))
-        t = (tok2id, ranks, {})
+        t = (model, tok2id, ranks, {})
         _TABLES.clear()
-        _TABLES[key] = t
-    return t
+        _TABLES[id(model)] = t
+    return t[1:]
 
 
 def encode_word(word: str, tok2id: dict, ranks: dict) -> list:

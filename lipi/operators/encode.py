@@ -13,6 +13,7 @@ import re
 import unicodedata
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -332,6 +333,78 @@ def word_positions(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                        (F.col("x.s") + F.length("x.w")).cast("int").alias("end"))
 
 
+_SPAN_SCHEMA = T.StructType([
+    T.StructField("wt", T.ArrayType(T.StringType())),
+    T.StructField("ws", T.ArrayType(T.IntegerType())),
+    T.StructField("lo", T.ArrayType(T.IntegerType())),
+    T.StructField("hi", T.ArrayType(T.IntegerType())),
+])
+
+
+def _spans(text, starts, ends):
+    ms = list(_NON_SPACE.finditer(text))
+    wt = [m.group() for m in ms]
+    ws = np.fromiter((m.start() for m in ms), np.int64, len(ms))
+    we = np.fromiter((m.end() for m in ms), np.int64, len(ms))
+    ts = np.asarray([np.nan if x is None else x for x in (starts if starts is not None else [])], float)
+    te = np.asarray([np.nan if x is None else x for x in (ends if ends is not None else [])], float)
+    ok = ~(np.isnan(ts) | np.isnan(te)) & (te > ts)
+    # Words are sorted and disjoint: the words a span [ts, te) overlaps are
+    # exactly those with we > ts and ws < te, a contiguous index range.
+    lo = np.searchsorted(we, np.where(ok, ts, 0), side="right")
+    hi = np.where(ok, np.maximum(np.searchsorted(ws, np.where(ok, te, 0), side="left"), lo), lo)
+    return wt, ws.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)
+
+
+@F.pandas_udf(_SPAN_SCHEMA)
+def _spans_udf(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    cols = {"wt": [], "ws": [], "lo": [], "hi": []}
+    for t, s, e in zip(texts, starts, ends):
+        got = (None,) * 4 if t is None else _spans(t, s, e)
+        for k, v in zip(cols, got):
+            cols[k].append(v)
+    return pd.DataFrame(cols)
+
+
+def token_word_spans(encoded: DataFrame) -> DataFrame:
+    """Adds, per encoded row, the words of its text (`wt` word, `ws` start,
+    as re.finditer(r'\\S+')) and for every token the range [lo, hi) of word
+    indices its span overlaps (ts < we and te > ws; tokens without a span
+    get an empty range).
+
+    Tokens and words come from the same row, so the token/word range join
+    is solved inside the row by binary search, O((T + W) log W) per text:
+    no shuffle, no tokens x words loop, unaffected by hot keys."""
+    sp = _spans_udf(F.col("text"), F.col("starts"), F.col("ends"))
+    cols = [c for c in encoded.columns]
+    return encoded.select(*cols, sp.alias("sp")).select(
+        *cols, *[F.col(f"sp.{k}").alias(k) for k in ("wt", "ws", "lo", "hi")])
+
+
+def token_word_ranges(spanned: DataFrame, key="doc_id") -> DataFrame:
+    """One row per token: (*keys, token_idx, id, lo, hi, wt)."""
+    keys = _keys(key)
+    z = F.arrays_zip(F.col("ids").alias("id"), F.col("lo").alias("lo"), F.col("hi").alias("hi"))
+    return (spanned.select(*keys, "wt", F.posexplode(z).alias("token_idx", "r"))
+            .select(*keys, F.col("token_idx").cast("int"), F.col("r.id").alias("id"),
+                    F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"), "wt"))
+
+
+def overlap_pairs(spanned: DataFrame, key="doc_id") -> DataFrame:
+    """(*keys, token_idx, word_idx, id) for every overlapping pair, row-local."""
+    keys = _keys(key)
+    r = token_word_ranges(spanned, keys).filter(F.col("hi") > F.col("lo"))
+    return r.select(*keys, "token_idx", "id",
+                    F.explode(F.sequence("lo", F.col("hi") - 1)).alias("word_idx")) \
+        .select(*keys, "token_idx", F.col("word_idx").cast("int"), "id")
+
+
+def token_label(lo: Column, hi: Column, words: Column) -> Column:
+    """The first two overlapping words joined by ', ', else ''."""
+    n = F.least(hi - lo, F.lit(2))
+    return F.when(hi > lo, F.array_join(F.slice(words, lo + 1, n), ", ")).otherwise(F.lit(""))
+
+
 def overlap_join(tokens: DataFrame, words: DataFrame, block: int = 64) -> DataFrame:
     """Token/word pairs whose spans overlap (ts < we and te > ws).
 

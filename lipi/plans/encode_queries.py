@@ -131,25 +131,23 @@ _OVERLAP = (f"WITH {train_prefix()},\n{_enc('', 'documents', DOC, 'text')},\n"
             "ON tk.doc_id = wp.doc_id AND tk.start < wp.\"end\" AND tk.\"end\" > wp.start)\n")
 
 
-def _overlap(spark, sf):
-    e = enc_docs(spark, sf)
-    toks = en.token_offsets(e, DOC)
-    words = en.word_positions(read_table(spark, sf, "documents"), "doc_id", "text")
-    return toks, words, en.overlap_join(toks, words)
+def _spanned(spark, sf):
+    """Encoded documents with their words and per-token word ranges, all
+    computed inside each document row (no join, no shuffle)."""
+    return en.token_word_spans(enc_docs(spark, sf))
 
 
 @query("token_word_overlap", _OVERLAP + "SELECT doc_id, token_idx, word_idx FROM ov")
 def token_word_overlap(spark, sf):
-    return _overlap(spark, sf)[2]
+    return en.overlap_pairs(_spanned(spark, sf), DOC).select("doc_id", "token_idx", "word_idx")
 
 
 @query("token_word_map", _OVERLAP +
        "SELECT doc_id, token_idx, string_agg(word_idx::VARCHAR, ',' ORDER BY word_idx) AS word_idxs FROM ov GROUP BY 1, 2")
 def token_word_map(spark, sf):
-    ov = _overlap(spark, sf)[2]
-    return (ov.groupBy("doc_id", "token_idx")
-            .agg(F.array_join(F.array_sort(F.collect_list(F.col("word_idx").cast("string"))), ",").alias("l"))
-            .select("doc_id", "token_idx", F.col("l").alias("word_idxs")))
+    r = en.token_word_ranges(_spanned(spark, sf), DOC).filter(F.col("hi") > F.col("lo"))
+    idxs = F.transform(F.sequence("lo", F.col("hi") - 1), lambda x: x.cast("string"))
+    return r.select("doc_id", "token_idx", F.array_join(idxs, ",").alias("word_idxs"))
 
 
 @query("token_labels", _OVERLAP +
@@ -157,27 +155,21 @@ def token_word_map(spark, sf):
        "(SELECT word, word_idx FROM ov WHERE ov.doc_id = tk.doc_id AND ov.token_idx = tk.token_idx ORDER BY word_idx LIMIT 2)), '') AS label "
        "FROM tk")
 def token_labels(spark, sf):
-    toks, words, ov = _overlap(spark, sf)
-    per = (ov.join(words.select("doc_id", "word_idx", "word"), ["doc_id", "word_idx"])
-           .groupBy("doc_id", "token_idx")
-           .agg(F.array_sort(F.collect_list(F.struct("word_idx", "word"))).alias("ws")))
-    label = F.array_join(F.transform(F.slice("ws", 1, 2), lambda x: x["word"]), ", ")
-    return (toks.select("doc_id", "token_idx").join(per, ["doc_id", "token_idx"], "left")
-            .select("doc_id", "token_idx", F.coalesce(label, F.lit("")).alias("label")))
+    r = en.token_word_ranges(_spanned(spark, sf), DOC)
+    return r.select("doc_id", "token_idx", en.token_label(F.col("lo"), F.col("hi"), F.col("wt")).alias("label"))
 
 
 @query("word_first_token", _OVERLAP +
        "SELECT doc_id, word_idx, arg_min(id, token_idx) AS token_id FROM ov GROUP BY 1, 2")
 def word_first_token(spark, sf):
-    toks, _, ov = _overlap(spark, sf)
-    return (ov.join(toks.select("doc_id", "token_idx", "id"), ["doc_id", "token_idx"])
-            .groupBy("doc_id", "word_idx").agg(F.min_by("id", "token_idx").alias("token_id")))
+    ov = en.overlap_pairs(_spanned(spark, sf), DOC)
+    return ov.groupBy("doc_id", "word_idx").agg(F.min_by("id", "token_idx").alias("token_id"))
 
 
 @query("word_token_lists", _OVERLAP +
        "SELECT doc_id, word_idx, string_agg(token_idx::VARCHAR, ',' ORDER BY token_idx) AS token_idxs FROM ov GROUP BY 1, 2")
 def word_token_lists(spark, sf):
-    ov = _overlap(spark, sf)[2]
+    ov = en.overlap_pairs(_spanned(spark, sf), DOC)
     return (ov.groupBy("doc_id", "word_idx")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list("token_idx")), lambda x: x.cast("string")), ",")
                  .alias("token_idxs")))
@@ -254,20 +246,21 @@ def decode_align(spark, sf):
     given = enc_convs(spark, sf).select(*CONV, "ids")
     dec = en.decode(given.withColumn("k", F.struct(*CONV)), m, "k", "ids") \
         .select(F.col("doc_id.conv_id").alias("conv_id"), F.col("doc_id.turn").alias("turn"), "ids", "text")
-    re_enc = en.encode(spark, dec.select(*CONV, "text"), m, CONV, "text")
-    toks = en.token_offsets(re_enc, CONV)
-    k = F.concat_ws(":", "conv_id", "turn")
-    words = en.word_positions(dec.withColumn("doc_id", k), "doc_id", "text")
-    tk = toks.withColumn("doc_id", k)
-    ov = en.overlap_join(tk, words)
-    per = (ov.join(words.select("doc_id", "word_idx", "word"), ["doc_id", "word_idx"])
-           .groupBy("doc_id", "token_idx")
-           .agg(F.array_sort(F.collect_list(F.struct("word_idx", "word"))).alias("ws")))
-    label = F.array_join(F.transform(F.slice("ws", 1, 2), lambda x: x["word"]), ", ")
-    g = (dec.select(*CONV, k.alias("doc_id"), F.posexplode("ids").alias("token_idx", "id"))
-         .select(*CONV, "doc_id", F.col("token_idx").cast("int"), F.col("id").cast("int")))
-    return (g.join(per, ["doc_id", "token_idx"], "left")
-            .select(*CONV, "token_idx", "id", F.coalesce(label, F.lit("")).alias("label")))
+    # The given ids ride along as a key column, so the re-encoded tokens,
+    # the words of the decoded text and the given ids meet in one row.
+    re_enc = en.encode(spark, dec.select(*CONV, F.col("ids").alias("given"), "text"), m,
+                       CONV + ["given"], "text")
+    sp = en.token_word_spans(re_enc)
+    # Label of re-encoded token i goes to given id i (an index match, as in
+    # the original; indices past the re-encoding get no label).
+    labels = F.transform("lo", lambda lo, i: en.token_label(lo, F.col("hi")[i], F.col("wt")))
+    # Labels are projected once, then the given ids are exploded next to
+    # them (labels[i] inside a transform over ids would rebuild the array
+    # for every id).
+    lab = sp.select(*CONV, "given", labels.alias("labels"))
+    return (lab.select(*CONV, "labels", F.posexplode("given").alias("token_idx", "id"))
+            .select(*CONV, F.col("token_idx").cast("int"), F.col("id").cast("int"),
+                    F.coalesce(F.try_element_at("labels", F.col("token_idx") + 1), F.lit("")).alias("label")))
 
 
 # ---- evaluation ------------------------------------------------------------------

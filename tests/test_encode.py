@@ -130,3 +130,22 @@ def test_decode_cleanup_option(spark):
     df = spark.createDataFrame([(0, [5, 9, 5, 7, 8, 5, 6])], "doc_id long, ids array<int>")
     assert en.decode(df, model).collect()[0]["text"] == "a , a ' s a ."
     assert en.decode(df, model, cleanup=True).collect()[0]["text"] == "a, a's a."
+
+
+def test_row_local_spans_match_brute_force(spark):
+    """The in-row binary search gives the same token/word pairs and labels
+    as a plain nested loop over the spans."""
+    texts = ["abc abd, cab.", "  किन abc x", "ﬁab ab", "", "a b  c\td"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sp = en.token_word_spans(en.encode(spark, df, MODEL))
+    toks = en.token_offsets(en.encode(spark, df, MODEL)).collect()
+    words = {i: [(m.group(), m.start(), m.end()) for m in re.finditer(r"\S+", t)] for i, t in enumerate(texts)}
+    brute = {(t["doc_id"], t["token_idx"], k) for t in toks for k, (_, ws, we) in enumerate(words[t["doc_id"]])
+             if t["start"] is not None and t["start"] < we and t["end"] > ws}
+    got = {(r["doc_id"], r["token_idx"], r["word_idx"]) for r in en.overlap_pairs(sp).collect()}
+    assert got == brute
+    labels = {(r["doc_id"], r["token_idx"]): r["label"] for r in en.token_word_ranges(sp).select(
+        "doc_id", "token_idx", en.token_label(F.col("lo"), F.col("hi"), F.col("wt")).alias("label")).collect()}
+    for t in toks:
+        ks = sorted(k for d, ti, k in brute if d == t["doc_id"] and ti == t["token_idx"])
+        assert labels[(t["doc_id"], t["token_idx"])] == ", ".join(words[t["doc_id"]][k][0] for k in ks[:2])

@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..functions.ids import md5_bucket
 from ..operators import encode as en
 from ..operators import evaluate as ev
+from ..sources import corpus as corpus_src
 from ..session import first_n, keep_rows, read_table
 from . import sqltext as S
 from .corpus_queries import corpus, corpus_lines, eval_lines, raw_sample
@@ -300,11 +301,10 @@ SELECT lang, sentences, chars_no_space, tokens, tokens_per_sentence, tokens_per_
 def eval_by_lang(spark, sf):
     """Evaluation over every non-empty line of every document, per language
     (the vocabulary knows only the characters the cleaned corpus kept)."""
-    docs = read_table(spark, sf, "documents")
-    lines = corpus_lines(spark, sf).join(docs.select("doc_id", "lang"), "doc_id")
-    src = keep_rows(lines.select("doc_id", "line_no", "lang", tx.eval_clean(F.col("line")).alias("text")),
-                    F.col("text") != "")
-    e = en.encode(spark, src, model_of(spark, sf), ["doc_id", "line_no", "lang"], "text")
+    lines = corpus_src.document_lines(read_table(spark, sf, "documents"), carry=["lang"])
+    rows = keep_rows(lines.select("doc_id", "line_no", "lang", tx.eval_clean(F.col("line")).alias("text")),
+                     F.col("text") != "")
+    e = en.encode(spark, rows, model_of(spark, sf), ["doc_id", "line_no", "lang"], "text")
     return ev.metrics(e, group=["lang"])
 
 

@@ -20,13 +20,15 @@ def _file_lines(text: Column) -> Column:
 
 
 def document_lines(docs: DataFrame, key: str = "doc_id",
-                   text: str = "text") -> DataFrame:
-    """(doc_id, line_no, line): every line of every document, in order.
+                   text: str = "text", carry=()) -> DataFrame:
+    """(doc_id, line_no, line, *carry): every line of every document, in
+    order, with `carry` columns of the document copied onto its lines.
     Narrow: no shuffle, lines stay in the partition of their document."""
+    carry = list(carry)
     return docs.select(
-        F.col(key).alias("doc_id"),
+        F.col(key).alias("doc_id"), *carry,
         F.posexplode(_file_lines(F.col(text))).alias("line_no", "line"),
-    ).select("doc_id", F.col("line_no").cast("int").alias("line_no"), "line")
+    ).select("doc_id", F.col("line_no").cast("int").alias("line_no"), "line", *carry)
 
 
 def drop_bad_utf8(c: Column) -> Column:

@@ -149,3 +149,11 @@ def test_row_local_spans_match_brute_force(spark):
     for t in toks:
         ks = sorted(k for d, ti, k in brute if d == t["doc_id"] and ti == t["token_idx"])
         assert labels[(t["doc_id"], t["token_idx"])] == ", ".join(words[t["doc_id"]][k][0] for k in ks[:2])
+
+
+def test_spans_null_and_blank_text(spark):
+    df = spark.createDataFrame([(0, None), (1, "   "), (2, "ab")], "doc_id long, text string")
+    sp = en.token_word_spans(en.encode(spark, df, MODEL))
+    got = sorted((r["doc_id"], r["token_idx"], r["word_idx"]) for r in en.overlap_pairs(sp).collect())
+    assert got == [(2, 0, 0)]
+    assert {r["doc_id"]: r["wt"] for r in sp.collect()} == {0: None, 1: [], 2: ["ab"]}

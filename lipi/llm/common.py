@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lipi_path = path
+    # the stages before are done: let Spark's cleaner drop their shuffle files
+    gc.collect()
+    spark._jvm.System.gc()
     return out
 
 

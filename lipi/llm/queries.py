@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid
-from .common import read
+from . import chat, exact_dedup, langid, substring, superminhash
+from .common import read, sha256_text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -64,3 +64,14 @@ def op9_language_id(spark, sf_dir):
     model = langid.learn(docs.where(~langid.held_out()))
     return langid.predict(docs.select("doc_id", "text"), model).select(
         "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op5_near_dedup(spark, sf_dir):
+    return superminhash.near_groups(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_substring_dedup(spark, sf_dir):
+    out = substring.remove_repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", sha256_text(F.col("kept_text")).alias("kept_sha256"))

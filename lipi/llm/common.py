@@ -48,3 +48,10 @@ def parts(spark: SparkSession) -> int:
 
 def sha256_text(col) -> "F.Column":
     return F.sha2(F.coalesce(col, F.lit("")).cast("binary"), 256)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """The small side of a join whose size follows the corpus: always a
+    sort-merge join (which adaptive execution can split), never a broadcast
+    that a small test would choose and a large run could not."""
+    return df.hint("merge")

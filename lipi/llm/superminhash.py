@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, parts, staged
+from .common import discard, parts, shuffled, staged
 from .components import components
 from .textwords import U, _INV, _BASE, _powers, blocks_of, hash_words, mix, window_hash
 
@@ -256,21 +256,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                   .select(*key, "m.doc_id", "m.xx", "m.sig"), "representatives")
     band = reps.select("doc_id", "sig").mapInArrow(_bands, "bucket long, doc_id long")
     full = band.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    inside = staged(band.join(full.select("bucket", "pivot"), "bucket"), "buckets")
+    inside = staged(band.join(shuffled(full.select("bucket", "pivot")), "bucket"), "buckets")
     sig = reps.select(F.col("doc_id"), "sig")
 
     def with_sigs(pairs):
-        return (pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
-                .join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b"))
+        return (shuffled(pairs).join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
+                .join(shuffled(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))), "b"))
 
     def verified(pairs, name):
         wanted = (pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
                   .join(reps.select("doc_id", "xx"), "doc_id"))
         texts = staged(raw.select("doc_id", F.xxhash64("_bytes").alias("xx"), "_bytes")
-                       .join(wanted, ["doc_id", "xx"], "left_semi")
+                       .join(shuffled(wanted), ["doc_id", "xx"], "left_semi")
                        .dropDuplicates(["doc_id", "xx"]).select("doc_id", "_bytes"), "texts")
-        both = (pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("_bytes").alias("tb")), "b")
-                .join(texts.select(F.col("doc_id").alias("a"), F.col("_bytes").alias("ta")), "a")
+        both = (shuffled(pairs).join(texts.select(F.col("doc_id").alias("b"), F.col("_bytes").alias("tb")), "b")
+                .join(shuffled(texts.select(F.col("doc_id").alias("a"), F.col("_bytes").alias("ta"))), "a")
                 .sortWithinPartitions("a"))
         out = staged(both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"), name)
         discard(texts)
@@ -300,7 +300,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
               .select("bucket", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"),
                       F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0)
                       .otherwise(1).alias("side"), "doc_id", "comp"))
-    dealt = (spread.join(sig, "doc_id").repartition(parts(docs.sparkSession), "bucket", "bi", "bj")
+    dealt = (spread.join(shuffled(sig), "doc_id").repartition(parts(docs.sparkSession), "bucket", "bi", "bj")
              .sortWithinPartitions("bucket", "bi", "bj"))
     cand2 = (dealt.select("bucket", "bi", "bj", "side", "doc_id", "comp", "sig")
              .mapInArrow(_cross, "a long, b long").distinct()
@@ -311,7 +311,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rep_comp = (reps.select(*key, F.col("doc_id").alias("rep")).join(
         final.withColumnRenamed("node", "rep"), "rep", "left")
         .select(*key, F.coalesce("component_id", "rep").alias("component_id")))
-    return (signed.select("doc_id", *key).join(rep_comp, key, "left").select(
+    return (signed.select("doc_id", *key).join(shuffled(rep_comp), key, "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
         .otherwise(F.col("doc_id")).alias("component_id"))

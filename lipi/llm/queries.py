@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, substring, superminhash
+from . import chat, exact_dedup, langid, packing, separator_scan, substring, superminhash
 from .common import read, sha256_text
 
 QUERIES: dict = {}
@@ -75,3 +75,13 @@ def op5_near_dedup(spark, sf_dir):
 def op7_substring_dedup(spark, sf_dir):
     out = substring.remove_repeats(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", sha256_text(F.col("kept_text")).alias("kept_sha256"))
+
+
+@query()
+def op3_harmonic_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_separator_scan(spark, sf_dir):
+    return separator_scan.token_counts(read(spark, sf_dir, "documents"))

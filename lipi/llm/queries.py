@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, packing, separator_scan, substring, superminhash
-from .common import read, sha256_text
+from . import chat, exact_dedup, langid, packing, pii, separator_scan, substring, superminhash
+from .common import read, sha256_text, shuffled, staged
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -85,3 +85,18 @@ def op3_harmonic_packing(spark, sf_dir):
 @query()
 def op6_separator_scan(spark, sf_dir):
     return separator_scan.token_counts(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_pii_surrogates(spark, sf_dir):
+    """Rewritten texts, with what was found and whether any of a document's
+    surrogates fails the global collision check."""
+    found = staged(pii.replace_entities(read(spark, sf_dir, "documents").select("doc_id", "text")), "surrogates")
+    wrong = pii.collision_check(found).select(F.col("surrogate").alias("s"))
+    hit = (found.where(F.size("entities") > 0)
+           .select("doc_id", F.explode(F.transform("surrogates", lambda s: F.lower(s))).alias("s"))
+           .join(wrong, "s", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_collisions")))
+    return found.join(shuffled(hit), "doc_id", "left").select(
+        "doc_id", "text", F.size("entities").cast("long").alias("n_entities"),
+        F.size(F.array_distinct("surrogates")).cast("long").alias("n_distinct"),
+        F.coalesce("n_collisions", F.lit(0)).cast("long").alias("n_collisions"))

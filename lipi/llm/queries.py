@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, packing, pii, separator_scan, substring, superminhash
+from . import (chat, exact_dedup, langid, nndescent, packing, pii, sentencepiece_hf, separator_scan, substring,
+               superminhash)
 from .common import read, sha256_text, shuffled, staged
 
 QUERIES: dict = {}
@@ -100,3 +101,16 @@ def op10_pii_surrogates(spark, sf_dir):
         "doc_id", "text", F.size("entities").cast("long").alias("n_entities"),
         F.size(F.array_distinct("surrogates")).cast("long").alias("n_distinct"),
         F.coalesce("n_collisions", F.lit(0)).cast("long").alias("n_collisions"))
+
+
+@query()
+def op2_nn_descent(spark, sf_dir):
+    return nndescent.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op8_sentencepiece(spark, sf_dir):
+    ids = sentencepiece_hf.encode(read(spark, sf_dir, "documents"), with_text=True)
+    return sentencepiece_hf.decode(ids).select(
+        "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), sha256_text(F.col("decoded")).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), "parity")

@@ -114,8 +114,9 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
 
     text: Column = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col))
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return (docs.withColumn("_lang", classify(text))
-            .select(*keep, F.col("_lang.lang_pred").alias("lang_pred"), F.col("_lang.score").alias("score")))
+    row = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(0).alias("_none"))
+    made = docs.select(row.alias("r"), classify(text).alias("p"))
+    return made.select(*[F.col("r").getField(c).alias(c) for c in keep], "p.lang_pred", "p.score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -216,17 +216,18 @@ def surrogate(e: Column, key: str = KEY) -> Column:
 def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """docs with the text rewritten, plus entities and surrogates (arrays in
     text order)."""
-    t = F.col(text_col)
-    keep = [c for c in docs.columns if c not in ("entities", "surrogates", "_hit", "_parts")]
-    found = (docs.select(*keep)
-             .withColumn("entities", F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))))
-             .withColumn("_hit", F.coalesce(F.size("entities") > 0, F.lit(False))))
-    made = found.withColumn("surrogates", F.when(F.col("_hit"), F.transform("entities", lambda e: surrogate(e, key))))
+    keep = [c for c in docs.columns if c not in ("entities", "surrogates")]
+    t = F.col("t")
+    found = (docs.select(F.struct(*[F.col(c) for c in keep]).alias("r"), F.col(text_col).alias("t"))
+             .withColumn("e", F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))))
+             .withColumn("hit", F.coalesce(F.size("e") > 0, F.lit(False))))
+    made = found.withColumn("s", F.when(F.col("hit"), F.transform("e", lambda e: surrogate(e, key))))
     parts = F.split(t, ENTITY, -1)
-    joined = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get("surrogates", i), F.lit("")))), "")
+    joined = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get("s", i), F.lit("")))), "")
     empty = F.array().cast("array<string>")
-    return made.select(*[F.when(F.col("_hit"), joined).otherwise(t).alias(c) if c == text_col else F.col(c) for c in keep],
-                       F.coalesce("entities", empty).alias("entities"), F.coalesce("surrogates", empty).alias("surrogates"))
+    return made.select(*[F.when(F.col("hit"), joined).otherwise(t).alias(c) if c == text_col
+                         else F.col("r").getField(c).alias(c) for c in keep],
+                       F.coalesce("e", empty).alias("entities"), F.coalesce("s", empty).alias("surrogates"))
 
 
 def entity_table(found: DataFrame) -> DataFrame:

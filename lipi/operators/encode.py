@@ -9,6 +9,7 @@ batch is merged once; no shuffle at all (a hot word cannot skew anything).
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -49,7 +50,9 @@ class BpeModel:
 
     @staticmethod
     def from_frames(vocab: DataFrame, merges: DataFrame) -> "BpeModel":
-        # Both frames are bounded by vocab_size (checked above).
+        # Bounded by vocab_size: counted before anything is collected.
+        if max(vocab.count(), merges.count()) > MAX_MODEL_TOKENS:
+            raise ValueError("model too large to ship to tasks")
         v = [(r["id"], r["token"]) for r in vocab.select("id", "token").collect()]
         m = [(r["rank"], r["left"], r["right"]) for r in
              merges.select("rank", "left", "right").collect()]
@@ -65,6 +68,7 @@ _WHITE_SPACE = frozenset(
 # ---- per-process state of the word encoder ---------------------------------
 _TABLES: dict = {}
 _CACHE_LIMIT = 500_000
+_CACHE_CHARS = 256       # longer pre-tokens are not kept
 
 
 def _tables(model: BpeModel):
@@ -86,19 +90,36 @@ def _tables(model: BpeModel):
 def encode_word(word: str, tok2id: dict, ranks: dict) -> list:
     """BPE on one pre-token: start from code points, repeatedly merge the
     present pair of lowest rank (leftmost on ties). A character outside the
-    vocabulary is one [UNK] and never merges."""
+    vocabulary is one [UNK] and never merges.
+
+    Candidates wait in a heap ordered by (rank, position); symbols form a
+    linked list, so a merge touches its two neighbours only: O(L log L) for a
+    run of L characters. A heap entry is stale when its left symbol or the one
+    behind it is no longer what it was."""
     syms = list(word)
-    while len(syms) > 1:
-        best = None
-        for i in range(len(syms) - 1):
-            hit = ranks.get((syms[i], syms[i + 1]))
-            if hit is not None and (best is None or hit[0] < best[0]):
-                best = (hit[0], i, hit[1])
-        if best is None:
-            break
-        _, i, merged = best
-        syms[i:i + 2] = [merged]
-    return [(s, tok2id.get(s, UNK_ID)) for s in syms]
+    n = len(syms)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = []
+    for i in range(n - 1):
+        hit = ranks.get((syms[i], syms[i + 1]))
+        if hit is not None:
+            heap.append((hit[0], i, syms[i], syms[i + 1]))
+    heapq.heapify(heap)
+    while heap:
+        _, i, left, right = heapq.heappop(heap)
+        j = after[i]
+        if syms[i] != left or j >= n or syms[j] != right:
+            continue
+        syms[i], syms[j] = left + right, None
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for x, y in ((before[i], i), (i, after[i])):
+            if x >= 0 and y < n:
+                hit = ranks.get((syms[x], syms[y]))
+                if hit is not None:
+                    heapq.heappush(heap, (hit[0], x, syms[x], syms[y]))
+    return [(s, tok2id.get(s, UNK_ID)) for s in syms if s is not None]
 
 
 _ENC_SCHEMA = T.StructType([
@@ -133,7 +154,8 @@ def _make_encoder(bc):
                         got = cache.get(p)
                         if got is None:
                             got = encode_word(p, tok2id, ranks)
-                            cache[p] = got
+                            if n <= _CACHE_CHARS:
+                                cache[p] = got
                         at = pos
                         for tok, i in got:
                             ids.append(i)
@@ -158,32 +180,36 @@ _ALIGN_SCHEMA = T.StructType([
 
 
 def nfkc_with_alignment(text: str):
-    """Normalise segment by segment (a starter and the marks after it);
-    every normalised character points at the original span of its segment.
-    Unchanged segments keep exact character offsets."""
+    """Normalise segment by segment; every normalised character points at the
+    original span of its segment. A segment is a starter and the marks after
+    it, and grows as long as it composes with what follows (Hangul jamo,
+    two-part vowel signs of class 0), so segment-wise NFKC is NFKC of the
+    whole text. Unchanged segments keep exact character offsets."""
+    nfkc = unicodedata.normalize
     segs, start = [], 0
     for i in range(1, len(text) + 1):
         if i == len(text) or unicodedata.combining(text[i]) == 0:
+            if segs and not text[start].isascii():
+                a, b = segs[-1]
+                # only the last character of a segment can meet the next one
+                if nfkc("NFKC", text[a:i]) != nfkc("NFKC", text[a:b]) + nfkc("NFKC", text[b:i]):
+                    segs[-1] = (a, i)
+                    start = i
+                    continue
             segs.append((start, i))
             start = i
     norm, ostart, oend = [], [], []
     for a, b in segs:
         seg = text[a:b]
-        out = unicodedata.normalize("NFKC", seg)
+        out = nfkc("NFKC", seg)
         if out == seg:
-            for j in range(a, b):
-                ostart.append(j); oend.append(j + 1)
+            ostart.extend(range(a, b))
+            oend.extend(range(a + 1, b + 1))
         else:
-            for _ in out:
-                ostart.append(a); oend.append(b)
+            ostart.extend([a] * len(out))
+            oend.extend([b] * len(out))
         norm.append(out)
-    joined = "".join(norm)
-    # Segment-wise NFKC equals whole-text NFKC except for compositions that
-    # cross a segment edge (e.g. Hangul jamo); fall back to a whole span.
-    whole = unicodedata.normalize("NFKC", text)
-    if joined != whole:
-        return whole, [0] * len(whole), [len(text)] * len(whole)
-    return joined, ostart, oend
+    return "".join(norm), ostart, oend
 
 
 @F.pandas_udf(_ALIGN_SCHEMA)
@@ -338,6 +364,8 @@ _SPAN_SCHEMA = T.StructType([
     T.StructField("ws", T.ArrayType(T.IntegerType())),
     T.StructField("lo", T.ArrayType(T.IntegerType())),
     T.StructField("hi", T.ArrayType(T.IntegerType())),
+    T.StructField("tlo", T.ArrayType(T.IntegerType())),
+    T.StructField("thi", T.ArrayType(T.IntegerType())),
 ])
 
 
@@ -353,14 +381,22 @@ def _spans(text, starts, ends):
     # exactly those with we > ts and ws < te, a contiguous index range.
     lo = np.searchsorted(we, np.where(ok, ts, 0), side="right")
     hi = np.where(ok, np.maximum(np.searchsorted(ws, np.where(ok, te, 0), side="left"), lo), lo)
-    return wt, ws.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)
+    # The other way round: token ranges rise with the token, so the tokens of
+    # word k are those between the first with hi > k and the last with lo <= k.
+    some = np.flatnonzero(hi > lo)
+    k = np.arange(len(ws))
+    first, last = np.searchsorted(hi[some], k, side="right"), np.searchsorted(lo[some], k, side="right")
+    ends_at = np.append(some, len(lo))
+    tlo = ends_at[first]
+    thi = np.where(last > first, some[np.maximum(last, 1) - 1] + 1 if len(some) else 0, tlo)
+    return [wt] + [x.astype(np.int32) for x in (ws, lo, hi, tlo, thi)]
 
 
 @F.pandas_udf(_SPAN_SCHEMA)
 def _spans_udf(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
-    cols = {"wt": [], "ws": [], "lo": [], "hi": []}
+    cols = {"wt": [], "ws": [], "lo": [], "hi": [], "tlo": [], "thi": []}
     for t, s, e in zip(texts, starts, ends):
-        got = (None,) * 4 if t is None else _spans(t, s, e)
+        got = (None,) * 6 if t is None else _spans(t, s, e)
         for k, v in zip(cols, got):
             cols[k].append(v)
     return pd.DataFrame(cols)
@@ -370,7 +406,8 @@ def token_word_spans(encoded: DataFrame) -> DataFrame:
     """Adds, per encoded row, the words of its text (`wt` word, `ws` start,
     as re.finditer(r'\\S+')) and for every token the range [lo, hi) of word
     indices its span overlaps (ts < we and te > ws; tokens without a span
-    get an empty range).
+    get an empty range), and for every word the range [tlo, thi) of its tokens
+    (empty for a word no token overlaps).
 
     Tokens and words come from the same row, so the token/word range join
     is solved inside the row by binary search, O((T + W) log W) per text:
@@ -378,7 +415,7 @@ def token_word_spans(encoded: DataFrame) -> DataFrame:
     sp = _spans_udf(F.col("text"), F.col("starts"), F.col("ends"))
     cols = [c for c in encoded.columns]
     return encoded.select(*cols, sp.alias("sp")).select(
-        *cols, *[F.col(f"sp.{k}").alias(k) for k in ("wt", "ws", "lo", "hi")])
+        *cols, *[F.col(f"sp.{k}").alias(k) for k in ("wt", "ws", "lo", "hi", "tlo", "thi")])
 
 
 def token_word_ranges(spanned: DataFrame, key="doc_id") -> DataFrame:
@@ -390,6 +427,22 @@ def token_word_ranges(spanned: DataFrame, key="doc_id") -> DataFrame:
                     F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"), "wt"))
 
 
+def word_token_ranges(spanned: DataFrame, key="doc_id", ids: str = "ids") -> DataFrame:
+    """One row per word: (*keys, word_idx, word, tlo, thi, ids). Words that no
+    token overlaps stay, with an empty range. Row-local."""
+    keys = _keys(key)
+    z = F.arrays_zip(F.col("wt").alias("w"), F.col("tlo").alias("a"), F.col("thi").alias("b"))
+    return (spanned.select(*keys, F.col(ids).alias("ids"), F.posexplode(z).alias("word_idx", "r"))
+            .select(*keys, F.col("word_idx").cast("int"), F.col("r.w").alias("word"),
+                    F.col("r.a").alias("tlo"), F.col("r.b").alias("thi"), "ids"))
+
+
+def index_list(lo: Column, hi: Column) -> Column:
+    """'lo,...,hi-1', empty for an empty range."""
+    return F.when(hi > lo, F.array_join(F.transform(F.sequence(lo, hi - 1), lambda x: x.cast("string")), ",")) \
+        .otherwise(F.lit(""))
+
+
 def overlap_pairs(spanned: DataFrame, key="doc_id") -> DataFrame:
     """(*keys, token_idx, word_idx, id) for every overlapping pair, row-local."""
     keys = _keys(key)
@@ -405,28 +458,6 @@ def token_label(lo: Column, hi: Column, words: Column) -> Column:
     return F.when(hi > lo, F.array_join(F.slice(words, lo + 1, n), ", ")).otherwise(F.lit(""))
 
 
-def overlap_join(tokens: DataFrame, words: DataFrame, block: int = 64) -> DataFrame:
-    """Token/word pairs whose spans overlap (ts < we and te > ws).
-
-    A range join as an equi-join on (doc_id, block): each span is listed
-    under every `block`-sized slice of the text it touches, and a pair is
-    kept only in the slice where its overlap starts, so it appears once.
-    Work per slice is bounded by the slice size, never tokens x words of a
-    whole document."""
-    def blocks(df, s, e):
-        return df.withColumn("blk", F.explode(F.sequence(
-            F.floor(F.col(s) / block), F.floor((F.col(e) - 1) / block))))
-    t = blocks(tokens.filter(F.col("start").isNotNull() & (F.col("end") > F.col("start")))
-               .select("doc_id", "token_idx", F.col("start").alias("ts"), F.col("end").alias("te")),
-               "ts", "te")
-    w = blocks(words.select("doc_id", "word_idx", F.col("start").alias("ws"), F.col("end").alias("we")),
-               "ws", "we")
-    j = t.join(w, ["doc_id", "blk"])
-    keep = ((F.col("ts") < F.col("we")) & (F.col("te") > F.col("ws"))
-            & (F.floor(F.greatest("ts", "ws") / block) == F.col("blk")))
-    return j.filter(keep).select("doc_id", "token_idx", "word_idx")
-
-
 # ---- decode ---------------------------------------------------------------------
 _DEVANAGARI_DIGITS = "\u0966\u0967\u0968\u0969\u096a\u096b\u096c\u096d\u096e\u096f"
 
@@ -448,14 +479,24 @@ def parse_ids(c: Column) -> Column:
     return F.struct(ids.alias("ids"), valid.alias("valid"))
 
 
-def id_tokens(ids: Column, model: BpeModel, skip_special: bool = False) -> Column:
-    """ids -> token texts; ids outside the vocabulary give NULL. The
-    vocabulary travels as one array literal (bounded by vocab_size)."""
-    voc = F.lit(list(model.vocab))
-    n = len(model.vocab)
+def _token_lookup(spark: SparkSession, model: BpeModel, skip_special: bool):
+    """ids -> token texts with the broadcast vocabulary (bounded by
+    vocab_size); NULL for ids that are NULL, negative or past the end."""
+    bc = _broadcast_model(spark, model)
     lo = len(SPECIAL_TOKENS) if skip_special else 0
-    return F.transform(ids, lambda i: F.when((i >= lo) & (i < n),
-                                             F.element_at(voc, (i + 1).cast("int"))))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def look(ids: pd.Series) -> pd.Series:
+        vocab = bc.value.vocab
+        n = len(vocab)
+        return ids.map(lambda row: None if row is None else
+                       [vocab[int(i)] if i is not None and i == i and lo <= i < n else None for i in row])
+    return look
+
+
+def id_tokens(ids: Column, model: BpeModel, skip_special: bool = False) -> Column:
+    """ids -> token texts; ids outside the vocabulary give NULL."""
+    return _token_lookup(SparkSession.getActiveSession(), model, skip_special)(ids.cast("array<bigint>"))
 
 
 # --- Fixed values: the clean-up of tokenization spaces (optional decode
@@ -475,7 +516,7 @@ def cleanup_spaces(c: Column) -> Column:
 def decode(df: DataFrame, model: BpeModel, key: str = "doc_id", ids: str = "ids",
            skip_special: bool = False, sep: str = " ", cleanup: bool = False) -> DataFrame:
     """ids -> text: tokens joined by one space (no decoder is configured).
-    Unknown ids are skipped and flagged. Input ids: an integer array or a
+    Unknown ids (NULL, negative or past the end) are skipped and flagged. Input ids: an integer array or a
     CSV string (parsed as the decode endpoint does). Row-local: no shuffle.
     Output: (doc_id, ids, text, status), status ok | unknown_id | invalid_id_list."""
     dtype = dict(df.dtypes)[ids]
@@ -486,14 +527,12 @@ def decode(df: DataFrame, model: BpeModel, key: str = "doc_id", ids: str = "ids"
         base = df.select(F.col(key).alias("doc_id"), F.col(ids).cast("array<bigint>").alias("ids"),
                          F.lit(True).alias("valid"))
     n = len(model.vocab)
-    lo = len(SPECIAL_TOKENS) if skip_special else 0
-    voc = F.lit(list(model.vocab))
-    toks = F.transform("ids", lambda i: F.when((i >= lo) & (i < n),
-                                               F.element_at(voc, (i + 1).cast("int"))))
+    base = base.select("doc_id", "ids", "valid", id_tokens(F.col("ids"), model, skip_special).alias("toks"))
+    toks = F.col("toks")
     text = F.array_join(F.filter(toks, lambda t: t.isNotNull()), sep)
     if cleanup:
         text = cleanup_spaces(text)
-    unknown = F.exists("ids", lambda i: i >= n)
+    unknown = F.exists("ids", lambda i: i.isNull() | (i < 0) | (i >= n))
     status = (F.when(~F.col("valid"), F.lit("invalid_id_list"))
               .when(unknown, F.lit("unknown_id"))
               .otherwise(F.lit("ok")))

@@ -86,10 +86,18 @@ def strip_tags(spark, sf):
     return read_table(spark, sf, "pages").select("page_id", tx.strip_tags(F.col("html")).alias("text"))
 
 
+# No table holds wiki markup, so every text gets some, built from its own
+# columns: a file link, a nested link, a template, citations, a broken link.
+_MARKED = ("'[[File:' || source || '.jpg|' || lang || ']] ' || text || ' {{' || lang || '|' || source || '}} [' || n_chars "
+           "|| '] [[File:' || lang || chr(10) || ']] {{' || source || chr(10) || '}} [x] [[' || source || ']]'")
+
+
 @query("strip_markup", f"""
-SELECT doc_id, {S.rr(S.rr(S.rr('text', tx.FILE_LINK_RE), tx.TEMPLATE_RE), tx.CITATION_RE)} AS text FROM documents""")
+SELECT doc_id, {S.rr(S.rr(S.rr('t', tx.FILE_LINK_RE), tx.TEMPLATE_RE), tx.CITATION_RE)} AS text
+FROM (SELECT doc_id, {_MARKED} AS t FROM documents)""")
 def strip_markup(spark, sf):
-    return read_table(spark, sf, "documents").select("doc_id", tx.strip_markup(F.col("text")).alias("text"))
+    marked = read_table(spark, sf, "documents").select("doc_id", F.expr(_MARKED).alias("t"))
+    return marked.select("doc_id", tx.strip_markup(F.col("t")).alias("text"))
 
 
 @query("collapse_ws", f"SELECT doc_id, {S.rr('text', tx.WS_PY + '+')} AS text FROM documents")
@@ -102,11 +110,16 @@ def allow_chars(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", tx.allow_chars(F.col("text")).alias("text"))
 
 
-# NFKC: DuckDB has no NFKC; every fixture text is NFKC-stable, so the oracle
-# is the identity there. Unstable text is covered by pytest.
+# Every text is NFKC-stable, so its ASCII letters and digits are written full
+# width first; NFKC must bring back the text itself.
+ASCII = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+WIDE = "".join(chr(ord(c) + 0xFEE0) for c in ASCII)
+
+
 @query("nfkc_normalize", "SELECT conv_id, turn, text FROM conversations")
 def nfkc_normalize(spark, sf):
-    return read_table(spark, sf, "conversations").select("conv_id", "turn", tx.nfkc(F.col("text")).alias("text"))
+    wide = read_table(spark, sf, "conversations").select("conv_id", "turn", F.translate("text", ASCII, WIDE).alias("t"))
+    return wide.select("conv_id", "turn", tx.nfkc(F.col("t")).alias("text"))
 
 
 @query("eval_lines", f"""
@@ -197,10 +210,13 @@ def raw_sample(spark, sf):
 
 
 # Page assembly over a dump derived from `pages`: every page's HTML lines
-# wrapped in marker lines, preceded by its URL (text outside any page).
+# wrapped in marker lines, preceded by its URL (text outside any page) and by
+# a page that starts twice, followed by a second page and one never closed.
 def _dump_lines(spark, sf):
     pages = read_table(spark, sf, "pages")
-    dump = F.concat_ws("\n", F.col("url"), F.lit("  <page>"), F.col("html"), F.lit("  </page>"))
+    dump = F.concat_ws("\n", F.col("url"), F.lit("<page>"), F.lit("dropped"), F.lit("  <page>"), F.col("html"),
+                       F.lit("  </page>"), F.lit("between"), F.lit("<page>"), F.col("url"), F.lit("</page>"),
+                       F.lit("<page>"), F.lit("never closed"))
     return src.document_lines(pages.select(F.col("page_id").alias("doc_id"), dump.alias("text")))
 
 
@@ -209,7 +225,7 @@ WITH lines AS (
   SELECT doc_id, (pos - 1)::INT AS line_no, line FROM (
     SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS pos
     FROM (SELECT page_id AS doc_id,
-                 {S.file_lines("concat_ws(chr(10), url, '  <page>', html, '  </page>')")} AS l FROM pages))),
+                 {S.file_lines("concat_ws(chr(10), url, '<page>', 'dropped', '  <page>', html, '  </page>', 'between', '<page>', url, '</page>', '<page>', 'never closed')")} AS l FROM pages))),
 m AS (SELECT *, contains(line, '<page>') AS is_open, contains(line, '</page>') AND NOT contains(line, '<page>') AS is_close FROM lines),
 k AS (SELECT *, max(CASE WHEN is_open THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS page_start,
              max(CASE WHEN is_close THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_close

@@ -13,7 +13,7 @@ from ..operators import evaluate as ev
 from ..sources import corpus as corpus_src
 from ..session import first_n, keep_rows, read_table
 from . import sqltext as S
-from .corpus_queries import corpus, corpus_lines, eval_lines, raw_sample
+from .corpus_queries import ASCII, WIDE, corpus, corpus_lines, eval_lines, raw_sample
 from .model_queries import ORACLE_STEPS, model_of, train_prefix, vocab_df
 from .registry import query
 
@@ -101,6 +101,15 @@ def token_offsets(spark, sf):
     return en.token_offsets(enc_docs(spark, sf), DOC)
 
 
+@query("token_offsets_nfkc", f"WITH {train_prefix()},\n{_enc('', 'conversations', CONV, 'text')}\n"
+       "SELECT conv_id, turn, token_idx, token, id, start, \"end\" FROM tk")
+def token_offsets_nfkc(spark, sf):
+    """Offsets into texts written full width: NFKC brings back the plain text
+    character by character, so tokens and spans are those of the plain text."""
+    wide = read_table(spark, sf, "conversations").select(*CONV, F.translate("text", ASCII, WIDE).alias("text"))
+    return en.token_offsets(en.encode(spark, wide, model_of(spark, sf), CONV, "text"), CONV)
+
+
 @query("ids_to_tokens", f"WITH {train_prefix()},\n{_enc('', 'conversations', CONV, 'text')}\n"
        "SELECT conv_id, turn, token_idx, id, v.token AS token FROM tk JOIN vocab v USING (id)")
 def ids_to_tokens(spark, sf):
@@ -152,28 +161,29 @@ def token_word_map(spark, sf):
 
 
 @query("token_labels", _OVERLAP +
-       "SELECT tk.doc_id, tk.token_idx, coalesce((SELECT string_agg(word, ', ' ORDER BY word_idx) FROM "
-       "(SELECT word, word_idx FROM ov WHERE ov.doc_id = tk.doc_id AND ov.token_idx = tk.token_idx ORDER BY word_idx LIMIT 2)), '') AS label "
-       "FROM tk")
+       "SELECT tk.doc_id, tk.token_idx, coalesce(array_to_string(lb.ws, ', '), '') AS label FROM tk LEFT JOIN "
+       "(SELECT doc_id, token_idx, list(word ORDER BY word_idx)[1:2] AS ws FROM ov GROUP BY 1, 2) lb USING (doc_id, token_idx)")
 def token_labels(spark, sf):
     r = en.token_word_ranges(_spanned(spark, sf), DOC)
     return r.select("doc_id", "token_idx", en.token_label(F.col("lo"), F.col("hi"), F.col("wt")).alias("label"))
 
 
 @query("word_first_token", _OVERLAP +
-       "SELECT doc_id, word_idx, arg_min(id, token_idx) AS token_id FROM ov GROUP BY 1, 2")
+       "SELECT wp.doc_id, wp.word_idx, arg_min(ov.id, ov.token_idx) AS token_id "
+       "FROM wp LEFT JOIN ov USING (doc_id, word_idx) GROUP BY 1, 2")
 def word_first_token(spark, sf):
-    ov = en.overlap_pairs(_spanned(spark, sf), DOC)
-    return ov.groupBy("doc_id", "word_idx").agg(F.min_by("id", "token_idx").alias("token_id"))
+    """Every word with the id of its first token (NULL: no token)."""
+    w = en.word_token_ranges(_spanned(spark, sf), DOC)
+    return w.select("doc_id", "word_idx", F.when(F.col("thi") > F.col("tlo"), F.get("ids", F.col("tlo"))).alias("token_id"))
 
 
 @query("word_token_lists", _OVERLAP +
-       "SELECT doc_id, word_idx, string_agg(token_idx::VARCHAR, ',' ORDER BY token_idx) AS token_idxs FROM ov GROUP BY 1, 2")
+       "SELECT wp.doc_id, wp.word_idx, coalesce(string_agg(ov.token_idx::VARCHAR, ',' ORDER BY ov.token_idx), '') AS token_idxs "
+       "FROM wp LEFT JOIN ov USING (doc_id, word_idx) GROUP BY 1, 2")
 def word_token_lists(spark, sf):
-    ov = en.overlap_pairs(_spanned(spark, sf), DOC)
-    return (ov.groupBy("doc_id", "word_idx")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list("token_idx")), lambda x: x.cast("string")), ",")
-                 .alias("token_idxs")))
+    """Every word with the indices of its tokens (empty: no token)."""
+    w = en.word_token_ranges(_spanned(spark, sf), DOC)
+    return w.select("doc_id", "word_idx", en.index_list(F.col("tlo"), F.col("thi")).alias("token_idxs"))
 
 
 def _md5_sql(m):
@@ -200,22 +210,34 @@ def decode_documents(spark, sf):
     return en.decode(enc_docs(spark, sf), m, "doc_id", "ids").select("doc_id", "text", "status")
 
 
+# Id lists as users send them: plain, with blank items, with a word, with
+# spaces, negative, and with an id past the vocabulary.
+_BROKEN = ("CASE conv_id % 6 WHEN 1 THEN s || ',, ,' WHEN 2 THEN s || ',x' WHEN 3 THEN ' ' || replace(s, ',', ' , ') || chr(9) "
+           "WHEN 4 THEN '-1,' || s WHEN 5 THEN s || ',99999999' ELSE s END")
+
+
+def _sent_lists(spark, sf):
+    csv = enc_convs(spark, sf).select(*CONV, en.ids_csv(F.col("ids")).alias("s"))
+    return csv.select(*CONV, F.expr(_BROKEN).alias("ids_csv"))
+
+
 @query("decode_rows", f"WITH {train_prefix()},\n{_enc('', 'conversations', CONV, 'text')}\n"
-       "SELECT conv_id, turn, array_to_string(tokens, ' ') AS text, 'ok' AS status FROM enc")
+       "SELECT conv_id, turn, CASE WHEN conv_id % 6 IN (2, 4) THEN NULL ELSE array_to_string(tokens, ' ') END AS text, "
+       "CASE WHEN conv_id % 6 IN (2, 4) THEN 'invalid_id_list' WHEN conv_id % 6 = 5 THEN 'unknown_id' ELSE 'ok' END AS status FROM enc")
 def decode_rows(spark, sf):
     """The decode endpoint over a table of CSV id strings."""
     m = model_of(spark, sf)
-    csv = enc_convs(spark, sf).select(*CONV, en.ids_csv(F.col("ids")).alias("ids_csv"))
-    d = en.decode(csv.withColumn("k", F.struct(*CONV)), m, "k", "ids_csv")
+    d = en.decode(_sent_lists(spark, sf).withColumn("k", F.struct(*CONV)), m, "k", "ids_csv")
     return d.select(F.col("doc_id.conv_id").alias("conv_id"), F.col("doc_id.turn").alias("turn"), "text", "status")
 
 
 @query("parse_ids", f"WITH {train_prefix()},\n{_enc('', 'conversations', CONV, 'text')}\n"
-       "SELECT conv_id, turn, len(ids)::INT AS n_ids, true AS valid FROM enc")
+       "SELECT conv_id, turn, CASE WHEN conv_id % 6 IN (2, 4) THEN NULL ELSE len(ids) + (conv_id % 6 = 5)::INT END::INT AS n_ids, "
+       "conv_id % 6 NOT IN (2, 4) AS valid FROM enc")
 def parse_ids_q(spark, sf):
-    csv = enc_convs(spark, sf).select(*CONV, en.ids_csv(F.col("ids")).alias("s"))
-    p = en.parse_ids(F.col("s"))
-    return csv.select(*CONV, F.size(p["ids"]).cast("int").alias("n_ids"), p["valid"].alias("valid"))
+    sent = _sent_lists(spark, sf)
+    p = en.parse_ids(F.col("ids_csv"))
+    return sent.select(*CONV, F.when(p["valid"], F.size(p["ids"])).cast("int").alias("n_ids"), p["valid"].alias("valid"))
 
 
 @query("round_trip", f"WITH {train_prefix()},\n{_enc('', 'documents', DOC, 'text')}\n"
@@ -231,28 +253,35 @@ def round_trip(spark, sf):
                     (F.col("text") == F.col("doc_id.text")).alias("lossless"))
 
 
-@query("decode_align", f"WITH {train_prefix()},\n{_enc('', 'conversations', CONV, 'text')},\n"
-       "dec AS (SELECT conv_id, turn, array_to_string(tokens, ' ') AS text, ids AS given FROM enc),\n"
-       f"{_enc('_b', 'dec', CONV, 'text')},\n{S.word_positions_cte('dec', CONV, 'text', 'wp2')},\n"
-       "ov2 AS (SELECT tk_b.conv_id, tk_b.turn, tk_b.token_idx, wp2.word_idx, wp2.word FROM tk_b JOIN wp2 "
-       "ON tk_b.conv_id = wp2.conv_id AND tk_b.turn = wp2.turn AND tk_b.start < wp2.\"end\" AND tk_b.\"end\" > wp2.start),\n"
-       "g AS (SELECT conv_id, turn, unnest(given) AS id, unnest(range(0, len(given))) AS token_idx FROM dec)\n"
-       "SELECT g.conv_id, g.turn, g.token_idx::INT AS token_idx, g.id::INT AS id, "
-       "coalesce((SELECT string_agg(word, ', ' ORDER BY word_idx) FROM (SELECT word, word_idx FROM ov2 "
-       "WHERE ov2.conv_id = g.conv_id AND ov2.turn = g.turn AND ov2.token_idx = g.token_idx ORDER BY word_idx LIMIT 2)), '') AS label "
-       "FROM g")
-def decode_align(spark, sf):
-    """Decode given ids, re-encode the decoded text, map the new offsets to
-    words of the decoded text, label each *given* id by index."""
+_REALIGN = (f"WITH {train_prefix()},\n{_enc('', 'conversations', CONV, 'text')},\n"
+            "dec AS (SELECT conv_id, turn, array_to_string(tokens, ' ') AS text, ids AS given FROM enc),\n"
+            f"{_enc('_b', 'dec', CONV, 'text')},\n{S.word_positions_cte('dec', CONV, 'text', 'wp2')},\n"
+            "ov2 AS MATERIALIZED (SELECT tk_b.conv_id, tk_b.turn, tk_b.token_idx, wp2.word_idx, wp2.word FROM tk_b JOIN wp2 "
+            "ON tk_b.conv_id = wp2.conv_id AND tk_b.turn = wp2.turn AND tk_b.start < wp2.\"end\" AND tk_b.\"end\" > wp2.start),\n"
+            "g AS (SELECT conv_id, turn, unnest(given) AS id, unnest(range(0, len(given))) AS token_idx FROM dec)\n")
+
+
+def _realigned(spark, sf):
+    """Decode given ids, re-encode the decoded text, and find words and
+    tokens of the decoded text; the given ids ride along as a key column, so
+    everything meets in one row."""
     m = model_of(spark, sf)
     given = enc_convs(spark, sf).select(*CONV, "ids")
     dec = en.decode(given.withColumn("k", F.struct(*CONV)), m, "k", "ids") \
         .select(F.col("doc_id.conv_id").alias("conv_id"), F.col("doc_id.turn").alias("turn"), "ids", "text")
-    # The given ids ride along as a key column, so the re-encoded tokens,
-    # the words of the decoded text and the given ids meet in one row.
-    re_enc = en.encode(spark, dec.select(*CONV, F.col("ids").alias("given"), "text"), m,
-                       CONV + ["given"], "text")
-    sp = en.token_word_spans(re_enc)
+    return en.token_word_spans(en.encode(spark, dec.select(*CONV, F.col("ids").alias("given"), "text"), m,
+                                         CONV + ["given"], "text"))
+
+
+@query("decode_align", _REALIGN +
+       "SELECT g.conv_id, g.turn, g.token_idx::INT AS token_idx, g.id::INT AS id, "
+       "coalesce(array_to_string(lb.ws, ', '), '') AS label FROM g LEFT JOIN "
+       "(SELECT conv_id, turn, token_idx, list(word ORDER BY word_idx)[1:2] AS ws FROM ov2 GROUP BY 1, 2, 3) lb "
+       "USING (conv_id, turn, token_idx)")
+def decode_align(spark, sf):
+    """Each *given* id labelled, by index, with the words of the decoded text
+    that the re-encoded token overlaps."""
+    sp = _realigned(spark, sf)
     # Label of re-encoded token i goes to given id i (an index match, as in
     # the original; indices past the re-encoding get no label).
     labels = F.transform("lo", lambda lo, i: en.token_label(lo, F.col("hi")[i], F.col("wt")))
@@ -265,6 +294,21 @@ def decode_align(spark, sf):
                     F.coalesce(F.try_element_at("labels", F.col("token_idx") + 1), F.lit("")).alias("label")))
 
 
+@query("decode_words", _REALIGN +
+       "SELECT w.conv_id, w.turn, w.word_idx, w.word, coalesce(o.idxs, '') AS token_idxs, g.id::INT AS id FROM wp2 w LEFT JOIN "
+       "(SELECT conv_id, turn, word_idx, min(token_idx) AS first, string_agg(token_idx::VARCHAR, ',' ORDER BY token_idx) AS idxs "
+       "FROM ov2 GROUP BY 1, 2, 3) o USING (conv_id, turn, word_idx) "
+       "LEFT JOIN g ON g.conv_id = w.conv_id AND g.turn = w.turn AND g.token_idx = o.first")
+def decode_words(spark, sf):
+    """The word side: each word of the decoded text with its re-encoded token
+    indices and the *given* id at the first of them (NULL when there is no
+    token, or the index lies past the given ids)."""
+    w = en.word_token_ranges(_realigned(spark, sf), CONV, ids="given")
+    has = (F.col("thi") > F.col("tlo")) & (F.col("tlo") < F.size("ids"))
+    return w.select(*CONV, "word_idx", "word", en.index_list(F.col("tlo"), F.col("thi")).alias("token_idxs"),
+                    F.when(has, F.get("ids", F.col("tlo"))).cast("int").alias("id"))
+
+
 # ---- evaluation ------------------------------------------------------------------
 def _metrics_sql(tag, words_expr="len(list_filter(regexp_split_to_array(text, " + S.q(tx.WS_PY + "+") + "), lambda x: x <> ''))"):
     return (f"SELECT count(*)::BIGINT AS sentences, sum(length(replace(text, ' ', '')))::BIGINT AS chars_no_space, "

@@ -110,37 +110,6 @@ def bpe_ctes(vocab_size: int, min_frequency: int, steps: int) -> str:
     return ",\n".join(parts)
 
 
-def encode_ctes(src: str, key: str, text: str, steps: int) -> str:
-    """Needs acc{k}/m{k} and vocab from bpe_ctes. Defines enc(doc_id, ids,
-    tokens) with merges replayed in rank order per distinct pre-token."""
-    T, L = "chr(9)", "chr(10)"
-    parts = []
-    parts.append(
-        f"pt AS MATERIALIZED (SELECT {key} AS doc_id, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS pi "
-        f"FROM (SELECT {key}, {pretokens(text)} AS l FROM {src}))")
-    parts.append(
-        f"e0 AS MATERIALIZED (SELECT w, {T} || array_to_string(regexp_extract_all(w, '(?s).'), {L} || {T}) || {L} AS sym "
-        f"FROM (SELECT DISTINCT w FROM pt))")
-    for k in range(1, steps + 1):
-        parts.append(
-            f"e{k} AS MATERIALIZED (SELECT w, coalesce(replace(sym, (SELECT {T} || \"left\" || {L} || {T} || \"right\" || {L} FROM m{k}), "
-            f"(SELECT {T} || merged || {L} FROM m{k})), sym) AS sym FROM e{k - 1})")
-    parts.append(
-        f"wt AS MATERIALIZED (SELECT w, unnest(s) AS tok, unnest(range(1, len(s) + 1)) AS ti FROM "
-        f"(SELECT w, string_split(substr(sym, 2, length(sym) - 2), {L} || {T}) AS s FROM e{steps}))")
-    parts.append(
-        "wti AS MATERIALIZED (SELECT wt.w, wt.ti, coalesce(v.id, 1) AS id, "
-        "CASE WHEN v.id IS NULL THEN '[UNK]' ELSE wt.tok END AS token, length(wt.tok) AS tlen "
-        "FROM wt LEFT JOIN vocab v ON v.token = wt.tok)")
-    parts.append(
-        f"enc AS MATERIALIZED (SELECT d.{key} AS doc_id, d.{text} AS text, "
-        "coalesce(x.ids, []::INT[]) AS ids, coalesce(x.tokens, []::VARCHAR[]) AS tokens FROM "
-        f"{src} d LEFT JOIN (SELECT pt.doc_id, list(wti.id::INT ORDER BY pt.pi, wti.ti) AS ids, "
-        "list(wti.token ORDER BY pt.pi, wti.ti) AS tokens FROM pt JOIN wti ON wti.w = pt.w GROUP BY pt.doc_id) x "
-        f"ON x.doc_id = d.{key})")
-    return ",\n".join(parts)
-
-
 SPECIALS_RE2 = "|".join(t.replace("[", "\\[").replace("]", "\\]") for t in SPECIAL_TOKENS)
 
 

@@ -6,7 +6,6 @@ import os
 
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_CHUNK_LINES
 from ..operators import chunks as ch
 from ..session import read_table
 from ..sources import corpus as src
@@ -26,6 +25,16 @@ def stream_word_counts(spark, sf):
     return final
 
 
+@query("stream_progress", f"""WITH {S.corpus_clean_cte()},
+t AS (SELECT (SELECT count(*) FROM corpus) AS lines)
+SELECT 0::BIGINT AS batch, unnest(range(1, (lines // 100) + 1)) * 100 AS mark FROM t""")
+def stream_progress(spark, sf):
+    """A mark for every 100 lines fed (one file, so one micro-batch)."""
+    docs = feed.file_stream(spark, sf, "documents.parquet", spread=spark.sparkContext.defaultParallelism)
+    _, progress = feed.stream_word_counts(spark, docs)
+    return feed.log_marks(progress, 100)
+
+
 @query("stream_encode", f"WITH {train_prefix()},\n{_enc('', 'conversations', CONV, 'text')}\n{_summary_sql(CONV)}")
 def stream_encode(spark, sf):
     convs = feed.file_stream(spark, sf, "conversations.parquet",
@@ -34,6 +43,9 @@ def stream_encode(spark, sf):
     return out.select(*CONV, "ids_csv", "token_count", "compression_ratio")
 
 
+QUERY_CHUNK = 97         # small chunks, so that documents cross many of them
+
+
 def _doc_lines(spark, sf):
     docs = read_table(spark, sf, "documents")
     lines = src.document_lines(docs)
@@ -48,13 +60,13 @@ n AS (SELECT doc_id, line_no, (row_number() OVER (ORDER BY doc_id, line_no) - 1)
 """
 
 
-@query("line_chunks", _LINES_SQL + f"SELECT doc_id, line_no, line_idx, (line_idx // {DEFAULT_CHUNK_LINES})::BIGINT AS chunk_id FROM n")
+@query("line_chunks", _LINES_SQL + f"SELECT doc_id, line_no, line_idx, (line_idx // {QUERY_CHUNK})::BIGINT AS chunk_id FROM n")
 def line_chunks(spark, sf):
     lines, counts = _doc_lines(spark, sf)
-    return ch.line_chunks(lines, counts)
+    return ch.line_chunks(lines, counts, QUERY_CHUNK)
 
 
-@query("chunk_counts", _LINES_SQL + f"SELECT (line_idx // {DEFAULT_CHUNK_LINES})::BIGINT AS chunk_id, count(*)::BIGINT AS lines FROM n GROUP BY 1")
+@query("chunk_counts", _LINES_SQL + f"SELECT (line_idx // {QUERY_CHUNK})::BIGINT AS chunk_id, count(*)::BIGINT AS lines FROM n GROUP BY 1")
 def chunk_counts(spark, sf):
     _, counts = _doc_lines(spark, sf)
-    return ch.chunk_counts(counts)
+    return ch.chunk_counts(counts, QUERY_CHUNK)

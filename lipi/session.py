@@ -12,9 +12,6 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-TABLES = ("documents", "pages", "conversations", "benchmark", "labels")
-
-
 def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -27,6 +24,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(SPREAD, str(cores))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -78,19 +76,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str):
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+# Session setting: partitions a table is dealt over when it is read. Unset on
+# a cluster, where a large source keeps its scan splits and pays no shuffle;
+# a local session sets it because its tables are one file with one row group.
+SPREAD = "spark.lipi.spread"
 
 
-def spread(df):
-    """Text work is CPU-bound per row. When a source has fewer splits than
-    the cluster has cores (a small file in one row group), deal its rows
-    round-robin over the cores; a large source keeps its scan splits and
-    pays no shuffle."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+def read_table(spark: SparkSession, sf_dir: str, name: str):
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    n = spark.conf.get(SPREAD, None)
+    return df.repartition(int(n)) if n else df
 
 
 def keep_rows(df, cond):

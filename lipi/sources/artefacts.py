@@ -19,7 +19,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
-def save_model(vocab: DataFrame, merges: DataFrame, path: str, force: bool = False) -> None:
+def _params_text(params: TrainParams) -> str:
+    return json.dumps({"vocab_size": params.vocab_size, "min_frequency": params.min_frequency}, sort_keys=True)
+
+
+def save_model(vocab: DataFrame, merges: DataFrame, path: str, force: bool = False,
+               params: TrainParams | None = None) -> None:
+    """Vocabulary, merges, JSON, and last the ``complete`` marker with the
+    training parameters: a folder without it is a broken write."""
+    spark = vocab.sparkSession
+    if force:
+        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/complete")
+        marker.getFileSystem(spark._jsc.hadoopConfiguration()).delete(marker, True)
     mode = "overwrite" if force else "errorifexists"
     vocab.coalesce(1).write.mode(mode).parquet(f"{path}/vocab")
     merges.coalesce(1).write.mode(mode).parquet(f"{path}/merges")
@@ -32,14 +43,15 @@ def save_model(vocab: DataFrame, merges: DataFrame, path: str, force: bool = Fal
             "merges": [[r["left"], r["right"]] for r in merges.orderBy("rank").collect()],
         },
     }
-    spark = vocab.sparkSession
     spark.createDataFrame([(json.dumps(doc, ensure_ascii=False),)], "value string") \
         .coalesce(1).write.mode(mode).text(f"{path}/tokenizer_json")
+    spark.createDataFrame([(_params_text(params or TrainParams()),)], "value string") \
+        .coalesce(1).write.mode(mode).text(f"{path}/complete")
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, BpeModel]:
-    if not (_exists(spark, f"{path}/vocab") and _exists(spark, f"{path}/merges")):
-        raise FileNotFoundError(f"no tokenizer artefacts under {path}")
+    if not _exists(spark, f"{path}/complete"):
+        raise FileNotFoundError(f"no complete tokenizer artefacts under {path}")
     vocab = spark.read.parquet(f"{path}/vocab")
     merges = spark.read.parquet(f"{path}/merges")
     return vocab, merges, BpeModel.from_frames(vocab, merges)
@@ -47,9 +59,11 @@ def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Bp
 
 def train_or_load(spark: SparkSession, lines: DataFrame, path: str, line: str = "line",
                   params: TrainParams = TrainParams(), force: bool = False):
-    """Reuse saved artefacts unless `force`; otherwise train and save."""
-    if not force and _exists(spark, f"{path}/vocab"):
-        return load_model(spark, path)
+    """Reuse saved artefacts that are complete and were trained with the same
+    parameters, unless `force`; otherwise train and save."""
+    if not force and _exists(spark, f"{path}/complete"):
+        if spark.read.text(f"{path}/complete").first()[0] == _params_text(params):
+            return load_model(spark, path)
     res = train_bpe(spark, lines, line, params)
-    save_model(res.vocab, res.merges, path, force=True)
+    save_model(res.vocab, res.merges, path, force=True, params=params)
     return load_model(spark, path)

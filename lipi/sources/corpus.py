@@ -111,9 +111,17 @@ def dump_pages(spark: SparkSession, path: str) -> DataFrame:
     recs = (spark.read.option("lineSep", "<page>").text(path)
             .select(drop_bad_utf8(F.col("value").cast("binary").cast("string")).alias("rec"),
                     F.monotonically_increasing_id().alias("page_id")))
-    body = F.regexp_extract("rec", r"(?s)^[^\n]*\n(.*?)\n?[^\n]*</page>", 1)
+    # Linear in the page: cut at the first closing marker, then drop the line
+    # of the opening marker and what stands before the closing one.
+    head = F.substring_index("rec", "</page>", 1)
+    first = F.locate("\n", F.col("h"))
+    rest = F.substr("h", first + 1, F.length("h"))
+    last = F.substring_index("r", "\n", -1)
     return (recs.filter(F.col("rec").contains("</page>"))
-            .select("page_id", body.alias("body")))
+            .select("page_id", head.alias("h"))
+            .select("page_id", F.when(first > 0, rest).otherwise(F.lit("")).alias("r"))
+            .select("page_id", F.when(F.col("r").contains("\n"), F.substr(
+                "r", F.lit(1), F.length("r") - F.length(last) - 1)).otherwise(F.lit("")).alias("body")))
 
 
 def strip_lines(lines: DataFrame) -> DataFrame:

@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT_LOG_INTERVAL
 from ..operators import clean as cl
 from ..operators import counts as ct
 from ..operators import encode as en
@@ -40,42 +41,62 @@ def _work_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/lipi-{name}-{uuid.uuid4().hex}"
 
 
+COUNTS = "word string, cnt long, batch_id long"
+PROGRESS = "batch long, input_rows long, lines long"
+
+
 def stream_word_counts(spark: SparkSession, docs: DataFrame, key: str = "doc_id",
                        text: str = "text", out_dir: str | None = None):
     """Run the feed to completion; return (final word counts, progress).
-    Progress: input rows and kept lines per micro-batch (observed metrics)."""
+
+    Each micro-batch writes its partial counts and one progress row (input
+    rows and kept lines) into folders of its own batch id, so a retried batch
+    overwrites itself and the progress is complete however many batches there
+    were. With a fixed ``out_dir`` a restarted feed goes on behind the last
+    finished batch."""
     out = out_dir or _work_dir(spark, "wordcount")
-    corpus = cl.clean_corpus(docs, key, text)
-    lines = corpus.observe("feed", F.count(F.lit(1)).alias("lines"))
-    words = lines.select(F.explode(ct.training_words(lines, "clean")).alias("word"))
 
     def write_batch(batch: DataFrame, batch_id: int):
-        (batch.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+        batch = batch.persist()
+        corpus = cl.clean_corpus(batch, key, text).persist()
+        words = corpus.select(F.explode(ct.training_words(corpus, "clean")).alias("word"))
+        (words.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
          .write.mode("overwrite").parquet(f"{out}/partials/batch_id={batch_id}"))
+        spark.createDataFrame([(batch_id, batch.count(), corpus.count())], PROGRESS) \
+            .write.mode("overwrite").parquet(f"{out}/progress/{batch_id}")
+        corpus.unpersist()
+        batch.unpersist()
 
-    q = (words.writeStream.foreachBatch(write_batch)
+    q = (docs.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", f"{out}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    progress = [_progress_row(p) for p in q.recentProgress]
-    final = compact_counts(spark, out)
-    return final, progress
+    progress = _read(spark, f"{out}/progress/*", PROGRESS).orderBy("batch")
+    return compact_counts(spark, out), progress
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows written so far; none when the feed has had no batch."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
-def _progress_row(p) -> dict:
-    """Batch id, input rows and the observed line count of one micro-batch
-    (progress objects in PySpark 4, dicts in older releases)."""
-    get = (lambda k: p[k]) if isinstance(p, dict) else (lambda k: getattr(p, k))
-    observed = get("observedMetrics") or {}
-    feed_row = observed.get("feed")
-    lines = None
-    if feed_row is not None:
-        lines = feed_row["lines"] if not hasattr(feed_row, "asDict") else feed_row.asDict().get("lines")
-    return {"batch": get("batchId"), "input_rows": get("numInputRows"), "lines": lines}
+def log_marks(progress: DataFrame, every: int = DEFAULT_LOG_INTERVAL) -> DataFrame:
+    """(batch, mark): each multiple of ``every`` lines, with the batch that
+    reached it. Progress has one row per micro-batch."""
+    so_far = F.sum("lines").over(Window.orderBy("batch"))
+    marks = progress.select("batch", "lines", so_far.cast("long").alias("total"))
+    first = F.floor((F.col("total") - F.col("lines")) / every) + 1
+    last = F.floor(F.col("total") / every)
+    return marks.where(last >= first).select(
+        "batch", F.explode(F.sequence(first, last)).alias("k")).select("batch", (F.col("k") * every).alias("mark"))
 
 
 def compact_counts(spark: SparkSession, out: str) -> DataFrame:
-    parts = spark.read.parquet(f"{out}/partials")
+    parts = _read(spark, f"{out}/partials", COUNTS)
     return parts.groupBy("word").agg(F.sum("cnt").cast("long").alias("cnt"))
 
 
@@ -93,4 +114,4 @@ def stream_encode(spark: SparkSession, src: DataFrame, model: en.BpeModel, keys,
          .option("checkpointLocation", f"{out}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/rows").drop("batch_id")
+    return _read(spark, f"{out}/rows", encoded.schema.simpleString()[7:-1]).drop("batch_id")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 
 import regex
 from pyspark.sql import functions as F
@@ -18,7 +19,6 @@ TEXTS = ["abc abd, cab.", "  a  b ", "", "किन abc", "x [CLS] ab[SEP]", "
 
 def py_encode(text):
     tok2id, ranks, _ = _tables(MODEL)
-    import unicodedata
     out = []
     specials = r"\[PAD\]|\[UNK\]|\[CLS\]|\[SEP\]|\[MASK\]"
     for m in regex.finditer(rf"{specials}|\w+|(?:(?!{specials})[^\w\s])+", unicodedata.normalize("NFKC", text)):
@@ -63,36 +63,114 @@ def test_word_positions_and_overlap_match_brute_force(spark):
     exp_w = {(i, k, m.group(), m.start(), m.end()) for i, t in enumerate(texts)
              for k, m in enumerate(re.finditer(r"\S+", t))}
     assert {(r["doc_id"], r["word_idx"], r["word"], r["start"], r["end"]) for r in wrows} == exp_w
-    toks = en.token_offsets(en.encode(spark, df, MODEL))
-    got = {tuple(r) for r in en.overlap_join(toks, words, block=4).collect()}
-    brute = {(t["doc_id"], t["token_idx"], w["word_idx"]) for t in toks.collect() for w in wrows
-             if t["doc_id"] == w["doc_id"] and t["start"] < w["end"] and t["end"] > w["start"]}
-    assert got == brute
+
+
+# list as sent -> parsed ids (None: not a list of ids), text, status
+ID_LISTS = [
+    ("1,2", [1, 2], "[UNK] [CLS]", "ok"), ("1,,2", [1, 2], "[UNK] [CLS]", "ok"), (" 3 ", [3], "[SEP]", "ok"),
+    ("", [], "", "ok"), ("x", None, None, "invalid_id_list"), ("1.5", None, None, "invalid_id_list"),
+    ("99999999999", None, None, "invalid_id_list"), ("-1", None, None, "invalid_id_list"),
+    ("16", [16], "कि", "ok"), ("१२", [12], "क", "ok"), ("+4", [4], "[MASK]", "ok"),
+    ("4294967295", [4294967295], "", "unknown_id"), ("17,7", [17, 7], "a", "unknown_id"),
+]
 
 
 def test_parse_ids_edge_rows(spark):
-    vals = ["1,2", "1,,2", " 3 ", "", "x", "1.5", "99999999999", "-1", "16", "१२", "+4", "4294967295"]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "doc_id long, ids string")
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(ID_LISTS)], "doc_id long, ids string")
     rows = {r["doc_id"]: r for r in en.decode(df, MODEL, "doc_id", "ids").collect()}
-
-    def py(v):
-        try:
-            arr = [int(x) for x in v.split(",") if x.strip()]
-        except ValueError:
-            return None
-        if any(i < 0 or i > 4294967295 for i in arr):
-            return None
-        return arr
-    for i, v in enumerate(vals):
-        exp = py(v)
-        if exp is None:
-            assert rows[i]["status"] == "invalid_id_list", v
-            assert rows[i]["text"] is None
-        else:
-            assert rows[i]["ids"] == exp, v
-            known = [VOCAB[x] for x in exp if x < len(VOCAB)]
-            assert rows[i]["text"] == " ".join(known)
-            assert rows[i]["status"] == ("ok" if len(known) == len(exp) else "unknown_id")
+    for i, (sent, ids, text, status) in enumerate(ID_LISTS):
+        assert (rows[i]["ids"], rows[i]["text"], rows[i]["status"]) == (ids, text, status), sent
+
+
+def test_decode_flags_null_and_negative_ids(spark):
+    df = spark.createDataFrame([(0, [-1, 7]), (1, [None, 7]), (2, [7]), (3, None)], "doc_id long, ids array<int>")
+    got = {r["doc_id"]: (r["text"], r["status"]) for r in en.decode(df, MODEL).collect()}
+    assert got[0] == got[1] == ("a", "unknown_id") and got[2] == ("a", "ok")
+
+
+def test_large_vocabulary_plans_quickly(spark):
+    import time
+    model = BpeModel(tuple(f"t{i}" for i in range(50_000)), ())
+    df = spark.createDataFrame([(0, [5, 49_999, 50_000])], "doc_id long, ids array<int>")
+    t = time.time()
+    row = en.decode(df, model).collect()[0]
+    assert (row["text"], row["status"]) == ("t5 t49999", "unknown_id") and time.time() - t < 15
+
+
+def slow_bpe(word, ranks):
+    """Pair by pair, as the definition says."""
+    syms = list(word)
+    while True:
+        found = [(ranks[p][0], i) for i, p in enumerate(zip(syms, syms[1:])) if p in ranks]
+        if not found:
+            return syms
+        _, i = min(found)
+        syms[i:i + 2] = [syms[i] + syms[i + 1]]
+
+
+def test_word_merge_equals_definition_and_is_fast():
+    import random
+    import time
+    rng = random.Random(4)
+    for _ in range(200):
+        merges, texts = [], ["a", "b", "c"]
+        for _ in range(rng.randrange(1, 9)):
+            pair = (rng.choice(texts), rng.choice(texts))
+            if pair not in merges:
+                merges.append(pair)
+                texts.append(pair[0] + pair[1])
+        tok2id, ranks, _ = _tables(BpeModel(VOCAB[:5] + tuple(dict.fromkeys(texts)), tuple(merges)))
+        for _ in range(10):
+            w = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 14)))
+            assert [t for t, _ in encode_word(w, tok2id, ranks)] == slow_bpe(w, ranks), (w, merges)
+    tok2id, ranks, _ = _tables(MODEL)
+    t = time.time()
+    assert len(encode_word("abc" * 33_334, tok2id, ranks)) == 33_334 and time.time() - t < 5
+
+
+def test_alignment_is_exact_around_composing_characters(spark):
+    """Hangul jamo, two-part Bengali and Tamil vowels: only the composed span
+    is shared, every other offset is exact."""
+    cases = {"\u1112\u1161\u11ab abc": [(0, 3), (4, 7)], "কো abc abd": None,
+             "\u0b95\u0bc6\u0bbe abc": None, "\uff41\uff42 abc": [(0, 2), (3, 6)]}
+    for text, spans in cases.items():
+        norm, a, b = en.nfkc_with_alignment(text)
+        assert norm == unicodedata.normalize("NFKC", text)
+        at = norm.index("abc")
+        assert (a[at], b[at + 2]) == (text.index("abc"), text.index("abc") + 3)
+        assert max(y - x for x, y in zip(a, b)) <= 3
+    df = spark.createDataFrame([(0, "কো abc abd abc")], "doc_id long, text string")
+    e = en.encode(spark, df, MODEL)
+    got = [(r["token"], r["start"], r["end"]) for r in en.token_offsets(e).orderBy("token_idx").collect()]
+    text = "কো abc abd abc"
+    cut = text.index("a")
+    assert got[-4:] == [("abc", cut, cut + 3), ("ab", cut + 4, cut + 6), ("d", cut + 6, cut + 7), ("abc", cut + 8, cut + 11)]
+    pairs = en.overlap_pairs(en.token_word_spans(e)).count()
+    assert pairs == len(got)
+
+
+def test_alignment_on_random_text():
+    import random
+    rng = random.Random(9)
+    pool = "ab é\u0301\u1112\u1161\u11a8ক\u09c7\u09beﬁ½\u0327ＡＢ\u3099か"
+    for _ in range(3000):
+        t = "".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))
+        norm, a, b = en.nfkc_with_alignment(t)
+        assert norm == unicodedata.normalize("NFKC", t), t.encode("unicode_escape")
+        assert len(norm) == len(a) == len(b) and all(x < y for x, y in zip(a, b)) and a == sorted(a)
+
+
+def test_words_without_tokens_stay(spark):
+    texts = ["abc abd, cab.", "  किन abc x", "ﬁab ab", "", "a b  c\td"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sp = en.token_word_spans(en.encode(spark, df, MODEL))
+    pairs = {}
+    for r in en.overlap_pairs(sp).collect():
+        pairs.setdefault((r["doc_id"], r["word_idx"]), []).append(r["token_idx"])
+    got = {(r["doc_id"], r["word_idx"]): list(range(r["tlo"], r["thi"])) for r in en.word_token_ranges(sp).collect()}
+    assert got == {(i, k): sorted(pairs.get((i, k), [])) for i, t in enumerate(texts) for k, _ in enumerate(t.split())}
+    wt, ws, lo, hi, tlo, thi = en._spans("ab cd ef", [0, 6], [2, 8])      # no token on the second word
+    assert [(x, y) for x, y in zip(tlo.tolist(), thi.tolist())] == [(0, 1), (1, 1), (1, 2)]
 
 
 def test_decode_skip_special(spark):

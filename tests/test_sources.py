@@ -2,53 +2,48 @@
 
 import bz2
 import os
+import shutil
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from lipi.sources import corpus as src
 
 
-def py_pages(lines):
-    """The line rule of the dump reader (malformed double close excluded)."""
-    out, page, rec = [], [], False
-    for line in lines:
-        if "<page>" in line:
-            page, rec = [], True
-            continue
-        if "</page>" in line:
-            if rec:
-                out.append("\n".join(page))
-            rec = False
-            continue
-        if rec:
-            page.append(line)
-    return out
-
-
+# dump lines -> page bodies, written out by hand
 DUMPS = [
-    ["before", "<page>", "a", "b", "</page>", "between", "  <page>", "c", "  </page>"],
-    ["<page>", "x", "<page>", "y", "</page>"],
-    ["<page>", "</page>", "<page>", "never closed"],
+    (["before", "<page>", "a", "b", "</page>", "between", "  <page>", "c", "  </page>"], ["a\nb", "c"]),
+    (["<page>", "x", "<page>", "y", "</page>"], ["y"]),
+    (["<page>", "</page>", "<page>", "never closed"], [""]),
+    (["</page>", "<page>", "a", "</page>", "b", "</page>"], ["a"]),
 ]
 
 
-def test_page_assembly_matches_line_rule(spark):
-    text = ["\n".join(d) for d in DUMPS]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "doc_id long, text string")
+def bodies_between_markers(lines):
+    """From marker positions: a closing marker ends a page if the nearest
+    marker before it is an opening one; the body is the slice in between."""
+    marks = [(i, "<page>" in line) for i, line in enumerate(lines) if "<page>" in line or "</page>" in line]
+    return ["\n".join(lines[a + 1:b]) for (a, opens), (b, again) in zip(marks, marks[1:]) if opens and not again]
+
+
+def test_page_assembly_expected_bodies(spark):
+    df = spark.createDataFrame([(i, "\n".join(d)) for i, (d, _) in enumerate(DUMPS)], "doc_id long, text string")
     got = src.page_bodies_from_lines(src.document_lines(df)).orderBy("doc_id", "page_start").collect()
-    for i, d in enumerate(DUMPS):
-        assert [r["body"] for r in got if r["doc_id"] == i] == py_pages(d)
+    for i, (lines, bodies) in enumerate(DUMPS):
+        assert [r["body"] for r in got if r["doc_id"] == i] == bodies == bodies_between_markers(lines)
 
 
 def test_dump_pages_from_bz2(spark):
     d = tempfile.mkdtemp(prefix="lipi-dump-")
-    body = "head\n<page>\n  <title>A</title>\n  text [1] {{t}}\n</page>\n<page>\nB\n</page>\n<page>\nopen\n"
+    long = "x" * 200_000
+    body = ("head\n<page>\n  <title>A</title>\n  text [1] {{t}}\n</page>\n<page>\nB\n</page>\n"
+            f"<page>\n</page>\n<page>\n{long}\n\n  </page>\n<page>\nopen\n")
     with bz2.open(os.path.join(d, "dump.xml.bz2"), "wt") as f:
         f.write(body)
     rows = src.dump_pages(spark, d).collect()
-    assert sorted(r["body"] for r in rows) == sorted(py_pages(body.split("\n")))
+    assert sorted(r["body"] for r in rows) == sorted(["  <title>A</title>\n  text [1] {{t}}", "B", "", long + "\n"])
 
 
 def test_text_file_lines_drop_bad_bytes(spark):
@@ -72,10 +67,35 @@ def test_stream_equals_batch_two_batches(spark):
         f = [x for x in os.listdir(f"{d}/{p}") if x.endswith(".parquet")][0]
         os.link(f"{d}/{p}/{f}", f"{flat}/documents-{i}.parquet")
     stream = feed.file_stream(spark, flat, "documents-*.parquet", max_files_per_trigger=1)
-    final, progress = feed.stream_word_counts(spark, stream)
-    assert len([p for p in progress if p["input_rows"]]) == 2
+    out = tempfile.mkdtemp(prefix="lipi-stream-out-")
+    final, progress = feed.stream_word_counts(spark, stream, out_dir=out)
+    rows = progress.collect()
+    assert [r["batch"] for r in rows] == [0, 1] and sum(r["input_rows"] for r in rows) == docs.count()
     batch = word_counts(clean_corpus(docs), "clean")
-    assert sorted(map(tuple, final.collect())) == sorted(map(tuple, batch.collect()))
+    want = sorted(map(tuple, batch.collect()))
+    assert sorted(map(tuple, final.collect())) == want
+    # a restart with nothing new changes nothing; with a new file it goes on
+    again = feed.file_stream(spark, flat, "documents-*.parquet", max_files_per_trigger=1)
+    assert sorted(map(tuple, feed.stream_word_counts(spark, again, out_dir=out)[0].collect())) == want
+    more = spark.createDataFrame([(10**6, "restart " * 20, "en", "s", 1)], docs.schema)
+    more.coalesce(1).write.parquet(f"{d}/part2")
+    f = [x for x in os.listdir(f"{d}/part2") if x.endswith(".parquet")][0]
+    os.link(f"{d}/part2/{f}", f"{flat}/documents-2.parquet")
+    final, progress = feed.stream_word_counts(
+        spark, feed.file_stream(spark, flat, "documents-*.parquet", max_files_per_trigger=1), out_dir=out)
+    got = {r["word"]: r["cnt"] for r in final.collect()}
+    assert got == {**dict(want), "restart": 20} and progress.count() == 3
+    marks = feed.log_marks(progress, 50).collect()
+    total = sum(r["lines"] for r in progress.collect())
+    assert [r["mark"] for r in marks] == list(range(50, total + 1, 50))
+
+
+def test_empty_feed_gives_no_words(spark):
+    from lipi.streaming import feed
+    d = tempfile.mkdtemp(prefix="lipi-empty-")
+    stream = spark.readStream.schema("doc_id long, text string").parquet(d)
+    final, progress = feed.stream_word_counts(spark, stream)
+    assert final.collect() == [] and progress.collect() == [] and feed.log_marks(progress).collect() == []
 
 
 def test_chunks_match_dense_numbering(spark):
@@ -95,12 +115,19 @@ def test_chunks_match_dense_numbering(spark):
 
 def test_artefacts_round_trip(spark):
     from lipi.config import TrainParams
-    from lipi.sources.artefacts import train_or_load
+    from lipi.sources.artefacts import load_model, train_or_load
     lines = spark.createDataFrame([(0, "abc abd abc")], "doc_id long, line string")
     path = tempfile.mkdtemp(prefix="lipi-model-") + "/m"
     v1, m1, model1 = train_or_load(spark, lines, path, params=TrainParams(vocab_size=20, min_frequency=1))
-    v2, m2, model2 = train_or_load(spark, lines, path)
+    p = TrainParams(vocab_size=20, min_frequency=1)
+    v2, m2, model2 = train_or_load(spark, lines, path, params=p)
     assert model1 == model2 and "abc" in model2.vocab
+    other = train_or_load(spark, lines, path, params=TrainParams(vocab_size=9, min_frequency=1))[2]
+    assert len(other.vocab) < len(model1.vocab)              # other parameters: trained anew
+    shutil.rmtree(f"{path}/complete")                        # a broken write is not loaded
+    with pytest.raises(FileNotFoundError):
+        load_model(spark, path)
+    assert train_or_load(spark, lines, path, params=p)[2] == model1
 
 
 def test_write_corpus_counts_in_same_pass(spark):
@@ -122,4 +149,4 @@ def test_page_assembly_one_dump_over_many_buckets(spark):
     df = spark.createDataFrame([(0, "\n".join(lines))], "doc_id long, text string")
     for b in (1, 7, 23):
         got = src.page_bodies_from_lines(src.document_lines(df), buckets=b).orderBy("page_start").collect()
-        assert [r["body"] for r in got] == py_pages(lines)
+        assert [r["body"] for r in got] == bodies_between_markers(lines)

@@ -15,8 +15,10 @@ sorted set, and its size) are one class. Class representatives are banded
 id first; links are confirmed on the full sets of the texts and joined by
 union-find. What is still in different components inside one bucket is
 compared in blocks of at most BLOCK x BLOCK signatures, so no task holds a
-bucket and no pair within a component is made. Signatures only rule pairs out
-that are more than 0.2 below the threshold (over five standard errors).
+bucket and no pair within a component is made; only the members of candidate
+pairs fetch their texts, and a block reports the links that join components
+(a spanning forest), never its pairs. Signatures only rule pairs out that are
+more than 0.2 below the threshold (over five standard errors).
 
 Defined results: A-Z are lower-cased; null text counts as empty; a document
 without words has n_shingles 0 and is linked with nothing; with fewer than
@@ -149,20 +151,13 @@ def _bands(batches):
         sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, M)
         ids = b.column("doc_id").to_numpy()
         for lo in range(0, len(sig), 2048):
-            s = sig[lo:lo + 2048].astype(np.uint64).reshape(-1, BANDS, ROWS)
-            key = np.zeros(s.shape[:2], np.uint64)
-            for r in range(ROWS):
-                key = mix(key * U(0x9E3779B97F4A7C15) + s[:, :, r] + U(1))
-            band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), key.shape)
-            key = mix(key ^ (band << U(56)))
+            key = band_keys(sig[lo:lo + 2048])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(ids[lo:lo + 2048], BANDS))],
                 names=["bucket", "doc_id"])
 
 
-def estimate_ok(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    need = (THRESHOLD[0] / THRESHOLD[1] - SLACK) * M
-    return (a == b).sum(axis=-1) >= need
+LEAST = (THRESHOLD[0] / THRESHOLD[1] - SLACK) * M    # agreeing slots of a candidate pair
 
 
 def _estimate(batches):
@@ -172,7 +167,7 @@ def _estimate(batches):
             continue
         a = np.frombuffer(b"".join(b.column("sa").to_pylist()), dtype=np.uint32).reshape(-1, M)
         c = np.frombuffer(b"".join(b.column("sb").to_pylist()), dtype=np.uint32).reshape(-1, M)
-        ok = np.flatnonzero(estimate_ok(a, c))
+        ok = np.flatnonzero((a == c).sum(axis=1) >= LEAST)
         yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(ok)), b.column("b").take(pa.array(ok))],
                                          names=["a", "b"])
 
@@ -185,7 +180,7 @@ def text_set(text: bytes) -> np.ndarray:
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     union = len(x) + len(y) - both
-    return both > 0 and THRESHOLD[1] * both >= THRESHOLD[0] * union
+    return bool(both > 0 and THRESHOLD[1] * both >= THRESHOLD[0] * union)
 
 
 def _verify(batches):
@@ -204,43 +199,101 @@ def _verify(batches):
                                           b.column("b").take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
 
-def _cross(batches):
-    """Rows sorted by block pair: compare every left with every right
-    signature of one (bucket, block pair) that is in another component."""
-    def flush(rows):
-        if len(rows) < 2:
-            return None
-        side = np.array([r[0] for r in rows])
-        ids = np.array([r[1] for r in rows], dtype=np.int64)
-        comp = np.array([r[2] for r in rows], dtype=np.int64)
-        sig = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint32).reshape(-1, M)
-        left = np.flatnonzero(side != 1)
-        right = np.flatnonzero(side != 0)
-        out_a, out_b = [], []
-        for i in left:
-            cand = right[(comp[right] != comp[i]) & ((side[i] == 0) | (right > i))]
-            if len(cand):
-                hit = cand[estimate_ok(sig[cand], sig[i])]
-                out_a.append(np.minimum(ids[hit], ids[i]))
-                out_b.append(np.maximum(ids[hit], ids[i]))
-        if not out_a:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))],
-                                          names=["a", "b"])
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """Bucket key of every band of every signature (n x BANDS)."""
+    s = sig.astype(np.uint64).reshape(-1, BANDS, ROWS)
+    key = np.zeros(s.shape[:2], np.uint64)
+    for r in range(ROWS):
+        key = mix(key * U(0x9E3779B97F4A7C15) + s[:, :, r] + U(1))
+    return mix(key ^ (np.arange(BANDS, dtype=np.uint64) << U(56)))
+
+
+def block_pairs(bucket, side, comp, sig):
+    """(i, j, agreeing slots) of a block's left and right rows that are in
+    different components, that the signatures do not rule out, and that meet
+    in no earlier band (so that a pair is looked at once)."""
+    keys = band_keys(sig)
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    out = []
+    for i in left:
+        j = right[(comp[right] != comp[i]) & ((side[i] == 0) | (right > i))]
+        if not len(j):
+            continue
+        agree = (sig[j] == sig[i]).sum(axis=1)
+        ok = agree >= LEAST
+        j, agree = j[ok], agree[ok]
+        first = (keys[j] == keys[i]).argmax(axis=1)
+        own = keys[i][first] == np.uint64(bucket % (1 << 64))
+        out.extend(zip([i] * int(own.sum()), j[own].tolist(), agree[own].tolist()))
+    return out
+
 
+def _blocks(batches, names):
+    """Rows of each (bucket, block pair) of a sorted partition."""
     key, rows = None, []
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("bucket", "bi", "bj", "side", "doc_id", "comp", "sig")]
-        for bucket, bi, bj, side, d, c, s in zip(*cols):
+        cols = [b.column(c).to_pylist() for c in ("bucket", "bi", "bj", *names)]
+        for bucket, bi, bj, *row in zip(*cols):
             if (bucket, bi, bj) != key:
-                got = flush(rows)
-                if got is not None:
-                    yield got
+                if rows:
+                    yield key, rows
                 key, rows = (bucket, bi, bj), []
-            rows.append((side, d, c, s))
-    got = flush(rows)
-    if got is not None:
-        yield got
+            rows.append(row)
+    if rows:
+        yield key, rows
+
+
+def _arrays(rows):
+    side, comp = np.array([r[0] for r in rows]), np.array([r[2] for r in rows], dtype=np.int64)
+    return side, comp, np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint32).reshape(-1, M)
+
+
+def _open_members(batches):
+    """The rows of a block that are in any candidate pair (not the pairs)."""
+    for (bucket, bi, bj), rows in _blocks(batches, ("side", "doc_id", "comp", "sig")):
+        if len(rows) < 2:
+            continue
+        side, comp, sig = _arrays(rows)
+        used = sorted({x for i, j, _ in block_pairs(bucket, side, comp, sig) for x in (i, j)})
+        if used:
+            n = len(used)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v] * n, pa.int64()) for v in (bucket, bi, bj)]
+                + [pa.array([rows[x][0] for x in used], pa.int32())]
+                + [pa.array([rows[x][c] for x in used], pa.int64()) for c in (1, 2)]
+                + [pa.array([rows[x][3] for x in used], pa.binary())],
+                names=["bucket", "bi", "bj", "side", "doc_id", "comp", "sig"])
+
+
+def _confirm(batches):
+    """Candidate pairs of a block on their full sets, most alike first; pairs
+    that union-find has joined meanwhile are skipped."""
+    for (bucket, _, _), rows in _blocks(batches, ("side", "doc_id", "comp", "sig", "_bytes")):
+        if len(rows) < 2:
+            continue
+        side, comp, sig = _arrays(rows)
+        up: dict = {}
+
+        def find(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+        sets: dict = {}
+        out_a, out_b = [], []
+        for i, j, _ in sorted(block_pairs(bucket, side, comp, sig), key=lambda p: -p[2]):
+            x, y = find(int(comp[i])), find(int(comp[j]))
+            if x == y:
+                continue
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = text_set(rows[k][4])
+            if linked(sets[i], sets[j]):
+                up[max(x, y)] = min(x, y)
+                out_a.append(rows[i][1])
+                out_b.append(rows[j][1])
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,12 +316,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return (shuffled(pairs).join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
                 .join(shuffled(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))), "b"))
 
+    def texts_of(ids):
+        wanted = ids.distinct().join(reps.select("doc_id", "xx"), "doc_id")
+        return staged(raw.select("doc_id", F.xxhash64("_bytes").alias("xx"), "_bytes")
+                      .join(shuffled(wanted), ["doc_id", "xx"], "left_semi")
+                      .dropDuplicates(["doc_id", "xx"]).select("doc_id", "_bytes"), "texts")
+
     def verified(pairs, name):
-        wanted = (pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-                  .join(reps.select("doc_id", "xx"), "doc_id"))
-        texts = staged(raw.select("doc_id", F.xxhash64("_bytes").alias("xx"), "_bytes")
-                       .join(shuffled(wanted), ["doc_id", "xx"], "left_semi")
-                       .dropDuplicates(["doc_id", "xx"]).select("doc_id", "_bytes"), "texts")
+        texts = texts_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
         both = (shuffled(pairs).join(texts.select(F.col("doc_id").alias("b"), F.col("_bytes").alias("tb")), "b")
                 .join(shuffled(texts.select(F.col("doc_id").alias("a"), F.col("_bytes").alias("ta"))), "a")
                 .sortWithinPartitions("a"))
@@ -302,10 +357,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                       .otherwise(1).alias("side"), "doc_id", "comp"))
     dealt = (spread.join(shuffled(sig), "doc_id").repartition(parts(docs.sparkSession), "bucket", "bi", "bj")
              .sortWithinPartitions("bucket", "bi", "bj"))
-    cand2 = (dealt.select("bucket", "bi", "bj", "side", "doc_id", "comp", "sig")
-             .mapInArrow(_cross, "a long, b long").distinct()
-             .join(cand1, ["a", "b"], "left_anti"))
-    links2 = verified(staged(cand2, "cross_pairs"), "cross_links")
+    members = staged(dealt.select("bucket", "bi", "bj", "side", "doc_id", "comp", "sig").mapInArrow(
+        _open_members, "bucket long, bi long, bj long, side int, doc_id long, comp long, sig binary"), "open_members")
+    texts = texts_of(members.select("doc_id"))
+    again = (members.join(shuffled(texts), "doc_id").repartition(parts(docs.sparkSession), "bucket", "bi", "bj")
+             .sortWithinPartitions("bucket", "bi", "bj"))
+    links2 = staged(again.select("bucket", "bi", "bj", "side", "doc_id", "comp", "sig", "_bytes")
+                    .mapInArrow(_confirm, "a long, b long"), "cross_links")
     # class members follow their representative
     final = components(comp.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(links2))
     rep_comp = (reps.select(*key, F.col("doc_id").alias("rep")).join(

@@ -9,10 +9,10 @@ covers it also starts in a document with a smaller id.
    two documents matter, and equal contexts of an anchor are one reference,
    owned by the smallest document.
 2. Reference shards. The contexts of an anchor are a shard, of at most SHARD
-   contexts. An anchor with more is first trimmed to windows whose hash occurs
-   in two documents (surroundings of a frequent passage go, the passage itself
-   collapses to one context); what is still larger is cut into several shards,
-   and every shard meets every block of contexts.
+   contexts. An anchor with more has several shards, and every shard meets
+   every block of its contexts. An anchor with over TRIM shards is first
+   trimmed to windows whose hash occurs in two documents: surroundings of a
+   frequent passage go, the passage itself collapses to one context.
 3. A shard's suffix automaton is built over its references by rising owner, so
    the owner of a state is the first document that holds its substrings. It is
    sent to the tasks that hold contexts of that anchor (never to all tasks: its
@@ -41,6 +41,8 @@ from .textwords import U, _BASE, _INV, _powers, blocks_of, hash_words, mix, span
 WINDOW = 50
 K = 12                   # words of an anchor
 SHARD = 1000             # contexts of one reference shard
+TRIM = 16                # shards from which trimming (a row per window, about 25 a
+                         # context) costs less than pairing (a row per shard)
 
 
 def anchors(words: np.ndarray, doc: np.ndarray, window: int = WINDOW, k: int = K) -> tuple:
@@ -296,7 +298,7 @@ def _remove(batches):
             names=["doc_id", "n_words", "n_removed", "spans", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD, trim: int = TRIM) -> DataFrame:
     """doc_id, n_words, n_removed, spans (word ranges removed), kept_text
     (kept words joined by one space): one row per input row."""
     spark = docs.sparkSession
@@ -316,7 +318,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     contexts = staged(found.select("doc_id", "_bytes", "cuts").mapInArrow(
         _cut_contexts, "h long, ctx long, owner long, top long, words binary"), "contexts")
     per = contexts.groupBy("h").agg(F.count("*").alias("m"))
-    crowded = per.where(F.col("m") > shard).select("h")
+    crowded = per.where(F.col("m") > shard * trim).select("h")
     # crowded anchors: windows that one document alone holds cannot match
     thick = contexts.join(crowded, "h", "left_semi")
     keys = thick.mapInArrow(_window_keys, "h long, ctx long, owner long, top long, w long, j int")

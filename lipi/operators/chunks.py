@@ -17,8 +17,8 @@ from ..config import DEFAULT_CHUNK_LINES
 
 def doc_offsets(counts: DataFrame, buckets: int | None = None) -> DataFrame:
     """counts (doc_id, n) -> (doc_id, n, offset): lines before the document."""
-    sc = counts.sparkSession.sparkContext
-    p = buckets or sc.defaultParallelism
+    # one bucket per input partition: they grow with the data
+    p = buckets or max(counts.sparkSession.sparkContext.defaultParallelism, counts.rdd.getNumPartitions())
     b = (counts.repartitionByRange(p, "doc_id")
          .withColumn("bucket", F.spark_partition_id())
          .checkpoint(eager=True))  # fixes the bucket of every row

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import SPECIAL_TOKENS, UNK_ID
-from ..functions.text import NEEDS_NFKC_RE, WS_PY_CHARS
+from ..functions.text import NEEDS_NFKC_RE, WS_PY_CHARS, nfkc
 
 # Largest model shipped to tasks; a vocabulary is bounded by vocab_size.
 MAX_MODEL_TOKENS = 2_000_000
@@ -224,6 +224,43 @@ def _nfkc_align_udf(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"norm": norm, "ostart": os_, "oend": oe})
 
 
+def _make_id_encoder(bc):
+    """Ids only: what id lists, counts and ratios need (Spark cannot prune the
+    fields a Python function builds)."""
+    specials = {t: i for i, t in enumerate(SPECIAL_TOKENS)}
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def enc(pieces: pd.Series) -> pd.Series:
+        tok2id, ranks, cache = _tables(bc.value)
+        if len(cache) > _CACHE_LIMIT:
+            cache.clear()
+
+        def one(ps):
+            ids = []
+            for p in (ps if ps is not None else ()):
+                if p in specials:
+                    ids.append(specials[p])
+                elif p and p[0] not in _WHITE_SPACE:
+                    got = cache.get(p)
+                    if got is None:
+                        got = encode_word(p, tok2id, ranks)
+                        if len(p) <= _CACHE_CHARS:
+                            cache[p] = got
+                    ids.extend([i for _, i in got])
+            return ids
+        return pieces.map(one)
+    return enc
+
+
+def encode_ids(spark: SparkSession, df: DataFrame, model: BpeModel, key="doc_id", text: str = "text") -> DataFrame:
+    """(*keys, text, ids) without token texts and offsets. Row-local."""
+    from ..session import ship_code
+    ship_code(spark)
+    t = F.col(text)
+    pieces = F.regexp_extract_all(nfkc(t), F.lit(PIECES_RE), 0)
+    return df.select(*_keys(key), t.alias("text"), _make_id_encoder(_broadcast_model(spark, model))(pieces).alias("ids"))
+
+
 def _broadcast_model(spark: SparkSession, model: BpeModel):
     return spark.sparkContext.broadcast(model)
 
@@ -282,10 +319,10 @@ def ratio_text(r: Column) -> Column:
 
 
 def encode_summary(encoded: DataFrame, key="doc_id") -> DataFrame:
-    """(*keys, ids, tokens, ids_csv, token_count, compression_ratio)."""
+    """(*keys, ids, [tokens,] ids_csv, token_count, compression_ratio)."""
     n = F.size("ids")
     ratio = compression_ratio(F.col("text"), F.col("ids"))
-    return encoded.select(*_keys(key), "ids", "tokens",
+    return encoded.select(*_keys(key), "ids", *[c for c in ("tokens",) if c in encoded.columns],
                           ids_csv(F.col("ids")).alias("ids_csv"),
                           n.cast("int").alias("token_count"),
                           ratio.cast("double").alias("compression_ratio"))

@@ -29,6 +29,14 @@ def enc_docs(spark, sf):
     return en.encode(spark, read_table(spark, sf, "documents"), model_of(spark, sf), "doc_id", "text")
 
 
+def ids_docs(spark, sf, keys=DOC):
+    return en.encode_ids(spark, read_table(spark, sf, "documents"), model_of(spark, sf), keys, "text")
+
+
+def ids_convs(spark, sf):
+    return en.encode_ids(spark, read_table(spark, sf, "conversations"), model_of(spark, sf), CONV, "text")
+
+
 def enc_convs(spark, sf):
     return en.encode(spark, read_table(spark, sf, "conversations"), model_of(spark, sf), CONV, "text")
 
@@ -46,32 +54,32 @@ def _summary(encoded, keys):
 
 @query("encode_documents", f"WITH {train_prefix()},\n{_enc('', 'documents', DOC, 'text')}\n{_summary_sql(DOC)}")
 def encode_documents(spark, sf):
-    return _summary(enc_docs(spark, sf), DOC)
+    return _summary(ids_docs(spark, sf), DOC)
 
 
 @query("encode_conversations", f"WITH {train_prefix()},\n{_enc('', 'conversations', CONV, 'text')}\n{_summary_sql(CONV)}")
 def encode_conversations(spark, sf):
-    return _summary(enc_convs(spark, sf), CONV)
+    return _summary(ids_convs(spark, sf), CONV)
 
 
 @query("encode_benchmark", f"WITH {train_prefix()},\n{_enc('', 'benchmark', ['item_id'], 'text')}\n{_summary_sql(['item_id'])}")
 def encode_benchmark(spark, sf):
     """Held-out items encoded with the vocabulary of the documents."""
-    e = en.encode(spark, read_table(spark, sf, "benchmark"), model_of(spark, sf), "item_id", "text")
+    e = en.encode_ids(spark, read_table(spark, sf, "benchmark"), model_of(spark, sf), "item_id", "text")
     return _summary(e, ["item_id"])
 
 
 @query("encode_csv", f"WITH {train_prefix()},\n{_enc('', 'conversations', CONV, 'text')}\n"
        "SELECT conv_id, turn, array_to_string(ids, ',') AS ids_csv FROM enc")
 def encode_csv(spark, sf):
-    return enc_convs(spark, sf).select(*CONV, en.ids_csv(F.col("ids")).alias("ids_csv"))
+    return ids_convs(spark, sf).select(*CONV, en.ids_csv(F.col("ids")).alias("ids_csv"))
 
 
 @query("encode_stats", f"WITH {train_prefix()},\n{_enc('', 'conversations', CONV, 'text')}\n"
        "SELECT conv_id, turn, len(ids)::INT AS token_count, r AS compression_ratio, printf('%.2f', r) AS ratio_text FROM "
        "(SELECT *, (CASE WHEN len(ids) > 0 THEN length(text) / len(ids) ELSE 0.0 END)::DOUBLE AS r FROM enc)")
 def encode_stats(spark, sf):
-    e = enc_convs(spark, sf)
+    e = ids_convs(spark, sf)
     r = en.compression_ratio(F.col("text"), F.col("ids"))
     return e.select(*CONV, F.size("ids").cast("int").alias("token_count"), r.alias("compression_ratio"),
                     en.ratio_text(r).alias("ratio_text"))
@@ -207,7 +215,7 @@ def md5_bucket_q(spark, sf):
        "SELECT doc_id, array_to_string(tokens, ' ') AS text, 'ok' AS status FROM enc")
 def decode_documents(spark, sf):
     m = model_of(spark, sf)
-    return en.decode(enc_docs(spark, sf), m, "doc_id", "ids").select("doc_id", "text", "status")
+    return en.decode(ids_docs(spark, sf), m, "doc_id", "ids").select("doc_id", "text", "status")
 
 
 # Id lists as users send them: plain, with blank items, with a word, with
@@ -217,7 +225,7 @@ _BROKEN = ("CASE conv_id % 6 WHEN 1 THEN s || ',, ,' WHEN 2 THEN s || ',x' WHEN
 
 
 def _sent_lists(spark, sf):
-    csv = enc_convs(spark, sf).select(*CONV, en.ids_csv(F.col("ids")).alias("s"))
+    csv = ids_convs(spark, sf).select(*CONV, en.ids_csv(F.col("ids")).alias("s"))
     return csv.select(*CONV, F.expr(_BROKEN).alias("ids_csv"))
 
 
@@ -247,7 +255,7 @@ def round_trip(spark, sf):
     so any text with adjacent pre-tokens is lossy)."""
     m = model_of(spark, sf)
     # The original text rides in the key, so the comparison stays in the row.
-    e = enc_docs(spark, sf).withColumn("k", F.struct("doc_id", "text"))
+    e = ids_docs(spark, sf).withColumn("k", F.struct("doc_id", "text"))
     d = en.decode(e, m, "k", "ids")
     return d.select(F.col("doc_id.doc_id").alias("doc_id"),
                     (F.col("text") == F.col("doc_id.text")).alias("lossless"))
@@ -327,7 +335,7 @@ _SAMPLE_SQL = (f"samp AS (SELECT doc_id, e AS text FROM (SELECT doc_id, {S.eval_
 def eval_metrics(spark, sf):
     """The trainer's evaluation: first 1,000 non-empty lines of the corpus."""
     samp = first_n(eval_lines(spark, sf), DEFAULT_EVAL_LINES, "doc_id").withColumnRenamed("line", "text")
-    return ev.metrics(en.encode(spark, samp, model_of(spark, sf), "doc_id", "text"))
+    return ev.metrics(en.encode_ids(spark, samp, model_of(spark, sf), "doc_id", "text"))
 
 
 @query("eval_by_lang", f"""WITH {train_prefix()},
@@ -349,7 +357,7 @@ def eval_by_lang(spark, sf):
     lines = corpus_src.document_lines(read_table(spark, sf, "documents"), carry=["lang"])
     rows = keep_rows(lines.select("doc_id", "line_no", "lang", tx.eval_clean(F.col("line")).alias("text")),
                      F.col("text") != "")
-    e = en.encode(spark, rows, model_of(spark, sf), ["doc_id", "line_no", "lang"], "text")
+    e = en.encode_ids(spark, rows, model_of(spark, sf), ["doc_id", "line_no", "lang"], "text")
     return ev.metrics(e, group=["lang"])
 
 
@@ -358,8 +366,7 @@ SELECT d.lang, sum(len(e.ids))::BIGINT AS tokens, sum(len(list_filter(e.ids, lam
        (sum(len(list_filter(e.ids, lambda i: i = {UNK_ID}))) / greatest(1, sum(len(e.ids))))::DOUBLE AS unk_rate
 FROM enc e JOIN documents d USING (doc_id) GROUP BY d.lang""")
 def unk_by_lang(spark, sf):
-    docs = read_table(spark, sf, "documents")
-    e = en.encode(spark, docs, model_of(spark, sf), ["doc_id", "lang"], "text")
+    e = ids_docs(spark, sf, ["doc_id", "lang"])
     n = F.size("ids")
     u = F.size(F.filter("ids", lambda i: i == UNK_ID))
     return (e.groupBy("lang").agg(F.sum(n).cast("long").alias("tokens"), F.sum(u).cast("long").alias("unk"))
@@ -387,5 +394,5 @@ def eval_metrics_n(spark, sf):
     raw = raw_sample(spark, sf).repartition(spark.sparkContext.defaultParallelism)
     src = keep_rows(raw.select("doc_id", "line_no", tx.collapse_ws(tx.py_strip(F.col("line"))).alias("text")),
                     F.col("text") != "")
-    e = en.encode(spark, src, model_of(spark, sf), ["doc_id", "line_no"], "text")
+    e = en.encode_ids(spark, src, model_of(spark, sf), ["doc_id", "line_no"], "text")
     return ev.metrics(e, words_floor_one=True, zero_when_empty=True)

@@ -24,9 +24,10 @@ _MODELS: dict = {}
 
 
 def trained(spark, sf):
-    """Train once per (session, sf_dir) and reuse: the result is small
-    (bounded by vocab_size) and held as rows."""
-    key = (id(spark), sf, QUERY_VOCAB, QUERY_MIN_FREQ)
+    """Train once per application and set of files, and reuse: the result is
+    small (bounded by vocab_size) and held as rows."""
+    files = tuple(sorted(spark.read.parquet(f"{sf}/documents.parquet").inputFiles()))
+    key = (spark.sparkContext.applicationId, files, QUERY_VOCAB, QUERY_MIN_FREQ)
     got = _MODELS.get(key)
     if got is None:
         res = train_bpe(spark, corpus(spark, sf), "clean",

@@ -66,8 +66,8 @@ def page_bodies_from_lines(lines: DataFrame, buckets: int | None = None) -> Data
     buckets forward. Only a page (bounded) is ever collected into one group.
     """
     from pyspark.sql import Window as W
-    sc = lines.sparkSession.sparkContext
-    p = buckets or sc.defaultParallelism
+    # one bucket per input partition: they grow with the data
+    p = buckets or max(lines.sparkSession.sparkContext.defaultParallelism, lines.rdd.getNumPartitions())
     is_open = F.col("line").contains("<page>")
     is_close = F.col("line").contains("</page>") & ~is_open
     marked = (lines.select("doc_id", "line_no", "line", is_open.alias("is_open"), is_close.alias("is_close"))

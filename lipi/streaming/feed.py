@@ -75,7 +75,7 @@ def stream_word_counts(spark: SparkSession, docs: DataFrame, key: str = "doc_id"
     return compact_counts(spark, out), progress
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, schema) -> DataFrame:
     """The rows written so far; none when the feed has had no batch."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
@@ -105,7 +105,7 @@ def stream_encode(spark: SparkSession, src: DataFrame, model: en.BpeModel, keys,
     """Stateless encode of every micro-batch with a fixed, broadcast model;
     results land in parquet (one folder per batch id) and are read back."""
     out = out_dir or _work_dir(spark, "encode")
-    encoded = en.encode_summary(en.encode(spark, src, model, keys, text), keys)
+    encoded = en.encode_summary(en.encode_ids(spark, src, model, keys, text), keys)
 
     def write_batch(batch: DataFrame, batch_id: int):
         batch.write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
@@ -114,4 +114,4 @@ def stream_encode(spark: SparkSession, src: DataFrame, model: en.BpeModel, keys,
          .option("checkpointLocation", f"{out}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return _read(spark, f"{out}/rows", encoded.schema.simpleString()[7:-1]).drop("batch_id")
+    return _read(spark, f"{out}/rows", encoded.schema).drop("batch_id")

@@ -6,4 +6,9 @@ def test_entry_and_registry(spark):
     df = E.entry(spark)
     rows = df.limit(5).collect()
     assert df.columns == ["word", "cnt"] and len(rows) == 5
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_every_library_query_has_an_oracle():
+    from lipi.plans import ORACLES, QUERIES
+    assert set(QUERIES) == set(ORACLES)

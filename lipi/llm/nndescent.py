@@ -242,8 +242,8 @@ class Descent:
                 discard(old)
         self.graph, self.links = graph, links
         self.comp = staged(components(links), "components")
-        self.grown = links.count() - max(self.n_links, 0)
-        self.n_links = links.count()
+        found = links.count()
+        self.grown, self.n_links = found - max(self.n_links, 0), found
 
     def descend(self):
         """One pass of neighbours-of-neighbours joins."""

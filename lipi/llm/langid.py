@@ -2,7 +2,8 @@
 
 Per language a zstandard raw-content dictionary is filled with sample text of
 that language; a text is cut into blocks, every block is compressed with each
-dictionary, and the language with the smallest total wins. The margin between
+dictionary, and the language with the smallest total wins (texts under
+SHORT_BYTES are measured by what they add to contexts of the language). The margin between
 the best and the second total is the score; a narrow margin is a rejection.
 
 Fitting reads a bounded sample (``SAMPLE_DOCS`` rows a language, chosen by a
@@ -30,7 +31,8 @@ SAMPLE_CHARS = 8192
 MAX_LANGS = 256
 BLOCK_BYTES = 4096
 LEVEL = 6                # fast levels miss dictionary matches (95.6 against 99.1 % right)
-FINE_BYTES = 96          # block size of the second look at a tie
+SHORT_BYTES = 128        # shorter texts are measured behind contexts
+CONTEXTS, CONTEXT_BYTES = 8, 1024
 MIN_MARGIN = 0.0005      # a smaller relative margin is a rejection
 
 
@@ -75,17 +77,24 @@ def _compressors(key, model):
         for lang, raw in model:
             d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
-            made.append((lang, z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False,
-                                                write_checksum=False, write_dict_id=False)))
+            c = z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False,
+                                 write_checksum=False, write_dict_id=False)
+            cut = [raw[len(raw) * i // CONTEXTS:][:CONTEXT_BYTES] for i in range(CONTEXTS)]
+            made.append((lang, c, [(x, len(c.compress(x))) for x in cut]))
         _COMPRESSORS[key] = made
     return _COMPRESSORS[key]
 
 
-def sizes(text: str, compressors, block: int = BLOCK_BYTES) -> list:
-    """Compressed bytes of the whole text, case folded, under each language."""
+def sizes(text: str, compressors) -> list:
+    """Compressed bytes of the whole text, case folded, under each language.
+    A short text alone is stored as it is (no match pays for its header), so
+    what counts there is by how much it lengthens several contexts of the
+    language."""
     raw = text.lower().encode("utf-8", "replace")
-    blocks = [raw[i:i + block] for i in range(0, len(raw), block)]
-    return [sum(len(c.compress(b)) for b in blocks) for _, c in compressors]
+    if len(raw) < SHORT_BYTES:
+        return [max(1, sum(len(c.compress(x + b" " + raw)) - n for x, n in contexts)) for _, c, contexts in compressors]
+    blocks = [raw[i:i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
+    return [sum(len(c.compress(b)) for b in blocks) for _, c, _ in compressors]
 
 
 def choose(text: str, compressors) -> tuple:
@@ -93,9 +102,6 @@ def choose(text: str, compressors) -> tuple:
     if len(got) == 1:
         return compressors[0][0], 1.0
     order = sorted(range(len(got)), key=lambda i: (got[i], compressors[i][0]))
-    if got[order[0]] == got[order[1]]:  # a short text: more, smaller blocks show more evidence
-        got = sizes(text, compressors, FINE_BYTES)
-        order = sorted(range(len(got)), key=lambda i: (got[i], compressors[i][0]))
     best, second = got[order[0]], got[order[1]]
     return compressors[order[0]][0], (second - best) / second
 

@@ -20,6 +20,8 @@ every text with letters gets it with score 1; with none, every text is
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,10 +113,11 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     frozen = tuple(sorted(model.items()))
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(frozen)      # at most MAX_LANGS * DICT_BYTES
+    key = hashlib.sha256(repr(frozen).encode()).hexdigest()   # a worker keeps one model's compressors
 
     @F.pandas_udf("lang_pred string, score double")
     def classify(texts: pd.Series) -> pd.DataFrame:
-        made = _compressors(shared._id if hasattr(shared, "_id") else id(shared), shared.value)
+        made = _compressors(key, shared.value)
         out = [(UND, 0.0) if t is None or not made else choose(t, made) for t in texts]
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 

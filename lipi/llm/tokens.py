@@ -9,13 +9,31 @@ other white space are cut by the exact rule, the rest by a plain split.
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
 
 BYTE_BPE = "byte_bpe_50k.json"
-CACHE_WORDS = 400_000    # bounded: cleared when full
 CACHE_CHARS = 64         # longer parts are not kept
+YOUNG_WORDS = 600_000    # entries of a cache generation (two are kept: about 200 MB)
+
+# A part of plain words: letters, then marks, and the same again behind a line
+# end. Its pre-tokens are these groups (letters with the space before them),
+# so the model can be asked for each without the pipeline around it.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+_PLAIN = re.compile(rf"({_LETTERS}+)([.,;:!?]*)(?:(\n)({_LETTERS}+)([.,;:!?]*))?")
+
+
+def byte_alphabet() -> dict:
+    """Byte -> character of byte-level vocabularies: printable Latin-1 stands
+    for itself, the other bytes for the characters from U+0100 on."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(kept)]
+    return {**{b: chr(b) for b in kept}, **{b: chr(256 + i) for i, b in enumerate(others)}}
+
 
 _NEAR_SPACE = re.compile(r" \s|[^\S ] ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -26,6 +44,30 @@ def tokenizer_path(name: str = BYTE_BPE) -> str:
     return str(public_tokenizers.path(name))
 
 
+class Generations(dict):
+    """A bounded cache in two generations: when the young one is full it
+    becomes the old one, and what is still in use comes back from there."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def missing(self, keys: set) -> list:
+        """Keys in neither generation; the old one's hits are taken over."""
+        if len(self) + len(keys) > YOUNG_WORDS:
+            self.old = dict(self)
+            self.clear()
+        old, new = self.old, []
+        for k in keys:
+            if k not in self:
+                v = old.get(k)
+                if v is None:
+                    new.append(k)
+                else:
+                    self[k] = v
+        return new
+
+
 class WordTokenizer:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
@@ -35,46 +77,78 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = special_as_text
-        self.first: dict = {}    # parts at the start of a text
-        self.after: dict = {}    # parts behind a space
-
-    def _learn(self, cache: dict, parts: set, prefix: str) -> dict:
-        """Ids of the parts missing in the cache; short ones are kept."""
-        new = [p for p in parts if p not in cache]
-        extra = {}
-        for i in range(0, len(new), 20000):
-            part = new[i:i + 20000]
-            for p, e in zip(part, self.tok.encode_batch_fast([prefix + p for p in part], add_special_tokens=False)):
-                extra[p] = np.array(e.ids, dtype="<u4").tobytes()
-        if len(cache) + len(extra) > CACHE_WORDS:
-            old = {p: cache[p] for p in parts if p in cache}
-            cache.clear()
-            cache.update(old)
-        cache.update((p, v) for p, v in extra.items() if len(p) <= CACHE_CHARS)
-        return {p: v for p, v in extra.items() if len(p) > CACHE_CHARS}
+        self.width = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
+        shape = json.loads(self.tok.to_str())
+        before = shape["pre_tokenizer"] or {}
+        self.plain = (shape["normalizer"] is None and before.get("type") == "ByteLevel"
+                      and before.get("use_regex") and not before.get("add_prefix_space"))
+        self.table = {b: c for b, c in byte_alphabet().items() if chr(b) != c}
+        self.code = "H" if self.width == "<u2" else "I"
+        self.model = self.tok.model
+        self.units: dict = {}         # marks and the line end
+        self.first = Generations()    # parts at the start of a text
+        self.after = Generations()    # parts behind a space
+
+    def _learn(self, cache: Generations, parts: set, prefix: str) -> list:
+        """Every part gets its ids; returns the long ones, to be forgotten."""
+        new, width, other = cache.missing(parts), self.width, []
+        for p in new:
+            m = _PLAIN.fullmatch(p) if self.plain else None
+            if m is None:
+                other.append(p)
+                continue
+            a, b, c, d, e = m.groups()
+            ids = self._word(prefix + a)
+            if b:
+                ids = ids + self._unit(b)
+            if c:
+                ids = ids + self._unit(c) + self._word(d)
+                if e:
+                    ids = ids + self._unit(e)
+            cache[p] = array(self.code, ids).tobytes()
+        for i in range(0, len(other), 20000):
+            part = other[i:i + 20000]
+            got = self.tok.encode_batch_fast([prefix + p for p in part], add_special_tokens=False)
+            ids = [e.ids for e in got]
+            flat = np.fromiter(chain.from_iterable(ids), self.width).tobytes()
+            at, step = 0, int(width[2])
+            for p, x in zip(part, ids):
+                end = at + step * len(x)
+                cache[p] = flat[at:end]
+                at = end
+        return [p for p in new if len(p) > CACHE_CHARS]
+
+    def _word(self, word: str) -> list:
+        """Ids of one pre-token."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1")
+            return [t.id for t in self.model.tokenize(word.translate(self.table))]
+        return [t.id for t in self.model.tokenize("\u0120" + word[1:] if word[0] == " " else word)]
+
+    def _unit(self, marks: str) -> list:
+        ids = self.units.get(marks)
+        if ids is None:
+            ids = [t.id for t in self.model.tokenize(marks.translate(self.table))]
+            if len(marks) <= 8:
+                self.units[marks] = ids
+        return ids
 
     def encode(self, texts: list) -> list:
-        cut = []
-        for t in texts:
-            t = t or ""
-            cut.append(_CUT.split(t) if _NEAR_SPACE.search(t)
-                       else t.split(" "))
-        heads, tails = {c[0] for c in cut}, set()
-        for c in cut:
-            tails.update(c[1:])
-        long_first = self._learn(self.first, heads, "")
-        long_after = self._learn(self.after, tails, " ")
+        cut = [_CUT.split(t) if _NEAR_SPACE.search(t) else t.split(" ") for t in (t or "" for t in texts)]
+        tails: set = set()
+        tails.update(*cut)            # first parts too: they are words as well
+        drop_first = self._learn(self.first, {c[0] for c in cut}, "")
+        drop_after = self._learn(self.after, tails, " ")
         first, after = self.first, self.after
         out = []
         for c in cut:
-            head = first.get(c[0])
-            if head is None:
-                head = long_first[c[0]]
-            if long_after:
-                body = [after[p] if p in after else long_after[p] for p in c[1:]]
-            else:
-                body = [after[p] for p in c[1:]]
-            out.append(head + b"".join(body))
+            rest = iter(c)
+            head = first[next(rest)]
+            raw = head + b"".join([after[p] for p in rest])
+            out.append(raw if self.width == "<u4" else np.frombuffer(raw, "<u2").astype("<u4").tobytes())
+        for cache, parts in ((first, drop_first), (after, drop_after)):
+            for p in parts:
+                del cache[p]
         return out
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import CACHE_CHARS, CACHE_WORDS, text_groups, tokenizer_path
+from .tokens import CACHE_CHARS, Generations, text_groups, tokenizer_path
 
 PIECE_MODEL = "piece_bpe_32k.model"
 THREADS = 2
@@ -164,24 +164,19 @@ class PieceTokenizer:
         self.tok = build(self.model)
         self.other = sentencepiece.SentencePieceProcessor(model_file=path)
         self.cut = can_cut(self.model)
-        self.cache: dict = {}
+        self.cache = Generations()
 
-    def _learn(self, parts: set) -> dict:
-        """(ids, parity) of the parts missing in the cache."""
-        new = [p for p in parts if p not in self.cache]
-        extra: dict = {}
+    def _learn(self, parts: set) -> list:
+        """Every part gets (ids, parity); returns the long ones, to be
+        forgotten."""
+        new = self.cache.missing(parts)
         for i in range(0, len(new), 20000):
             part = new[i:i + 20000]
             mine = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
             theirs = self.other.encode(part, num_threads=1)
             for p, a, b in zip(part, mine, theirs):
-                extra[p] = (np.array(a, dtype="<u4").tobytes(), a == b)
-        if len(self.cache) + len(extra) > CACHE_WORDS:
-            old = {p: self.cache[p] for p in parts if p in self.cache}
-            self.cache.clear()
-            self.cache.update(old)
-        self.cache.update((p, v) for p, v in extra.items() if len(p) <= CACHE_CHARS)
-        return extra
+                self.cache[p] = (np.array(a, dtype="<u4").tobytes(), a == b)
+        return [p for p in new if len(p) > CACHE_CHARS]
 
     def encode(self, texts: list) -> list:
         """(ids as little-endian bytes, parity) per text."""
@@ -190,13 +185,14 @@ class PieceTokenizer:
             t = t or ""
             cut.append([t] if not self.cut else _CUT.split(t) if _NEAR.search(t) else t.split(" "))
         wanted: set = set()
-        for c in cut:
-            wanted.update(c)
-        extra = self._learn(wanted)
+        wanted.update(*cut)
+        drop = self._learn(wanted)
         cache, out = self.cache, []
         for c in cut:
-            got = [cache[p] if p in cache else extra[p] for p in c]
+            got = [cache[p] for p in c]
             out.append((b"".join([g[0] for g in got]), all([g[1] for g in got])))
+        for p in drop:
+            del cache[p]
         return out
 
     def decode(self, ids: list) -> list:

@@ -8,13 +8,16 @@
    of are compared with each other (a hub's reverse list is salted into
    several such groups); a pair that beats the worst entry of either list
    enters it, and a pair above the threshold whose ends are in different
-   components is always kept. Repeated until no new links appear.
+   components is always kept. Repeated until no link joins two components.
 4. Saturated lists: where all K neighbours of a node are above the threshold,
    the list is enlarged to the node's whole component, compared in blocks of
    BLOCK x BLOCK that only report counts (no pair is written).
-5. Audit: AUDIT nodes chosen by hash are compared with all nodes; if fewer
-   than TARGET of their links were found, more trees are grown and the descent
-   goes on.
+5. Audit: nodes chosen by hash are compared with all nodes, in further blocks
+   until LINKED nodes with 1 to K - 1 linked nodes were met, or all nodes were
+   asked. Links count distinct vectors, so copies weigh nothing. If fewer than
+   TARGET of the links of those nodes, or of the mean share of the links of the
+   nodes with K and more, were found, more trees are grown and the descent goes
+   on.
 
 Cosines are computed in double precision from the raw components.
 
@@ -40,7 +43,8 @@ K = 8                    # neighbours kept
 TREES, LEAF, BITS = 5, 64, 24
 REVERSE = 24             # reverse neighbours of one local group
 BLOCK = 512
-AUDIT, TARGET = 512, 0.99
+AUDIT, TARGET = 512, 0.99  # nodes of the audit's first block
+ASK_MAX, LINKED = 4096, 200  # nodes of its largest block; linked nodes wanted
 ROUNDS, ITERATIONS = 4, 6
 
 
@@ -173,7 +177,8 @@ def _local(width, threshold):
 
 def _count_blocks(width, threshold):
     """Rows sorted by (component, block pair): links of each left row to the
-    right rows and of each right row to the left ones, weights summed."""
+    right rows and of each right row to the left ones, weights summed (n) and
+    nodes counted (m)."""
     def count(rows):
         side = np.array([r[0] for r in rows])
         ids = np.array([r[1] for r in rows])
@@ -184,11 +189,12 @@ def _count_blocks(width, threshold):
         left, right = np.flatnonzero((side != 1) & same), np.flatnonzero((side != 0) & same)
         hit = x[left] @ x[right].T >= threshold
         hit &= ids[left][:, None] != ids[right][None, :]
-        out = [(ids[left], hit @ weight[right])]
+        out = [(ids[left], hit @ weight[right], hit.sum(axis=1))]
         if (side == 1).any():
-            out.append((ids[right], weight[left] @ hit))
-        ids, n = (np.concatenate(c) for c in zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], names=["node", "n"])
+            out.append((ids[right], weight[left] @ hit, hit.sum(axis=0)))
+        ids, n, m = (np.concatenate(c) for c in zip(*out))
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64))],
+                                          names=["node", "n", "m"])
 
     def run(batches):
         key, rows = None, []
@@ -211,7 +217,7 @@ class Descent:
     def __init__(self, nodes: DataFrame, width: int, threshold: float):
         self.nodes, self.width, self.threshold = nodes, width, threshold
         self.graph = self.links = self.comp = None
-        self.n_links = -1
+        self.n_joins = 0         # links of a spanning forest
         self.parts = parts(nodes.sparkSession)
 
     def grow(self, seed: int, trees: int = TREES):
@@ -242,8 +248,8 @@ class Descent:
                 discard(old)
         self.graph, self.links = graph, links
         self.comp = staged(components(links), "components")
-        found = links.count()
-        self.grown, self.n_links = found - max(self.n_links, 0), found
+        joins = self.comp.where("node <> component_id").count()
+        self.joined, self.n_joins = joins - self.n_joins, joins
 
     def descend(self):
         """One pass of neighbours-of-neighbours joins."""
@@ -267,7 +273,8 @@ class Descent:
                     .mapInArrow(_local(self.width, self.threshold), _EDGE))
 
     def counts(self) -> DataFrame:
-        """node, n_links (weights of linked nodes), component_id."""
+        """node, n_links (weights of linked nodes), n_nodes (distinct ones),
+        component_id."""
         full = (self.graph.where(F.col("sim") >= self.threshold).groupBy(F.col("src").alias("node"))
                 .agg(F.count("*").alias("k")).where(F.col("k") >= K).select("node"))
         dense = self.comp.join(shuffled(full), "node", "left_semi").select("component_id").distinct()
@@ -281,25 +288,46 @@ class Descent:
                        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0)
                        .otherwise(1).alias("side"), "node", "weight", "bin"))
         dealt = row.repartition(self.parts, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
-        crowd = (dealt.mapInArrow(_count_blocks(self.width, self.threshold), "node long, n long")
-                 .groupBy("node").agg(F.sum("n").alias("n")))
+        crowd = (dealt.mapInArrow(_count_blocks(self.width, self.threshold), "node long, n long, m long")
+                 .groupBy("node").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
         ends = (self.links.select(F.col("a").alias("node"), F.col("b").alias("o"))
                 .union(self.links.select(F.col("b").alias("node"), F.col("a").alias("o"))))
         loose = (ends.join(shuffled(self.comp.join(shuffled(dense), "component_id", "left_anti").select("node")), "node", "left_semi")
                  .join(shuffled(self.nodes.select(F.col("node").alias("o"), "weight")), "o")
-                 .groupBy("node").agg(F.sum("weight").alias("n")))
-        per = crowd.union(loose)
+                 .groupBy("node").agg(F.sum("weight").alias("n"), F.count("*").alias("m")))
+        return self._per_node(crowd.union(loose))
+
+    def _per_node(self, per: DataFrame) -> DataFrame:
         return staged(self.nodes.select("node", "weight").join(shuffled(per), "node", "left")
                       .join(shuffled(self.comp), "node", "left")
                       .select("node", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+                              F.coalesce("m", F.lit(0)).alias("n_nodes"),
                               F.coalesce("component_id", "node").alias("component_id")), "link_counts")
 
-    def audit(self, counted: DataFrame, size: int = AUDIT) -> float:
-        """Share of the true links of ``size`` hashed nodes that were found."""
-        sample = (self.nodes.orderBy(F.xxhash64("node", F.lit("audit")), "node").limit(size)
-                  .select("node", "bin").collect())
+    def audit(self, counted: DataFrame) -> float:
+        """Share of the true links of hashed nodes that were found, the lower
+        one of nodes with few links and (mean per node) of nodes with K and
+        more. 1.0 without links only if all nodes were asked."""
+        n, unit = self.nodes.count(), 1 << 40
+        lo, block = 0, AUDIT
+        few, few_found, linked, crowded = 0, 0, 0, []
+        while n and lo < unit and linked < LINKED:
+            hi = min(unit, lo + max(1, unit * block // n))
+            for true, found in self._ask(counted, unit, lo, hi):
+                if true >= K:
+                    crowded.append(found / true)
+                elif true:
+                    few, few_found, linked = few + true, few_found + found, linked + 1
+            lo, block = hi, min(2 * block, ASK_MAX)
+        return min(few_found / few if few else 1.0, sum(crowded) / len(crowded) if crowded else 1.0)
+
+    def _ask(self, counted: DataFrame, unit: int, lo: int, hi: int) -> list:
+        """(true, found) numbers of linked nodes of the nodes with a hash in
+        [lo, hi) of ``unit``."""
+        h = F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(unit))
+        sample = self.nodes.where((h >= lo) & (h < hi)).select("node", "bin").collect()
         if not sample:
-            return 1.0
+            return []
         threshold, width = self.threshold, self.width
         shared = self.nodes.sparkSession.sparkContext.broadcast([(r["node"], bytes(r["bin"])) for r in sample])
 
@@ -307,23 +335,24 @@ class Descent:
             ask: dict = {}
             for node, blob in shared.value:
                 ask.setdefault(len(blob), []).append((node, blob))
+            ask = {length: (np.array([node for node, _ in q]), unit_rows([blob for _, blob in q], width),
+                            np.zeros(len(q), np.int64)) for length, q in ask.items()}
             for b in batches:
-                blobs, w = b.column("bin").to_pylist(), b.column("weight").to_numpy()
+                blobs = b.column("bin").to_pylist()
                 sizes = np.array([len(x) for x in blobs])
-                for length, q in ask.items():
+                for length, (_, y, n) in ask.items():
                     at = np.flatnonzero(sizes == length)
-                    if not len(at):
-                        continue
-                    x = unit_rows([blobs[i] for i in at], width)
-                    y = unit_rows([blob for _, blob in q], width)
-                    n = (y @ x.T >= threshold) @ w[at]
-                    yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in q], pa.int64()),
-                                                      pa.array(n.astype(np.int64))], names=["node", "n"])
-        true = self.nodes.select("bin", "weight").mapInArrow(run, "node long, n long").groupBy("node").agg(
+                    for i in range(0, len(at), 2048):
+                        x = unit_rows([blobs[j] for j in at[i:i + 2048]], width)
+                        n += np.count_nonzero(y @ x.T >= threshold, axis=1)
+            for node, _, n in ask.values():
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n)], names=["node", "n"])
+        true = self.nodes.select("bin").mapInArrow(run, "node long, n long").groupBy("node").agg(
             (F.sum("n") - 1).alias("n"))
-        got = true.join(counted.select("node", "n_links"), "node").agg(
-            F.sum("n").alias("n"), F.sum(F.least("n_links", "n")).alias("found")).first()
-        return 1.0 if not got["n"] else got["found"] / got["n"]
+        got = true.where("n > 0").join(shuffled(counted.select("node", "n_nodes")), "node").select(
+            "n", F.least("n_nodes", "n").alias("found")).collect()
+        shared.destroy()
+        return [(r["n"], r["found"]) for r in got]
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -344,7 +373,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         search.grow(seed=round_no + 1)
         for _ in range(ITERATIONS):
             search.descend()
-            if search.grown <= 0.001 * search.n_links:
+            if not search.joined:
                 break
         counted = search.counts()
         recall = search.audit(counted)

@@ -58,3 +58,30 @@ def test_double_vectors_and_empty_table(spark):
     got = run(spark, rows, kind="double")
     assert got == expected([(i, [c / max(map(abs, v)) for c in v]) for i, v in rows], np.float64)
     assert run(spark, []) == []
+
+
+def search_of(spark, rows):
+    df = spark.createDataFrame([(i, 1, np.array(v, "<f4").tobytes()) for i, v in rows], "node long, weight long, bin binary")
+    return N.Descent(df, 4, N.THRESHOLD)
+
+
+def test_audit_counts_nodes_not_links(spark):
+    """A found dense group does not hide isolated pairs that were not found."""
+    rows = cloud(4, [1] * 100 + [2] * 10 + [80])
+    want = expected(rows)
+    search = search_of(spark, rows)
+    exact = [(i, n, n, c) for i, n, c, _ in want]
+    missed = [(i, n, n if n > 1 else 0, c) for i, n, c, _ in want]
+    schema = "node long, n_links long, n_nodes long, component_id long"
+    assert search.audit(spark.createDataFrame(exact, schema)) == 1.0
+    assert search.audit(spark.createDataFrame(missed, schema)) == 0.0
+
+
+def test_audit_asks_until_it_meets_links(spark, monkeypatch):
+    """No linked node among the first nodes asked: the others are asked."""
+    monkeypatch.setattr(N, "AUDIT", 2)
+    monkeypatch.setattr(N, "ASK_MAX", 64)
+    rows = cloud(5, [1] * 300 + [2])
+    none = spark.createDataFrame([(i, 0, 0, i) for i, _ in rows],
+                                 "node long, n_links long, n_nodes long, component_id long")
+    assert search_of(spark, rows).audit(none) == 0.0

@@ -18,6 +18,9 @@
    TARGET of the links of those nodes, or of the mean share of the links of the
    nodes with K and more, were found, more trees are grown and the descent goes
    on.
+6. If ROUNDS rounds miss the target, all pairs of nodes are compared, in blocks
+   of TILE x TILE dealt by a shuffle; a block pair writes counts and a spanning
+   forest of its links.
 
 Cosines are computed in double precision from the raw components.
 
@@ -42,10 +45,10 @@ THRESHOLD = 0.95
 K = 8                    # neighbours kept
 TREES, LEAF, BITS = 5, 64, 24
 REVERSE = 24             # reverse neighbours of one local group
-BLOCK = 512
+BLOCK, TILE = 512, 4096  # rows of a block: in a component, of all nodes
 AUDIT, TARGET = 512, 0.99  # nodes of the audit's first block
 ASK_MAX, LINKED = 4096, 200  # nodes of its largest block; linked nodes wanted
-ROUNDS, ITERATIONS = 4, 6
+ROUNDS, ITERATIONS = 4, 6  # before all pairs are compared; passes of a round
 
 
 def _floats(binary, width):
@@ -175,10 +178,29 @@ def _local(width, threshold):
     return run
 
 
-def _count_blocks(width, threshold):
+def _forest(hit: np.ndarray):
+    """(row, column, is the link to a column) stars of the components of a
+    block pair: every member with the row its component was found from."""
+    todo, cols_left = hit.any(axis=1), np.ones(hit.shape[1], bool)
+    for root in np.flatnonzero(todo):
+        if not todo[root]:
+            continue
+        todo[root] = False
+        rows = np.array([root])
+        while len(rows):
+            cols = np.flatnonzero(hit[rows].any(axis=0) & cols_left)
+            cols_left[cols] = False
+            yield root, cols, True
+            rows = np.flatnonzero(hit[:, cols].any(axis=1) & todo)
+            todo[rows] = False
+            yield root, rows, False
+
+
+def _count_blocks(width, threshold, forest=False):
     """Rows sorted by (component, block pair): links of each left row to the
     right rows and of each right row to the left ones, weights summed (n) and
-    nodes counted (m)."""
+    nodes counted (m). With ``forest`` also links (node, root) that connect
+    what the block pair connects."""
     def count(rows):
         side = np.array([r[0] for r in rows])
         ids = np.array([r[1] for r in rows])
@@ -187,14 +209,26 @@ def _count_blocks(width, threshold):
         same = np.array([len(r[3]) == size for r in rows])
         x = unit_rows([r[3] if ok else rows[0][3] for r, ok in zip(rows, same)], width)
         left, right = np.flatnonzero((side != 1) & same), np.flatnonzero((side != 0) & same)
-        hit = x[left] @ x[right].T >= threshold
-        hit &= ids[left][:, None] != ids[right][None, :]
+        hit = np.empty((len(left), len(right)), bool)
+        for i in range(0, len(left), 512):
+            hit[i:i + 512] = x[left[i:i + 512]] @ x[right].T >= threshold
+        if not (side == 1).any():        # a block with itself: left is right
+            np.fill_diagonal(hit, False)
         out = [(ids[left], hit @ weight[right], hit.sum(axis=1))]
         if (side == 1).any():
             out.append((ids[right], weight[left] @ hit, hit.sum(axis=0)))
-        ids, n, m = (np.concatenate(c) for c in zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64))],
-                                          names=["node", "n", "m"])
+        node, n, m = (np.concatenate(c) for c in zip(*out))
+        keep = m > 0
+        node, n, m, root = node[keep], n[keep], m[keep], np.full(keep.sum(), -1)
+        if forest:
+            tied = [(ids[right if is_col else left][at], np.full(len(at), ids[left][r])) for r, at, is_col in _forest(hit)]
+            if tied:
+                ends, roots = (np.concatenate(c) for c in zip(*tied))
+                none = np.zeros(len(ends), np.int64)
+                node, n, m, root = (np.concatenate(c) for c in ((node, ends), (n, none), (m, none), (root, roots)))
+        tie = pa.array(root.astype(np.int64), mask=np.arange(len(root)) < keep.sum())
+        return pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), pa.array(n.astype(np.int64)),
+                                           pa.array(m.astype(np.int64)), tie], names=["node", "n", "m", "root"])
 
     def run(batches):
         key, rows = None, []
@@ -211,6 +245,9 @@ def _count_blocks(width, threshold):
     return run
 
 
+_COUNTS = "node long, n long, m long, root long"
+
+
 class Descent:
     """State of one search: nodes, neighbour graph, links, components."""
 
@@ -280,15 +317,9 @@ class Descent:
         dense = self.comp.join(shuffled(full), "node", "left_semi").select("component_id").distinct()
         member = self.comp.join(shuffled(dense), "component_id", "left_semi")
         size = member.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
-        row = (member.join(shuffled(size), "component_id").join(shuffled(self.nodes), "node")
-               .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("nb")))
-               .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-               .select(F.col("component_id").alias("comp"), F.least("mine", "other").alias("bi"),
-                       F.greatest("mine", "other").alias("bj"),
-                       F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0)
-                       .otherwise(1).alias("side"), "node", "weight", "bin"))
-        dealt = row.repartition(self.parts, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
-        crowd = (dealt.mapInArrow(_count_blocks(self.width, self.threshold), "node long, n long, m long")
+        row = member.join(shuffled(size), "component_id").join(shuffled(self.nodes), "node")
+        crowd = (self._block_pairs(row.withColumnRenamed("component_id", "comp"))
+                 .mapInArrow(_count_blocks(self.width, self.threshold), _COUNTS)
                  .groupBy("node").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
         ends = (self.links.select(F.col("a").alias("node"), F.col("b").alias("o"))
                 .union(self.links.select(F.col("b").alias("node"), F.col("a").alias("o"))))
@@ -297,6 +328,31 @@ class Descent:
                  .groupBy("node").agg(F.sum("weight").alias("n"), F.count("*").alias("m")))
         return self._per_node(crowd.union(loose))
 
+    def _block_pairs(self, row: DataFrame) -> DataFrame:
+        """Rows (comp, nb, node, weight, bin) dealt to all pairs of the nb
+        blocks of their comp."""
+        return (row.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("nb")))
+                .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+                .select("comp", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"),
+                        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0)
+                        .otherwise(1).alias("side"), "node", "weight", "bin")
+                .repartition(self.parts, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj"))
+
+    def exact(self) -> DataFrame:
+        """counts() from all pairs of vectors of one length."""
+        row = self.nodes.withColumn("comp", F.length("bin").cast("long"))
+        size = row.groupBy("comp").agg(F.ceil(F.count("*") / TILE).alias("nb"))
+        seen = staged(self._block_pairs(row.join(shuffled(size), "comp"))
+                      .mapInArrow(_count_blocks(self.width, self.threshold, True), _COUNTS), "pairs")
+        if self.comp is not None:
+            discard(self.comp)
+        self.comp = staged(components(seen.where("root is not null").select(
+            F.col("node").alias("a"), F.col("root").alias("b"))), "components")
+        counted = self._per_node(seen.where("root is null").groupBy("node").agg(
+            F.sum("n").alias("n"), F.sum("m").alias("m")))
+        discard(seen)
+        return counted
+
     def _per_node(self, per: DataFrame) -> DataFrame:
         return staged(self.nodes.select("node", "weight").join(shuffled(per), "node", "left")
                       .join(shuffled(self.comp), "node", "left")
@@ -368,7 +424,6 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     nodes = staged(every.where("bin is not null").groupBy("bin").agg(
         F.min("vec_id").alias("node"), F.count("*").alias("weight")).select("node", "weight", "bin"), "nodes")
     search = Descent(nodes, width, threshold)
-    recall = 0.0
     for round_no in range(ROUNDS):
         search.grow(seed=round_no + 1)
         for _ in range(ITERATIONS):
@@ -380,6 +435,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         if recall >= target:
             break
         discard(counted)
+    else:
+        counted, recall = search.exact(), 1.0
     near_vectors.recall = recall
     place = nodes.select("bin", "node").join(shuffled(counted), "node").select("bin", "n_links", "component_id")
     none = packed.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"),

@@ -85,3 +85,15 @@ def test_audit_asks_until_it_meets_links(spark, monkeypatch):
     none = spark.createDataFrame([(i, 0, 0, i) for i, _ in rows],
                                  "node long, n_links long, n_nodes long, component_id long")
     assert search_of(spark, rows).audit(none) == 0.0
+
+
+def test_target_that_the_rounds_miss(spark, monkeypatch):
+    """All pairs are compared then, by blocks, copies and lengths included."""
+    for name, value in (("ROUNDS", 1), ("ITERATIONS", 0), ("TREES", 1), ("LEAF", 2), ("TILE", 24)):
+        monkeypatch.setattr(N, name, value)
+    rows = cloud(6, [1] * 60 + [2] * 20 + [4] * 3 + [40])
+    rows += [(1000 + i, v) for i, v in rows[:5]] + [(2000, [1.0, 2.0]), (2001, [2.0, 4.0]), (2002, [2.0, 4.1]), (2003, [1.0])]
+    assert run(spark, rows) == expected(rows)
+    assert N.near_vectors.recall == 1.0
+    assert run(spark, rows, target=1.01) == expected(rows)
+    assert run(spark, []) == []

@@ -14,7 +14,8 @@ Type rules. email: domain and local part are mapped separately (one domain
 stays one domain), the top-level domain stays. phone: the country code stays.
 card: the first digit stays, and the last digit keeps its distance from the
 Luhn digit (a valid number stays valid). ip: octets stay octets. secret: the
-label and quotes stay; hexadecimal values stay hexadecimal. Key ids keep their
+label and quotes stay, the whole value of any length is replaced; hexadecimal
+values stay hexadecimal. Key ids keep their
 prefix, IBANs their country. Names follow a title: the title (and so the
 gender) stays; a name of the built-in lists becomes another of the same
 gender and script, another name is shifted vowel to vowel and consonant to
@@ -59,7 +60,7 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,6}[A-Za-z]{2,24}" + _AFTER,
     "key_id": _BEFORE + r"AKIA[0-9A-Z]{16}" + _AFTER,
     "secret": r"(?<![\p{L}\p{N}_])(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\x22']?"
-              r"(?=[A-Za-z_+/.=-]{0,128}\d)[A-Za-z0-9_+/.=-]{5,255}[A-Za-z0-9_+/=]",
+              r"(?=[A-Za-z_+/.=-]*+\d)[A-Za-z0-9_+/.=-]{5,}[A-Za-z0-9_+/=]",
     "ip": _BEFORE + rf"{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?![\p{{L}}\p{{N}}_]|\.\d)",
     "iban": _BEFORE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
     "phone": r"(?<![\p{L}\p{N}_+-])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}" + _AFTER

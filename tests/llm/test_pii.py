@@ -100,6 +100,20 @@ def test_detection_against_plain_regex(spark):
             new = new[len(p + s):]
 
 
+def test_secrets_of_any_length(spark):
+    """Nothing of a long value stays, wherever its first digit stands."""
+    letters = "aBcD_eF/gH+iJ.kL-mN" * 1000
+    texts = []
+    for n in (6, 255, 256, 257, 300, 621, 10_000):
+        texts += [f"token: {(letters + letters)[:n - 1]}7.", f'password="{("9f" + letters)[:n - 1]}x" end', f"secret={'4b' * (n // 2)}"]
+    for text, (new, entities, surrogates) in zip(texts, rewrite(spark, texts)):
+        value = re.search(r"[=:] ?\"?([^ \"]*[\w+/=])", text).group(1)
+        label = text[:text.index(value)]
+        assert entities == [label + value] and new == text.replace(value, surrogates[0][len(label):])
+        assert len(new) == len(text) and shape(new) == shape(text) or text.startswith("secret")
+        assert all(a != b for a, b in zip(text[len(label):], new[len(label):len(label) + len(value)]) if a.isalnum())
+
+
 def test_plan_has_no_python(spark, capsys):
     pii.replace_entities(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).explain("formatted")
     plan = capsys.readouterr().out

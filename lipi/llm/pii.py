@@ -5,7 +5,7 @@ A surrogate is the image of the entity under a keyed bijection of all strings
 of its format: the string is cut in halves, every letter or digit of the left
 half is shifted inside its own alphabet by a stream keyed by the right half,
 then the right half by a stream keyed by the new left half (two Feistel
-rounds). No shift is zero, so no character of the cut part survives; being a
+rounds). No shift is zero, so no letter or digit of an alphabet survives; being a
 bijection it keeps distinct entities distinct without a table of all of them,
 and the same entity gets the same surrogate in every document. Streams ignore
 case, so mentions that differ in case stay mentions of one entity.
@@ -19,7 +19,9 @@ values stay hexadecimal. Key ids keep their
 prefix, IBANs their country. Names follow a title: the title (and so the
 gender) stays; a name of the built-in lists becomes another of the same
 gender and script, another name is shifted vowel to vowel and consonant to
-consonant in its own script with its last letter (a gender mark) kept; a
+consonant in its own script with its last letter (a gender mark) kept, and any
+other letter that has case moves inside its own script, range of 128 code points
+and case (letters without case stay; a name starts with one that has it); a
 shifted name that hits a list name is shifted again, so lists and shifts
 cannot collide.
 
@@ -33,6 +35,9 @@ rewritten like any other; added columns replace input columns of their name.
 
 from __future__ import annotations
 
+import unicodedata
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +59,40 @@ PARTS_OF_NAME = tuple(x for low in ("aeiouy", "bcdfghjklmnpqrstvwxz", "áéíó
                                     "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ")
                       for x in dict.fromkeys((low, low.replace("ß", "").upper())))
 
+
+
+def _other_letters() -> list:
+    """Alphabets of all letters with case that PARTS_OF_NAME lacks, of two
+    letters at least: by script and range of 128 code points, letters that are
+    each other's upper and lower case at the same places."""
+    known = set("".join(PARTS_OF_NAME))
+    pairs, alone = defaultdict(list), defaultdict(list)
+    for c in map(chr, range(0x80, 0x20000)):
+        kind = unicodedata.category(c)
+        if kind not in ("Lu", "Ll", "Lt") or c in known:
+            continue
+        script, low, up = unicodedata.name(c).split()[0], c.lower(), c.upper()
+        if kind == "Lu" and len(low) == 1 and low != c and low.upper() == c and low not in known:
+            pairs[script, ord(low) >> 7].append(c + low)
+        elif not (kind == "Ll" and len(up) == 1 and up != c and up.lower() == c and up not in known):
+            alone[script, ord(c) >> 7, kind].append(c)
+    out, few, few_alone = [], [], defaultdict(list)
+    for found in pairs.values():
+        if len(found) > 1:
+            out += ["".join(x[i] for x in found) for i in (0, 1)]
+        else:
+            few += found
+    for (_, _, kind), found in alone.items():
+        if len(found) > 1:
+            out.append("".join(found))
+        else:
+            few_alone[kind] += found
+    out += ["".join(x[i] for x in few) for i in (0, 1)] + ["".join(x) for x in few_alone.values()]
+    return [x for x in out if len(x) > 1]
+
+
+OTHER_LETTERS = _other_letters()
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}_.+-])", r"(?![\p{L}\p{N}_])"
 PATTERNS = {
@@ -99,6 +138,18 @@ def _digit(stream: Column, i: Column) -> Column:
     return F.conv(F.substr(stream, F.pmod(i * 4, F.lit(60)) + 1, F.lit(4)), 16, 10).cast("int")
 
 
+def _shift_other(c: Column, n: Column) -> Column:
+    """A letter of OTHER_LETTERS moved on inside its alphabet."""
+    every = F.lit("".join(OTHER_LETTERS))
+    starts, sizes = [], []
+    for a in OTHER_LETTERS:
+        starts += [str(len(starts))] * len(a)
+        sizes += [str(len(a))] * len(a)
+    at = F.position(c, every)
+    start, size = (F.get(F.split(F.lit(" ".join(x)), " "), at - 1).cast("int") for x in (starts, sizes))
+    return F.when(at > 0, F.substr(every, start + F.pmod(at - start + n % (size - 1), size) + 1, F.lit(1))).otherwise(c)
+
+
 def shift(text: Column, stream: Column, alphabets) -> Column:
     """Every character moves on inside its alphabet, by at least one place."""
     def move(c, n):
@@ -107,7 +158,7 @@ def shift(text: Column, stream: Column, alphabets) -> Column:
             at = F.position(c, F.lit(a))
             to = F.substr(F.lit(a), F.pmod(at + n % F.lit(len(a) - 1), F.lit(len(a))) + 1, F.lit(1))
             out = F.when(at > 0, to) if out is None else out.when(at > 0, to)
-        return out.otherwise(c)
+        return out.otherwise(_shift_other(c, n) if alphabets is PARTS_OF_NAME else c)
     return F.when(F.length(text) == 0, F.lit("")).otherwise(let(stream, lambda s: F.array_join(
         F.transform(F.split(text, ""), lambda c, i: let(_digit(s, i), lambda n: move(c, n))), "")))
 

@@ -114,6 +114,25 @@ def test_secrets_of_any_length(spark):
         assert all(a != b for a, b in zip(text[len(label):], new[len(label):len(label) + len(value)]) if a.isalnum())
 
 
+def test_names_of_any_script(spark):
+    """Every letter that may start a name, and the cased letters after it."""
+    upper = spark.range(0x80, 0x20000).where("id not between 55296 and 57343").select(
+        F.decode(F.encode(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')"), "UTF-8"), "UTF-8").alias("c")
+    ).where(F.col("c").rlike(r"^\p{Lu}$"))
+    starts = [r.c for r in upper.collect()]
+    assert len(starts) > 1500
+    texts = [f"Mr {c}{c.lower() if len(c.lower()) == 1 else 'a'}o" for c in starts]
+    texts += ["Mr Νίκος Παπαδόπουλος", "Mr Արամ Խաչատրյան", "Frau Łucja Świętosławska", "Mr Ğökşin Øystein", "Mr Žižka Čapek"]
+    got = rewrite(spark, texts)
+    for text, (new, entities, surrogates) in zip(texts, got):
+        assert entities == [text] and surrogates == [new] and new != text and len(new) == len(text)
+        assert all(a != b for w, v in zip(text.split()[1:], new.split()[1:]) for a, b in zip(w[:-1], v[:-1]))
+        assert [a.isupper() for a in text] == [b.isupper() for b in new]
+    assert len({new for new, _, _ in got}) == len(texts)
+    letters = "".join(pii.OTHER_LETTERS + list(pii.PARTS_OF_NAME))
+    assert len(set(letters)) == len(letters)
+
+
 def test_plan_has_no_python(spark, capsys):
     pii.replace_entities(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).explain("formatted")
     plan = capsys.readouterr().out

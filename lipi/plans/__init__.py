@@ -1,6 +1,10 @@
 """Query registry: importing the query modules fills QUERIES / ORACLES."""
 
 from . import corpus_queries, encode_queries, model_queries, stream_queries  # noqa: F401
+from .model_queries import at_full_size, train_prefix
 from .registry import ORACLES, QUERIES
 
-__all__ = ["QUERIES", "ORACLES"]
+# every query that needs a model, with the whole vocabulary; no oracle SQL
+FULL_QUERIES = {f"{name}_full": at_full_size(QUERIES[name]) for name, sql in ORACLES.items() if train_prefix() in sql}
+
+__all__ = ["QUERIES", "ORACLES", "FULL_QUERIES"]

@@ -104,3 +104,31 @@ def test_same_merges_for_any_partitioning(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert out[0] == out[1] and out[0]
+
+
+def test_full_size_queries(spark, monkeypatch):
+    """Every query that needs a model is registered with the whole vocabulary."""
+    import __spark_entry__ as E
+    from lipi.plans import model_queries as M
+    names = {n for n in E.queries() if n.endswith("_full")}
+    assert len(names) > 25 and {"bpe_merges_full", "encode_documents_full", "stream_encode_full"} <= names
+    seen = []
+    monkeypatch.setattr(M, "train_bpe", lambda s, lines, line, params: (
+        seen.append(params), train_bpe(s, lines_df(s, ["ab ab"]), "line", params))[1])
+    monkeypatch.setattr(M, "_MODELS", {})
+    for name in ("vocab_size_full", "vocab_size", "vocab_size_full"):
+        E.queries()[name](spark, SF_SMALL)
+    assert seen == [TrainParams(), M.CHECKED]
+
+
+def test_thousands_of_merges_until_min_frequency(spark):
+    """Late rounds, checkpoints and the end by min_frequency, against the plain trainer."""
+    from lipi.operators.clean import clean_corpus
+    from lipi.operators.counts import word_counts
+    from lipi.session import read_table
+    docs = read_table(spark, SF_SMALL, "documents").orderBy("doc_id").limit(40)
+    corpus = clean_corpus(docs).persist()
+    words = {r["word"]: r["cnt"] for r in word_counts(corpus, "clean").collect()}
+    _, merges = py_train(words, 8000, 2)
+    assert 2000 <= len(merges) < 5000
+    assert train_bpe(spark, corpus, "clean", TrainParams(min_frequency=2)).merge_list == merges

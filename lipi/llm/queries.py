@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import (chat, exact_dedup, langid, nndescent, packing, pii, sentencepiece_hf, separator_scan, substring,
-               superminhash)
+from . import (chat, exact_dedup, hilbert, langid, lexical, nndescent, packing, pii, resampling, sentencepiece_hf,
+               separator_scan, substring, superminhash)
 from .common import read, sha256_text, shuffled, staged
 
 QUERIES: dict = {}
@@ -114,3 +114,57 @@ def op8_sentencepiece(spark, sf_dir):
     return sentencepiece_hf.decode(ids).select(
         "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), sha256_text(F.col("decoded")).alias("decoded_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), "parity")
+
+
+@query("""
+WITH v AS (
+  SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY vec_id),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_reduce(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+""")
+def op11_hilbert_neighbours(spark, sf_dir):
+    return hilbert.nearest(read(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+@query()
+def op12_importance_resampling(spark, sf_dir):
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+@query(r"""
+WITH low AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM documents WHERE text IS NOT NULL),
+d AS (SELECT row_number() OVER () AS row, doc_id, len(t) AS n, t FROM low WHERE len(t) > 0),
+s AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM d),
+i AS (SELECT item_id, min(text) AS text FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id),
+q AS (
+  SELECT item_id, term, count(*) AS qtf FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM i) GROUP BY ALL),
+w AS (SELECT DISTINCT term FROM q),
+tf AS (
+  SELECT row, doc_id, n, term, count(*) AS tf
+  FROM (SELECT row, doc_id, n, unnest(t) AS term FROM d) SEMI JOIN w USING (term) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+c AS (
+  SELECT row, doc_id, term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT)
+      * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * big_n) // big_l))) AS part
+  FROM tf JOIN df USING (term), s),
+r AS (
+  SELECT item_id, row, doc_id, CAST(sum(qtf * part) AS BIGINT) AS score
+  FROM q JOIN c USING (term) WHERE doc_id IS NOT NULL GROUP BY ALL HAVING sum(qtf * part) > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 20
+""")
+def op13_lexical_search(spark, sf_dir):
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

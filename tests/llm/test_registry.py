@@ -2,9 +2,9 @@ def test_all_operators_and_the_pipeline_are_registered():
     import __spark_entry__ as E
     names = set(E.queries())
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
-    assert {"op1_chat_format", "op4_exact_dedup"} <= set(E.oracle_sql())
+    assert {"op1_chat_format", "op4_exact_dedup", "op11_hilbert_neighbours", "op13_lexical_search"} <= set(E.oracle_sql())
 
 
 def test_nothing_else_imports_the_subpackage():

@@ -30,10 +30,6 @@ HUE_MOD, SAT_BASE, SAT_MOD, LIGHT_BASE, LIGHT_MOD = 360, 60, 30, 75, 15
 class TrainParams:
     vocab_size: int = DEFAULT_VOCAB_SIZE
     min_frequency: int = DEFAULT_MIN_FREQUENCY
-    # Candidate pairs ranked per round; the exact batch rule takes a prefix.
-    candidates_per_round: int = 64
-    # Cut the loop's lineage with a reliable checkpoint every N rounds.
-    checkpoint_every: int = 10
 
     def __post_init__(self):
         # A vocabulary smaller than specials + alphabet is allowed: the

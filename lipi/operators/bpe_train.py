@@ -1,23 +1,30 @@
 """Exact BPE training as a Spark loop over the word table.
 
 Data flow: lines -> word counts (the one big shuffle) -> symbol table
-(sym, cnt) -> rounds of {pair counts, top-k, exact batch, apply}. The word
-table stays distributed and cached; the driver sees at most k candidate
-rows and k bound rows per round, plus the merges (bounded by vocab_size).
-
-Exact batching: several merges are committed per round only when that
-cannot change the one-merge-at-a-time result:
-  * a later candidate (c, d) shares no symbol role with an accepted (a, b):
-    c != b and d != a (otherwise its count could drop);
-  * neither c nor d is a text created in this batch;
-  * its count n is strictly above every accepted candidate's bound, where a
-    bound is the largest count any newly created pair could reach (counted
-    per neighbour symbol, overlaps included: an over-estimate is safe);
-  * a merge whose text already exists (second derivation) ends the batch.
+(sym, cnt) -> rounds. A round
+
+1. counts all pairs (partial sums before the shuffle) and takes the most
+   frequent ones, at most MAX_HOT + 1 rows;
+2. sets a floor: the hot pairs are all pairs of at least that count;
+3. cuts every word where two symbols do not form a hot pair and sums the
+   segments over the corpus. Segments repeat far more than words do; their
+   number and size are checked before they are collected, and a floor that
+   leaves too many is raised;
+4. chooses, on the segments, all merges down to the floor, exactly as one merge
+   at a time would (bpe_rounds.py says why the segments suffice);
+5. applies them in order to the word table, which is written below the
+   checkpoint folder; the table before it is deleted.
+
+As the floor falls by a factor a round, a vocabulary takes some tens of rounds
+instead of one or more per merge. The word table and the pair counts stay
+distributed; the driver sees a bounded table of segments and the merges. Where
+even the pairs tied at the top leave too many segments, the round commits its
+first merge only, which needs no segments.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +32,8 @@ from pyspark.sql import functions as F
 
 from ..config import SPECIAL_TOKENS, TrainParams
 from ..session import ensure_checkpoint_dir
-from .counts import (SYM_CLOSE, SYM_OPEN, TRIPLE_RE, alphabet, first_symbol, last_symbol,
-                     pair_counts, symbol_table, top_pairs, word_counts)
+from .bpe_rounds import choose, cut_words, merge_words
+from .counts import SYM_CLOSE, SYM_OPEN, alphabet, pair_counts, symbol_table, top_pairs, word_counts
 
 VOCAB_SCHEMA = "id INT, token STRING, kind STRING"
 MERGES_SCHEMA = "rank INT, left STRING, right STRING, merged STRING, n LONG"
@@ -40,94 +47,65 @@ class TrainResult:
     merge_list: list      # [(left, right, merged, n)] in rank order
 
 
-def _pattern(a: str, b: str) -> str:
-    return f"{SYM_OPEN}{a}{SYM_CLOSE}{SYM_OPEN}{b}{SYM_CLOSE}"
-
-
-def apply_merges(sym, merges):
-    """Apply merges in order; each is a left-to-right, non-overlapping
-    replace of the delimited pair (built-in, code-generated)."""
-    for a, b in merges:
-        sym = F.replace(sym, F.lit(_pattern(a, b)), F.lit(f"{SYM_OPEN}{a}{b}{SYM_CLOSE}"))
-    return sym
-
-
-def _bounds(words: DataFrame, cands: list) -> dict:
-    """Largest count of a pair that merging each candidate could create,
-    per candidate, counted by neighbour symbol on either side: from every
-    symbol triple (x, a, b) / (a, b, y) whose inner pair is a candidate.
-    Only words holding a candidate are scanned."""
-    keys = [_pattern(a, b) for a, b in cands]
-    pre = None
-    for key in keys:
-        c = F.col("sym").contains(key)
-        pre = c if pre is None else (pre | c)
-    t = F.col("t")
-    first_pair = F.concat(F.substring_index(t, SYM_CLOSE, 2), F.lit(SYM_CLOSE))
-    last_pair = F.concat(F.lit(SYM_OPEN), F.substring_index(t, SYM_CLOSE + SYM_OPEN, -2))
-    trip = words.filter(pre).select(
-        F.explode(F.regexp_extract_all("sym", F.lit(TRIPLE_RE), 1)).alias("t"), "cnt")
-    sides = trip.select(F.explode(F.array(
-        F.struct(last_pair.alias("k"), F.lit("L").alias("side"), first_symbol(t).alias("nb")),
-        F.struct(first_pair.alias("k"), F.lit("R").alias("side"), last_symbol(t).alias("nb")))).alias("s"),
-        "cnt").filter(F.col("s.k").isin(keys))
-    per_nb = sides.groupBy("s.k", "s.side", "s.nb").agg(F.sum("cnt").alias("c"))
-    rows = per_nb.groupBy("k").agg(F.max("c").alias("bound")).collect()
-    got = {r["k"]: r["bound"] for r in rows}
-    return {(a, b): got.get(_pattern(a, b), 0) for a, b in cands}
-
-
-def _accept(top, vocab_texts: set, vocab_count: int, params: TrainParams,
-            bounds_fn, batch: bool):
-    """Pick the exact prefix of the ranked candidates. Returns
-    (accepted [(a, b, merged, n, adds_token)], stop)."""
-    # Cheap conditions first: they decide how many bounds are needed.
-    prefix = []
-    seen_created = set()
-    stop = False
-    count = vocab_count
-    for i, (a, b, n) in enumerate(top):
-        if count >= params.vocab_size or n < params.min_frequency:
-            stop = True
-            break
-        if i > 0:
-            if not batch:
-                break
-            if any(a == pb or b == pa for pa, pb, *_ in prefix):
-                break
-            if a in seen_created or b in seen_created:
-                break
-        merged = a + b
-        exists = merged in vocab_texts or merged in seen_created
-        prefix.append((a, b, merged, n, not exists))
-        seen_created.add(merged)
-        if not exists:
-            count += 1
-        if exists:
+MAX_HOT = 4096               # most hot pairs of a round
+FIRST_HOT = 512              # hot pairs of the first round
+MAX_SEGMENTS = 200_000       # segments, and their characters, one round may collect
+MAX_SEGMENT_CHARS = 8_000_000
+
+
+def _floor(top: list, hot: int, min_frequency: int) -> int | None:
+    """Least count of a hot pair, so that at most ``hot`` pairs (or those tied
+    at the top) have it and all of them are in ``top``; None: not all are."""
+    least = max(min_frequency, 1)
+    if len(top) <= hot:
+        return least
+    floor = top[hot][2] + 1
+    if top[0][2] < floor:                     # more ties at the top than hot pairs wanted
+        if len(top) > MAX_HOT and top[-1][2] == top[0][2]:
+            return None
+        floor = top[0][2]
+    return max(floor, least)
+
+
+def _segments(words: DataFrame, hot: frozenset):
+    """The summed segments as rows, or None when there are too many."""
+    segs = (words.mapInArrow(cut_words(hot), "seg string, cnt long")
+            .groupBy("seg").agg(F.sum("cnt").cast("long").alias("cnt")).persist())
+    try:
+        n, chars = segs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("seg")), F.lit(0))).first()
+        if n > MAX_SEGMENTS or chars > MAX_SEGMENT_CHARS:
+            return None, n
+        return [(r.seg, r.cnt) for r in segs.collect()], n
+    finally:
+        segs.unpersist()
+
+
+def _round(words: DataFrame, top: list, hot: int, texts: set, room: int, params: TrainParams):
+    """(merges of one round, hot pairs of the next one)."""
+    while True:
+        floor = _floor(top, hot, params.min_frequency)
+        if floor is None or top[0][2] < floor:
             break
-    if len(prefix) <= 1:
-        return prefix, stop
-    bounds = bounds_fn([(p[0], p[1]) for p in prefix])
-    accepted = [prefix[0]]
-    max_bound = bounds[(prefix[0][0], prefix[0][1])]
-    for p in prefix[1:]:
-        if p[3] <= max_bound:
+        pairs = frozenset((a, b) for a, b, n in top if n >= floor)
+        segments, n = _segments(words, pairs)
+        if segments is not None:
+            return choose(segments, floor, texts, room), min(MAX_HOT, 2 * hot) if n < MAX_SEGMENTS // 3 else hot
+        if len(pairs) <= 1 or hot <= 1:
             break
-        accepted.append(p)
-        max_bound = max(max_bound, bounds[(p[0], p[1])])
-    return accepted, stop and len(accepted) == len(prefix)
+        hot = max(1, min(hot, len(pairs)) // 4)
+    a, b, n = top[0]
+    return [(a, b, a + b, n, a + b not in texts)], max(1, hot)
 
 
 def train_bpe(spark: SparkSession, lines: DataFrame, line: str = "line",
               params: TrainParams = TrainParams(), batch: bool = True,
               word_table: DataFrame | None = None) -> TrainResult:
-    """Train a BPE vocabulary on the lines of a corpus table.
+    """Train a BPE vocabulary on the lines of a corpus table. ``batch=False``
+    commits one merge a round.
 
-    The rounds run with adaptive execution off: each round is two short jobs
-    over a cached table whose shuffles are already shrunk by partial
-    aggregation, and re-planning every stage costs more than it saves
-    (measured: 33 s -> 22 s for 23 rounds). The caller's setting is
-    restored afterwards."""
+    The rounds run with adaptive execution off: their shuffles are already
+    shrunk by partial sums, and re-planning every stage costs more than it
+    saves. The caller's setting is restored afterwards."""
     key = "spark.sql.adaptive.enabled"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "false")
@@ -140,54 +118,47 @@ def train_bpe(spark: SparkSession, lines: DataFrame, line: str = "line",
             spark.conf.set(key, before)
 
 
+def _written(words: DataFrame, folder: str, number: int) -> DataFrame:
+    words.write.parquet(f"{folder}/{number}")
+    return words.sparkSession.read.schema("sym string, cnt long").parquet(f"{folder}/{number}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _train(spark, lines, line, params, batch, word_table) -> TrainResult:
-    ensure_checkpoint_dir(spark)
-    owned = word_table is None
-    wc = word_counts(lines, line) if owned else word_table
-    wc = wc.persist()
-    alpha_rows = alphabet(wc).select("ch").collect()
-    alpha = sorted(r["ch"] for r in alpha_rows)
-    alpha.sort(key=lambda ch: ord(ch))
-    vocab_texts = set(SPECIAL_TOKENS) | set(alpha)
-    vocab_count = len(SPECIAL_TOKENS) + len(alpha)
-
-    words = (symbol_table(wc).filter(F.col("sym").contains(SYM_CLOSE + SYM_OPEN))
-             .persist())
-    k = params.candidates_per_round if batch else 1
-    merges = []
-    rounds = 0
-    old = [wc] if owned else []
-    while True:
-        rounds += 1
-        top = [(r["l"], r["r"], r["n"]) for r in top_pairs(pair_counts(words), k).collect()]
-        for df in old:
-            df.unpersist()
-        old = []
-        if not top:
-            break
-        accepted, stop = _accept(top, vocab_texts, vocab_count, params,
-                                 lambda c: _bounds(words, c), batch)
-        if not accepted:
-            break
-        for a, b, merged, n, adds in accepted:
-            merges.append((a, b, merged, n))
-            if adds:
-                vocab_texts.add(merged)
-                vocab_count += 1
-        nxt = words.select(apply_merges(F.col("sym"), [(a, b) for a, b, *_ in accepted]).alias("sym"),
-                           "cnt").filter(F.col("sym").contains(SYM_CLOSE + SYM_OPEN))
-        if rounds % params.checkpoint_every == 0:
-            # Reliable checkpoint in spark.checkpoint.dir: cuts the plan
-            # growth and survives lost executors; cached for the next pass.
-            nxt = nxt.checkpoint(eager=True).persist()
-        else:
-            nxt = nxt.persist()
-        old = [words]
-        words = nxt
-        if stop:
-            break
-    for df in old + [words]:
-        df.unpersist()
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bpe-{uuid.uuid4().hex}"
+    wc = (word_counts(lines, line) if word_table is None else word_table).persist()
+    alpha = sorted((r["ch"] for r in alphabet(wc).select("ch").collect()), key=ord)
+    texts = set(SPECIAL_TOKENS) | set(alpha)
+    room = params.vocab_size - len(SPECIAL_TOKENS) - len(alpha)
+    merges, rounds, hot = [], 0, FIRST_HOT
+    try:
+        words = _written(symbol_table(wc).filter(F.col("sym").contains(SYM_CLOSE + SYM_OPEN)), folder, 0)
+        if word_table is None:
+            wc.unpersist()
+        while room > 0:
+            rounds += 1
+            top = [(r["l"], r["r"], r["n"]) for r in top_pairs(pair_counts(words), MAX_HOT + 1 if batch else 1).collect()]
+            if not top or top[0][2] < max(params.min_frequency, 1):
+                break
+            if batch:
+                chosen, hot = _round(words, top, hot, texts, room, params)
+            else:
+                (a, b, n), = top
+                chosen = [(a, b, a + b, n, a + b not in texts)]
+            for a, b, merged, n, adds in chosen:
+                merges.append((a, b, merged, n))
+                texts.add(merged)
+                room -= adds
+            if room > 0:
+                merged_words = words.mapInArrow(merge_words([(a, b) for a, b, *_ in chosen]), "sym string, cnt long")
+                words = _written(merged_words, folder, rounds)
+                _delete(spark, f"{folder}/{rounds - 1}")
+    finally:
+        _delete(spark, folder)
     return TrainResult(_vocab_df(spark, alpha, merges), _merges_df(spark, merges), rounds, merges)
 
 

@@ -46,8 +46,6 @@ def to_symbols(word: Column) -> Column:
 # symbols. Plain regex, so it stays inside whole-stage codegen (a zip_with
 # lambda is interpreted row by row and was 2.4x slower here).
 PAIR_RE = f"(?=({SYM_OPEN}[^{SYM_CLOSE}]*{SYM_CLOSE}{SYM_OPEN}[^{SYM_CLOSE}]*{SYM_CLOSE}))"
-TRIPLE_RE = (f"(?=({SYM_OPEN}[^{SYM_CLOSE}]*{SYM_CLOSE}{SYM_OPEN}[^{SYM_CLOSE}]*{SYM_CLOSE}"
-             f"{SYM_OPEN}[^{SYM_CLOSE}]*{SYM_CLOSE}))")
 
 
 def first_symbol(k: Column) -> Column:

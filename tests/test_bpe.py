@@ -107,16 +107,16 @@ def test_same_merges_for_any_partitioning(spark):
 
 
 def test_full_size_queries(spark, monkeypatch):
-    """Every query that needs a model is registered with the whole vocabulary."""
+    """Every query that needs a model has the whole vocabulary under its name."""
     import __spark_entry__ as E
+    from lipi.plans import MODEL_QUERIES
     from lipi.plans import model_queries as M
-    names = {n for n in E.queries() if n.endswith("_full")}
-    assert len(names) > 25 and {"bpe_merges_full", "encode_documents_full", "stream_encode_full"} <= names
+    assert len(MODEL_QUERIES) > 30 and {"bpe_merges", "encode_documents", "stream_encode"} <= MODEL_QUERIES
     seen = []
     monkeypatch.setattr(M, "train_bpe", lambda s, lines, line, params: (
         seen.append(params), train_bpe(s, lines_df(s, ["ab ab"]), "line", params))[1])
     monkeypatch.setattr(M, "_MODELS", {})
-    for name in ("vocab_size_full", "vocab_size", "vocab_size_full"):
+    for name in ("vocab_size", "vocab_size_v160", "vocab_size"):
         E.queries()[name](spark, SF_SMALL)
     assert seen == [TrainParams(), M.CHECKED]
 
@@ -132,3 +132,81 @@ def test_thousands_of_merges_until_min_frequency(spark):
     _, merges = py_train(words, 8000, 2)
     assert 2000 <= len(merges) < 5000
     assert train_bpe(spark, corpus, "clean", TrainParams(min_frequency=2)).merge_list == merges
+
+
+def _random_words(seed, n=400):
+    import random
+    rnd = random.Random(seed)
+    stems = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 6))) for _ in range(30)]
+    return {"".join(rnd.choice(stems) for _ in range(rnd.randint(1, 3))): rnd.randint(1, 60) for _ in range(n)}
+
+
+def test_segment_rounds_equal_one_merge_at_a_time():
+    """The bounded step itself, without Spark: any floor gives the plain trainer's merges."""
+    from collections import Counter
+    from lipi.operators import bpe_rounds as R
+    for seed in range(6):
+        words = _random_words(seed)
+        _, want = py_train(words, 500, 2)
+        for hot_pairs in (1, 3, 10, 100, 10_000):
+            table, texts, got = {tuple(w): c for w, c in words.items()}, set("abcde"), []
+            while True:
+                count = Counter()
+                for t, c in table.items():
+                    for p in zip(t, t[1:]):
+                        count[p] += c
+                top = sorted(count.items(), key=lambda x: (-x[1], x[0]))
+                if not top or top[0][1] < 2 or len(texts) + 5 >= 500:
+                    break
+                floor = max(2, top[hot_pairs][1] + 1 if len(top) > hot_pairs else 2)
+                floor = min(floor, top[0][1])
+                hot = frozenset(p for p, n in top if n >= floor)
+                batch = R.pa.RecordBatch.from_arrays(
+                    [R.pa.array([R.SYM_OPEN + R._JOIN.join(t) + R.SYM_CLOSE for t in table]), R.pa.array(list(table.values()))],
+                    names=["sym", "cnt"])
+                segments = [(r["seg"], r["cnt"]) for b in R.cut_words(hot)([batch]) for r in b.to_pylist()]
+                chosen = R.choose(segments, floor, texts, 495 - len(texts))
+                assert chosen
+                got += [c[:4] for c in chosen]
+                texts |= {c[2] for c in chosen}
+                ranks = {(a, b): i for i, (a, b, *_) in enumerate(chosen)}
+                merged = Counter()
+                for t, c in table.items():
+                    merged[tuple(R.apply_in_order(list(t), ranks))] += c
+                table = merged
+            assert got == want, (seed, hot_pairs)
+
+
+def test_second_derivation_ends_the_round():
+    """abc from (ab, c) and from (a, bc): the counts behind it are taken anew."""
+    from lipi.operators import bpe_rounds as R
+    segments = [("a\n\tbc", 9), ("abc\n\tx", 8), ("p\n\tq", 7)]
+    assert R.choose(segments, 5, {"abc", "bc", "a", "x", "p", "q"}, 99) == [("a", "bc", "abc", 9, False)]
+
+
+def test_bounds_of_a_round(spark, monkeypatch):
+    """Too many segments: fewer hot pairs, in the end one merge a round."""
+    from lipi.operators import bpe_train as B
+    words = _random_words(11, 300)
+    table = spark.createDataFrame(list(words.items()), "word string, cnt long")
+    _, want = py_train(words, 60, 2)
+    rounds = []
+    for segments, hot in ((200_000, 4096), (60, 64), (0, 8)):
+        monkeypatch.setattr(B, "MAX_SEGMENTS", segments)
+        monkeypatch.setattr(B, "MAX_HOT", hot)
+        res = train_bpe(spark, None, params=TrainParams(vocab_size=60, min_frequency=2), word_table=table)
+        assert res.merge_list == want
+        rounds.append(res.rounds)
+    assert rounds[0] < rounds[1] < rounds[2] == len(want)
+
+
+def test_a_word_of_many_symbols(spark):
+    """A word is merged in O(L log L); the word table's folder is gone afterwards."""
+    import os
+    from lipi.session import ensure_checkpoint_dir
+    words = {"ab" * 40_000 + "c": 3, "abc": 5}
+    table = spark.createDataFrame(list(words.items()), "word string, cnt long")
+    res = train_bpe(spark, None, params=TrainParams(vocab_size=14, min_frequency=2), word_table=table)
+    assert [m[2] for m in res.merge_list][:2] == ["ab", "abab"] and len(res.merge_list) == 6
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    assert not [d for d in os.listdir(root) if d.startswith("bpe-")]

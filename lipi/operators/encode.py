@@ -495,6 +495,68 @@ def token_label(lo: Column, hi: Column, words: Column) -> Column:
     return F.when(hi > lo, F.array_join(F.slice(words, lo + 1, n), ", ")).otherwise(F.lit(""))
 
 
+# ---- the overlap of two span tables -------------------------------------------
+SPAN_BLOCK = 64          # characters of a block of the interval join
+
+
+def overlap_join(left: DataFrame, right: DataFrame, on, block: int = SPAN_BLOCK) -> DataFrame:
+    """left and right: (*on, start, end, ...) span tables that need not come
+    from one row -> every pair of rows whose spans share a character, with the
+    other columns of both (right's spans as r_start, r_end).
+
+    Spans are dealt to the blocks of ``block`` positions they touch, an equi-join
+    on (*on, block) brings those of one block together, and the pair is reported
+    in the block where the later of the two starts, so once. A block holds
+    bounded stretches of text: a long text is many keys, and no pairs beyond
+    a block's own are met. Spans that are empty or lack an end take no part."""
+    keys = _keys(on)
+
+    def dealt(df, start, end):
+        first, last = F.floor(F.col(start) / block), F.floor((F.col(end) - 1) / block)
+        return (df.where(F.col(end) > F.col(start))
+                .withColumn("_first", first.cast("long")).withColumn("_block", F.explode(F.sequence(first, last)).cast("long")))
+    r = right.withColumnsRenamed({"start": "r_start", "end": "r_end"})
+    a, b = dealt(left, "start", "end"), dealt(r, "r_start", "r_end").withColumnRenamed("_first", "_r_first")
+    return (a.join(b.hint("merge"), [*keys, "_block"])
+            .where((F.col("start") < F.col("r_end")) & (F.col("end") > F.col("r_start"))
+                   & (F.col("_block") == F.greatest("_first", "_r_first")))
+            .drop("_block", "_first", "_r_first"))
+
+
+# ---- encoding by a dictionary of the whole corpus -------------------------------
+HOT_SHARE = 10_000       # a word in more than 1 / HOT_SHARE of all (text, word) rows is hot
+
+
+def encode_dictionary(spark: SparkSession, df: DataFrame, model: BpeModel, key="doc_id", text: str = "text") -> DataFrame:
+    """(*keys, ids) as encode_ids gives them, but every distinct word of the
+    corpus is encoded once for the whole job.
+
+    A text's equal words are one row with their places. Their distinct words are
+    the dictionary; hot ones, of which there can be HOT_SHARE at most, are
+    joined by broadcast, all others by a shuffle that no word dominates."""
+    keys = _keys(key)
+    pieces = F.regexp_extract_all(nfkc(F.col(text)), F.lit(PIECES_RE), 0)
+    white = "^[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(_WHITE_SPACE)) + "]"
+    at = (df.select(*keys, F.posexplode(pieces).alias("place", "word"))
+          .where(~F.col("word").rlike(white) & (F.col("word") != ""))
+          .groupBy(*keys, "word").agg(F.collect_list("place").alias("places")))
+    at = at.checkpoint()                      # read three times
+    counts = at.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    enc = _make_id_encoder(_broadcast_model(spark, model))
+    words = counts.select("word", "n", enc(F.array("word")).alias("w_ids")).checkpoint()
+    hot_rows = F.col("n") * HOT_SHARE > F.lit(max(1, at.count()))
+    hot, rest = words.where(hot_rows).drop("n"), words.where(~hot_rows).drop("n")
+    # hot words find their ids; what finds none is not hot
+    known = at.join(F.broadcast(hot), "word", "left")
+    cold = known.where(F.col("w_ids").isNull()).drop("w_ids").join(rest.hint("merge"), "word")
+    both = known.where(F.col("w_ids").isNotNull()).unionByName(cold)
+    spots = both.select(*keys, F.explode("places").alias("place"), "w_ids")
+    ids = spots.groupBy(*keys).agg(F.flatten(F.transform(
+        F.array_sort(F.collect_list(F.struct("place", "w_ids"))), lambda x: x["w_ids"])).alias("ids"))
+    none = F.array().cast("array<int>")
+    return df.select(*keys).join(ids.hint("merge"), keys, "left").withColumn("ids", F.coalesce("ids", none))
+
+
 # ---- decode ---------------------------------------------------------------------
 _DEVANAGARI_DIGITS = "\u0966\u0967\u0968\u0969\u096a\u096b\u096c\u096d\u096e\u096f"
 

@@ -8,7 +8,7 @@ from ..config import DEFAULT_EVAL_LINES, DEFAULT_STATS_LINES
 from ..functions import text as tx
 from ..operators import clean as cl
 from ..operators import counts as ct
-from ..session import keep_rows, read_table
+from ..session import first_by_key, keep_rows, read_table
 from ..sources import corpus as src
 from . import sqltext as S
 from .registry import query
@@ -190,12 +190,33 @@ def corpus_head(spark, sf):
     return corpus_lines(spark, sf).orderBy("doc_id", "line_no").limit(HEAD_LINES)
 
 
-@query("eval_sample", f"""
+def _sample_sql(n):
+    return f"""
 WITH {S.corpus_clean_cte()}
 SELECT doc_id, e AS line FROM (SELECT doc_id, {S.eval_clean('clean')} AS e FROM corpus) WHERE e <> ''
-ORDER BY doc_id LIMIT {DEFAULT_EVAL_LINES}""")
+ORDER BY doc_id LIMIT {n}"""
+
+
+def _first_lines(spark, sf, n):
+    """Cleans ranges of documents, in key order, until n lines exist."""
+    def make(docs):
+        # cleaned where it is read: the ranges are small, and their filter must reach the scan
+        rows = cl.clean_corpus(docs).select("doc_id", tx.eval_clean(F.col("clean")).alias("line"))
+        return keep_rows(rows, F.col("line") != "")
+    return first_by_key(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", n, make, "doc_id", "line")
+
+
+@query("eval_sample", _sample_sql(DEFAULT_EVAL_LINES))
 def eval_sample(spark, sf):
-    return eval_lines(spark, sf).orderBy("doc_id").limit(DEFAULT_EVAL_LINES)
+    return _first_lines(spark, sf, DEFAULT_EVAL_LINES)
+
+
+SHORT_SAMPLE = 150       # fewer lines than any corpus has
+
+
+@query("eval_sample_short", _sample_sql(SHORT_SAMPLE))
+def eval_sample_short(spark, sf):
+    return _first_lines(spark, sf, SHORT_SAMPLE)
 
 
 @query("raw_sample", f"""

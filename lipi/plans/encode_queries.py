@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..config import (DEFAULT_EVAL_LINES, DEFAULT_STATS_LINES, HUE_MOD, LIGHT_BASE,
                       LIGHT_MOD, SAT_BASE, SAT_MOD, UNK_ID)
+from ..functions import sql as sql_functions
 from ..functions import text as tx
 from ..functions.ids import md5_bucket
 from ..operators import encode as en
 from ..operators import evaluate as ev
+from ..session import ensure_checkpoint_dir, first_n, keep_rows, read_table
+from ..sources import artefacts
 from ..sources import corpus as corpus_src
-from ..session import first_n, keep_rows, read_table
 from . import sqltext as S
 from .corpus_queries import ASCII, WIDE, corpus, corpus_lines, eval_lines, raw_sample
-from .model_queries import ORACLE_STEPS, model_of, train_prefix, vocab_df
+from .model_queries import ORACLE_STEPS, merges_df, model_of, train_prefix, vocab_df
 from .registry import query
 
 DOC = ["doc_id"]
@@ -69,6 +73,45 @@ def encode_benchmark(spark, sf):
     return _summary(e, ["item_id"])
 
 
+@query("encode_dictionary", f"WITH {train_prefix()},\n{_enc('', 'documents', DOC, 'text')}\n"
+       "SELECT doc_id, array_to_string(ids, ',') AS ids_csv, len(ids)::INT AS token_count FROM enc")
+def encode_dictionary(spark, sf):
+    """encode_documents by a dictionary of the corpus's distinct words."""
+    e = en.encode_dictionary(spark, read_table(spark, sf, "documents"), model_of(spark, sf), "doc_id", "text")
+    return e.select("doc_id", en.ids_csv(F.col("ids")).alias("ids_csv"), F.size("ids").cast("int").alias("token_count"))
+
+
+@query("encode_saved", f"WITH {train_prefix()},\n{_enc('', 'benchmark', ['item_id'], 'text')}\n{_summary_sql(['item_id'])}")
+def encode_saved(spark, sf):
+    """Save the model as artefacts in the shared folder, load them, encode."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lipi-model-{uuid.uuid4().hex}"
+    artefacts.save_model(vocab_df(spark, sf), merges_df(spark, sf), path)
+    model = artefacts.load_model(spark, path)[2]
+    return _summary(en.encode_ids(spark, read_table(spark, sf, "benchmark"), model, "item_id", "text"), ["item_id"])
+
+
+@query("sql_encode", f"WITH {train_prefix()},\n{_enc('', 'conversations', CONV, 'text')}\n"
+       "SELECT conv_id, turn, array_to_string(ids, ',') AS ids_csv, array_to_string(tokens, ' ') AS decoded FROM enc")
+def sql_encode(spark, sf):
+    """Encoding and decoding as functions in SQL text."""
+    sql_functions.register(spark, model_of(spark, sf), "lipi")
+    return spark.sql("""
+        WITH e AS (SELECT conv_id, turn, lipi_encode(lipi_pieces(text)) AS ids FROM {conversations})
+        SELECT conv_id, turn, array_join(transform(ids, i -> string(i)), ',') AS ids_csv, lipi_decode(ids) AS decoded FROM e""",
+                     conversations=read_table(spark, sf, "conversations"))
+
+
+@query("sql_tokens", f"WITH {train_prefix()},\n{_enc('', 'benchmark', ['item_id'], 'text')}\n"
+       "SELECT item_id, token_idx, token, id, start, \"end\" FROM tk")
+def sql_tokens(spark, sf):
+    """The table function: one row per token, in SQL text."""
+    sql_functions.register(spark, model_of(spark, sf), "lipi")
+    return spark.sql("""
+        SELECT b.item_id, t.token_idx, t.token, t.id, t.start, t.end
+        FROM (SELECT item_id, lipi_pieces(text) AS p FROM {benchmark}) b, LATERAL lipi_tokens(b.p) t""",
+                     benchmark=read_table(spark, sf, "benchmark"))
+
+
 @query("encode_csv", f"WITH {train_prefix()},\n{_enc('', 'conversations', CONV, 'text')}\n"
        "SELECT conv_id, turn, array_to_string(ids, ',') AS ids_csv FROM enc")
 def encode_csv(spark, sf):
@@ -160,6 +203,15 @@ def token_word_overlap(spark, sf):
     return en.overlap_pairs(_spanned(spark, sf), DOC).select("doc_id", "token_idx", "word_idx")
 
 
+@query("token_word_join", _OVERLAP + "SELECT doc_id, token_idx, word_idx FROM ov")
+def token_word_join(spark, sf):
+    """The same pairs from two separate tables of spans: token offsets and
+    word positions, joined by blocks of text."""
+    tokens = token_offsets(spark, sf).select("doc_id", "token_idx", "start", "end")
+    words = word_positions(spark, sf).select("doc_id", "word_idx", "start", "end")
+    return en.overlap_join(tokens, words, DOC).select("doc_id", "token_idx", "word_idx")
+
+
 @query("token_word_map", _OVERLAP +
        "SELECT doc_id, token_idx, string_agg(word_idx::VARCHAR, ',' ORDER BY word_idx) AS word_idxs FROM ov GROUP BY 1, 2")
 def token_word_map(spark, sf):
@@ -170,7 +222,7 @@ def token_word_map(spark, sf):
 
 @query("token_labels", _OVERLAP +
        "SELECT tk.doc_id, tk.token_idx, coalesce(array_to_string(lb.ws, ', '), '') AS label FROM tk LEFT JOIN "
-       "(SELECT doc_id, token_idx, list(word ORDER BY word_idx)[1:2] AS ws FROM ov GROUP BY 1, 2) lb USING (doc_id, token_idx)")
+       "(SELECT doc_id, token_idx, arg_min(word, word_idx, 2) AS ws FROM ov GROUP BY 1, 2) lb USING (doc_id, token_idx)")
 def token_labels(spark, sf):
     r = en.token_word_ranges(_spanned(spark, sf), DOC)
     return r.select("doc_id", "token_idx", en.token_label(F.col("lo"), F.col("hi"), F.col("wt")).alias("label"))
@@ -284,7 +336,7 @@ def _realigned(spark, sf):
 @query("decode_align", _REALIGN +
        "SELECT g.conv_id, g.turn, g.token_idx::INT AS token_idx, g.id::INT AS id, "
        "coalesce(array_to_string(lb.ws, ', '), '') AS label FROM g LEFT JOIN "
-       "(SELECT conv_id, turn, token_idx, list(word ORDER BY word_idx)[1:2] AS ws FROM ov2 GROUP BY 1, 2, 3) lb "
+       "(SELECT conv_id, turn, token_idx, arg_min(word, word_idx, 2) AS ws FROM ov2 GROUP BY 1, 2, 3) lb "
        "USING (conv_id, turn, token_idx)")
 def decode_align(spark, sf):
     """Each *given* id labelled, by index, with the words of the decoded text

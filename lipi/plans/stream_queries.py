@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import chunks as ch
-from ..session import read_table
+from ..session import ensure_checkpoint_dir, read_table
 from ..sources import corpus as src
 from ..streaming import feed
 from . import sqltext as S
@@ -18,21 +18,39 @@ from .registry import query
 
 @query("stream_word_counts", f"WITH {S.corpus_clean_cte()}, {S.word_counts_cte()} SELECT word, cnt FROM wc")
 def stream_word_counts(spark, sf):
-    """The chunked feed as a file stream; final state equals word_counts."""
+    """The table as a file stream; final state equals word_counts."""
     docs = feed.file_stream(spark, sf, "documents.parquet",
                             spread=spark.sparkContext.defaultParallelism)
     final, _ = feed.stream_word_counts(spark, docs)
     return final
 
 
+FEED_CHUNKS = 20         # micro-batches of the feed written from documents
+MARK = 25                # lines between two progress marks
+
+
+def _feed(spark, sf):
+    """The documents as a feed of FEED_CHUNKS chunks, one micro-batch each."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lipi-feed-{uuid.uuid4().hex}"
+    feed.write_feed(read_table(spark, sf, "documents"), path, F.pmod("doc_id", F.lit(FEED_CHUNKS)))
+    docs = feed.file_stream(spark, path, "*.parquet")
+    return feed.stream_word_counts(spark, docs, partitions=4)
+
+
+@query("stream_running_counts", f"WITH {S.corpus_clean_cte()}, {S.word_counts_cte()} SELECT word, cnt FROM wc")
+def stream_running_counts(spark, sf):
+    """Running counts kept in a state store over many micro-batches."""
+    return _feed(spark, sf)[0]
+
+
 @query("stream_progress", f"""WITH {S.corpus_clean_cte()},
-t AS (SELECT (SELECT count(*) FROM corpus) AS lines)
-SELECT 0::BIGINT AS batch, unnest(range(1, (lines // 100) + 1)) * 100 AS mark FROM t""")
+b AS (SELECT doc_id % {FEED_CHUNKS} AS batch, count(*) AS lines FROM corpus GROUP BY 1),
+t AS (SELECT batch, lines, sum(lines) OVER (ORDER BY batch) AS total FROM b)
+SELECT batch::BIGINT AS batch, (unnest(range((total - lines)::BIGINT // {MARK} + 1, total::BIGINT // {MARK} + 1)) * {MARK})::BIGINT AS mark FROM t""")
 def stream_progress(spark, sf):
-    """A mark for every 100 lines fed (one file, so one micro-batch)."""
-    docs = feed.file_stream(spark, sf, "documents.parquet", spread=spark.sparkContext.defaultParallelism)
-    _, progress = feed.stream_word_counts(spark, docs)
-    return feed.log_marks(progress, 100)
+    """A mark for every MARK lines fed, with the micro-batch that reached it,
+    from the metrics observed in the running query."""
+    return feed.log_marks(_feed(spark, sf)[1], MARK)
 
 
 @query("stream_encode", f"WITH {train_prefix()},\n{_enc('', 'conversations', CONV, 'text')}\n{_summary_sql(CONV)}")

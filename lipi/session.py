@@ -106,3 +106,35 @@ def first_n(df, n, *order):
     UDF runs on every row before the cut."""
     par = df.sparkSession.sparkContext.defaultParallelism
     return df.orderBy(*order).limit(n).repartition(par)
+
+
+def first_by_key(source, key, n, make, *order):
+    """The first n rows, by ``order``, of make(source), where make is narrow
+    (row by row, key kept) and ``order`` starts with the key: ranges of keys,
+    each twice as long as all before, are made until n rows exist.
+
+    The range limits are exact quantiles of the key column, which is all that
+    is read for them; a range is a filter on the key, so Parquet skips the row
+    groups outside it. Rows of one key are never split over two ranges."""
+    from pyspark.sql import functions as F
+    order = list(order) or [key]
+    found, after, size, held = None, None, 2 * n, 0
+    keys = source.select(key).where(F.col(key).isNotNull())
+    total = keys.count()
+    while True:
+        rows = source if after is None else source.where(F.col(key) > after)
+        upto = None
+        if size < total:
+            # within a thousandth of the wanted place: a range may be a little longer or shorter
+            upto = keys.agg(F.percentile_approx(key, min(1.0, size / total), 1000)).first()[0]
+            if after is None or upto > after:
+                rows = rows.where(F.col(key) <= upto)
+            else:
+                upto, rows = after, None
+        if rows is not None:
+            part = make(rows).orderBy(*order).limit(n - held).checkpoint()       # n rows at most
+            held += part.count()
+            found = part if found is None else found.unionByName(part)
+        if held >= n or size >= total:
+            return found.orderBy(*order).limit(n)
+        after, size = upto, 2 * size

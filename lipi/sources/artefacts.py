@@ -1,9 +1,18 @@
-"""Tokenizer artefacts: vocabulary and merges as Parquet plus one small
-JSON export; load with a fail-fast check; train only when missing."""
+"""Tokenizer artefacts: vocabulary and merges as Parquet plus one small JSON
+export, in versions; load with a fail-fast check; train only when missing.
+
+Every save writes a folder of its own (versions/<id>) and then swaps the file
+CURRENT, which names it, by one atomic rename. A reader sees a whole model or
+the one before, never parts of two; a save that is interrupted leaves a folder
+that nothing names; of two trainers that save at once the later swap wins.
+Folders that are no longer named stay until ``drop_old_versions``, so that
+whoever reads them can finish.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,29 +20,47 @@ from ..config import SPECIAL_TOKENS, TrainParams
 from ..operators.bpe_train import train_bpe
 from ..operators.encode import BpeModel
 
+POINTER = "CURRENT"
+
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def _params_text(params: TrainParams) -> str:
     return json.dumps({"vocab_size": params.vocab_size, "min_frequency": params.min_frequency}, sort_keys=True)
 
 
-def save_model(vocab: DataFrame, merges: DataFrame, path: str, force: bool = False,
-               params: TrainParams | None = None) -> None:
-    """Vocabulary, merges, JSON, and last the ``complete`` marker with the
-    training parameters: a folder without it is a broken write."""
+def _point_to(spark: SparkSession, path: str, version: str) -> None:
+    """Swap the pointer: write it aside, rename over the old one."""
+    fs, aside = _fs(spark, f"{path}/{POINTER}-{version}")
+    out = fs.create(aside, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(aside, hadoop.Path(f"{path}/{POINTER}"), over)
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The folder that readers are to use; None when nothing was saved yet."""
+    fs, p = _fs(spark, f"{path}/{POINTER}")
+    if not fs.exists(p):
+        return None
+    return f"{path}/versions/{spark.read.text(f'{path}/{POINTER}').first()[0]}"
+
+
+def save_model(vocab: DataFrame, merges: DataFrame, path: str, params: TrainParams | None = None) -> str:
+    """Write vocabulary, merges, JSON and training parameters as a new version
+    and make it the current one; returns its folder."""
     spark = vocab.sparkSession
-    if force:
-        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/complete")
-        marker.getFileSystem(spark._jsc.hadoopConfiguration()).delete(marker, True)
-    mode = "overwrite" if force else "errorifexists"
-    vocab.coalesce(1).write.mode(mode).parquet(f"{path}/vocab")
-    merges.coalesce(1).write.mode(mode).parquet(f"{path}/merges")
+    version = uuid.uuid4().hex
+    folder = f"{path}/versions/{version}"
+    vocab.coalesce(1).write.parquet(f"{folder}/vocab")
+    merges.coalesce(1).write.parquet(f"{folder}/merges")
     # Small JSON export (bounded by vocab_size) for tools outside Spark.
     doc = {
         "added_tokens": [{"id": i, "content": t, "special": True} for i, t in enumerate(SPECIAL_TOKENS)],
@@ -43,27 +70,40 @@ def save_model(vocab: DataFrame, merges: DataFrame, path: str, force: bool = Fal
             "merges": [[r["left"], r["right"]] for r in merges.orderBy("rank").collect()],
         },
     }
-    spark.createDataFrame([(json.dumps(doc, ensure_ascii=False),)], "value string") \
-        .coalesce(1).write.mode(mode).text(f"{path}/tokenizer_json")
-    spark.createDataFrame([(_params_text(params or TrainParams()),)], "value string") \
-        .coalesce(1).write.mode(mode).text(f"{path}/complete")
+    for name, text in (("tokenizer_json", json.dumps(doc, ensure_ascii=False)), ("params", _params_text(params or TrainParams()))):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/{name}")
+    _point_to(spark, path, version)
+    return folder
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, BpeModel]:
-    if not _exists(spark, f"{path}/complete"):
-        raise FileNotFoundError(f"no complete tokenizer artefacts under {path}")
-    vocab = spark.read.parquet(f"{path}/vocab")
-    merges = spark.read.parquet(f"{path}/merges")
+    folder = current_version(spark, path)
+    if folder is None:
+        raise FileNotFoundError(f"no tokenizer artefacts under {path}")
+    vocab = spark.read.parquet(f"{folder}/vocab")
+    merges = spark.read.parquet(f"{folder}/merges")
     return vocab, merges, BpeModel.from_frames(vocab, merges)
 
 
 def train_or_load(spark: SparkSession, lines: DataFrame, path: str, line: str = "line",
                   params: TrainParams = TrainParams(), force: bool = False):
-    """Reuse saved artefacts that are complete and were trained with the same
+    """Reuse the current artefacts if they were trained with the same
     parameters, unless `force`; otherwise train and save."""
-    if not force and _exists(spark, f"{path}/complete"):
-        if spark.read.text(f"{path}/complete").first()[0] == _params_text(params):
-            return load_model(spark, path)
+    folder = None if force else current_version(spark, path)
+    if folder is not None and spark.read.text(f"{folder}/params").first()[0] == _params_text(params):
+        return load_model(spark, path)
     res = train_bpe(spark, lines, line, params)
-    save_model(res.vocab, res.merges, path, force=True, params=params)
+    save_model(res.vocab, res.merges, path, params)
     return load_model(spark, path)
+
+
+def drop_old_versions(spark: SparkSession, path: str) -> int:
+    """Delete every version but the current one; returns how many."""
+    keep = current_version(spark, path)
+    fs, root = _fs(spark, f"{path}/versions")
+    if keep is None or not fs.exists(root):
+        return 0
+    old = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName() != keep.rsplit("/", 1)[1]]
+    for p in old:
+        fs.delete(p, True)
+    return len(old)

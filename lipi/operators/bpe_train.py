@@ -48,7 +48,8 @@ class TrainResult:
 
 
 MAX_HOT = 4096               # most hot pairs of a round
-FIRST_HOT = 512              # hot pairs of the first round
+FIRST_HOT = 64               # hot pairs of the first round
+FEW_SEGMENTS = 15_000        # below: the next round takes twice as many hot pairs; above twice this, half
 MAX_SEGMENTS = 200_000       # segments, and their characters, one round may collect
 MAX_SEGMENT_CHARS = 8_000_000
 
@@ -89,7 +90,8 @@ def _round(words: DataFrame, top: list, hot: int, texts: set, room: int, params:
         pairs = frozenset((a, b) for a, b, n in top if n >= floor)
         segments, n = _segments(words, pairs)
         if segments is not None:
-            return choose(segments, floor, texts, room), min(MAX_HOT, 2 * hot) if n < MAX_SEGMENTS // 3 else hot
+            after = min(MAX_HOT, 2 * hot) if n < FEW_SEGMENTS else max(1, hot // 2) if n > 2 * FEW_SEGMENTS else hot
+            return choose(segments, floor, texts, room), after
         if len(pairs) <= 1 or hot <= 1:
             break
         hot = max(1, min(hot, len(pairs)) // 4)

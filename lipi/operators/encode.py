@@ -512,9 +512,9 @@ def overlap_join(left: DataFrame, right: DataFrame, on, block: int = SPAN_BLOCK)
     keys = _keys(on)
 
     def dealt(df, start, end):
-        first, last = F.floor(F.col(start) / block), F.floor((F.col(end) - 1) / block)
+        first, last = (F.floor(x / block).cast("long") for x in (F.col(start), F.col(end) - 1))
         return (df.where(F.col(end) > F.col(start))
-                .withColumn("_first", first.cast("long")).withColumn("_block", F.explode(F.sequence(first, last)).cast("long")))
+                .withColumn("_first", first).withColumn("_block", F.explode(F.sequence(first, last))))
     r = right.withColumnsRenamed({"start": "r_start", "end": "r_end"})
     a, b = dealt(left, "start", "end"), dealt(r, "r_start", "r_end").withColumnRenamed("_first", "_r_first")
     return (a.join(b.hint("merge"), [*keys, "_block"])

@@ -115,11 +115,13 @@ def first_by_key(source, key, n, make, *order):
 
     The range limits are exact quantiles of the key column, which is all that
     is read for them; a range is a filter on the key, so Parquet skips the row
-    groups outside it. Rows of one key are never split over two ranges."""
+    groups outside it. Rows of one key are never split over two ranges; rows
+    without a key have no place and are left out."""
     from pyspark.sql import functions as F
     order = list(order) or [key]
     found, after, size, held = None, None, 2 * n, 0
-    keys = source.select(key).where(F.col(key).isNotNull())
+    source = source.where(F.col(key).isNotNull())
+    keys = source.select(key)
     total = keys.count()
     while True:
         rows = source if after is None else source.where(F.col(key) > after)

@@ -235,3 +235,84 @@ def test_spans_null_and_blank_text(spark):
     got = sorted((r["doc_id"], r["token_idx"], r["word_idx"]) for r in en.overlap_pairs(sp).collect())
     assert got == [(2, 0, 0)]
     assert {r["doc_id"]: r["wt"] for r in sp.collect()} == {0: None, 1: [], 2: ["ab"]}
+
+
+def spans(spark, rows, name):
+    return spark.createDataFrame(rows, f"doc_id long, {name} int, start int, end int")
+
+
+def test_overlap_of_two_span_tables(spark):
+    """Any spans, from different tables, against all pairs; each pair once."""
+    import random
+    rnd = random.Random(5)
+
+    def make(n):
+        out = []
+        for i in range(n):
+            a = rnd.randint(0, 700)
+            out.append((rnd.randint(0, 2), i, a, a + rnd.choice([0, 1, 3, 40, 200])))
+        return out + [(0, n, None, 4), (1, n + 1, 9, None), (7, n + 2, 0, 5), (None, n + 3, 0, 9)]
+    left, right = make(150), make(120)
+    want = sorted((a[0], a[1], b[1]) for a in left for b in right
+                  if a[0] is not None and a[0] == b[0] and None not in (a[2], a[3], b[2], b[3])
+                  and a[3] > a[2] and b[3] > b[2] and a[2] < b[3] and a[3] > b[2])
+    for block in (1, 64, 10_000):
+        got = en.overlap_join(spans(spark, left, "token_idx"), spans(spark, right, "word_idx"), "doc_id", block)
+        assert got.columns == ["doc_id", "token_idx", "start", "end", "word_idx", "r_start", "r_end"]
+        assert sorted((r.doc_id, r.token_idx, r.word_idx) for r in got.collect()) == want
+    assert en.overlap_join(spans(spark, [], "a"), spans(spark, right, "b"), "doc_id").collect() == []
+
+
+def test_dictionary_encoding_equals_row_local(spark, monkeypatch):
+    model = BpeModel(("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "a", "b", "c", "ab", "bc", "abc"),
+                     (("b", "c"), ("a", "b"), ("a", "bc")))
+    docs = [(1, "abc ab abc"), (2, ""), (3, None), (4, "the abc " * 50), (5, "ab[CLS]  xａｂ"), (6, "  "), (7, "c" * 5000)]
+    docs += [(100 + i, "abc w%d" % (i % 3)) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {r.doc_id: list(r.ids or []) for r in en.encode_ids(spark, df, model).collect()}
+    for share in (10_000, 5, 0):             # all words hot, some, none
+        monkeypatch.setattr(en, "HOT_SHARE", share)
+        got = en.encode_dictionary(spark, df, model).collect()
+        assert len(got) == len(docs) and {r.doc_id: list(r.ids) for r in got} == want
+
+
+def test_functions_and_table_function_in_sql(spark):
+    from lipi.functions import sql
+    model = BpeModel(("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "a", "b", "c", "ab", "bc", "abc"),
+                     (("b", "c"), ("a", "b"), ("a", "bc")))
+    other = BpeModel(("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "a", "b"), ())
+    sql.register(spark, model)
+    sql.register(spark, other, "plain")
+    df = spark.createDataFrame([(1, "abc ab [CLS]x"), (2, None), (3, ""), (4, "ａb")], "k int, t string")
+    got = {r.k: (r.ids, r.d, r.p) for r in spark.sql("""
+        SELECT k, lipi_encode(lipi_pieces(t)) AS ids, lipi_decode(array(10, 3, 99, 8)) AS d, plain_encode(plain_pieces(t)) AS p
+        FROM {df}""", df=df).collect()}
+    assert got == {1: ([10, 8, 2, 1], "abc [SEP] ab", [5, 6, 1, 5, 6, 2, 1]), 2: ([], "abc [SEP] ab", []),
+                   3: ([], "abc [SEP] ab", []), 4: ([8], "abc [SEP] ab", [5, 6])}
+    rows = spark.sql("SELECT d.k, x.* FROM (SELECT k, lipi_pieces(t) AS p FROM {df}) d, LATERAL lipi_tokens(d.p) x", df=df).collect()
+    assert sorted(map(tuple, rows)) == [(1, 0, "abc", 10, 0, 3), (1, 1, "ab", 8, 4, 6), (1, 2, "[CLS]", 2, 7, 12),
+                                        (1, 3, "[UNK]", 1, 12, 13), (4, 0, "ab", 8, 0, 2)]
+    off = en.token_offsets(en.encode(spark, df.where("k = 1"), model, "k", "t"), "k")
+    assert sorted(map(tuple, off.collect())) == [r for r in sorted(map(tuple, rows)) if r[0] == 1]
+
+
+def test_first_rows_by_key_ranges(spark, tmp_path):
+    from lipi.session import first_by_key
+    rows = [(k // 2 if k % 7 else None, k) for k in range(4000)]          # two rows a key, some without
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "k long, v long").repartitionByRange(5, "k").write.parquet(path)
+    source, seen = spark.read.parquet(path), []
+
+    def make(part):
+        seen.append(part)
+        return part.where("v % 3 = 0")
+    kept = sorted((k, v) for k, v in rows if k is not None and v % 3 == 0)
+    for n in (1, 40, 500, 5000):
+        seen.clear()
+        got = first_by_key(source, "k", n, make, "k", "v")
+        assert [tuple(r) for r in got.collect()] == kept[:n]
+        read = sum(p.count() for p in seen)
+        assert n == 5000 or read < 12 * n + 100                          # only the ranges that were needed
+    plan = seen[0]._jdf.queryExecution().toString()
+    assert first_by_key(source.where("k < 0"), "k", 3, make).collect() == []
+    assert "PushedFilters" in plan

@@ -48,13 +48,14 @@ class Generations(dict):
     """A bounded cache in two generations: when the young one is full it
     becomes the old one, and what is still in use comes back from there."""
 
-    def __init__(self):
+    def __init__(self, young: int = YOUNG_WORDS):
         super().__init__()
         self.old: dict = {}
+        self.young = young
 
     def missing(self, keys: set) -> list:
         """Keys in neither generation; the old one's hits are taken over."""
-        if len(self) + len(keys) > YOUNG_WORDS:
+        if len(self) + len(keys) > self.young:
             self.old = dict(self)
             self.clear()
         old, new = self.old, []

@@ -25,6 +25,43 @@ def test_parity_and_round_trip(spark):
     assert S.encode(table(spark, [])).collect() == []
 
 
+def test_whole_texts_and_long_ones():
+    """Cutting keeps the parity of whole texts; slices of a long text too."""
+    import random
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abcdeé日▁.ß") for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+    text = "".join(w + rnd.choice([" ", " ", " ", " ", "  ", "\n", " \n", "\u3000", "\t "]) for w in words)
+    want = SP.encode(text)
+    assert np.frombuffer(MINE.encode([text])[0][0], "<u4").tolist() == want
+    for size in (1, 100, 5000):
+        slices = list(MINE.slices(text, size))
+        assert len(slices) > 1 and np.frombuffer(b"".join(i for i, _ in MINE.encode(slices)), "<u4").tolist() == want
+
+
+def test_grouped_decoding_equals_the_decoder():
+    """Any ids, not only those of texts."""
+    import random
+    rnd = random.Random(4)
+    n = MINE.tok.get_vocab_size()
+    lists = [[rnd.randrange(n) if rnd.random() < 0.5 else rnd.randrange(3, 262) for _ in range(rnd.randint(0, 30))] for _ in range(500)]
+    got = MINE.decode([np.array(x, "<u4").tobytes() for x in lists])
+    assert got == MINE.tok.decode_batch(lists, skip_special_tokens=False)
+
+
+def test_differing_parts_are_told(spark, monkeypatch):
+    """A part that the two libraries encode differently costs parity, in both ways of telling."""
+    docs = [(1, "same words"), (2, "same odd words"), (3, None), (4, "odd")]
+    real = S.unequal_parts
+    monkeypatch.setattr(S, "unequal_parts", lambda parts, *a: parts.where("part = 'odd'"))
+    got = {r.doc_id: r.parity for r in S.encode(table(spark, docs)).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False}
+    monkeypatch.setattr(S, "unequal_parts", real)
+    monkeypatch.setattr(S, "BAD_PARTS", -1)        # every worker compares whole texts itself
+    assert all(r.parity for r in S.encode(table(spark, docs)).collect())
+    parts = {r.part for r in S.distinct_parts(S._rows(table(spark, docs), "doc_id", "text"), PATH).collect()}
+    assert parts == {"same", "words", "odd", ""} and S.unequal_parts(spark.createDataFrame([(p,) for p in parts], "part string"), PATH).count() == 0
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab Z.\n\té日▁😀<s>0")), max_size=30))
 def test_parity_on_random_text(text):

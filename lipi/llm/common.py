@@ -52,6 +52,14 @@ def sha256_text(col) -> "F.Column":
 
 def shuffled(df: DataFrame) -> DataFrame:
     """The small side of a join whose size follows the corpus: always a
-    sort-merge join (which adaptive execution can split), never a broadcast
-    that a small test would choose and a large run could not."""
+    sort-merge join (which adaptive execution can split, if both sides come
+    straight from a shuffle), never a broadcast that a small test would choose
+    and a large run could not."""
     return df.hint("merge")
+
+
+def apart(aggregate: DataFrame) -> DataFrame:
+    """The side of a join that is an aggregate on the join key. Left alone, its
+    last step stays in the join's own stage, which adaptive execution then
+    cannot split at a hot key; dealt out anew, it is a stage of its own."""
+    return shuffled(aggregate.repartition(parts(aggregate.sparkSession)))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, shuffled, staged
+from .common import apart, parts, shuffled, staged
 from .textwords import U, _BASE, _INV, _powers, blocks_of, hash_words, mix, spans, window_hash
 
 WINDOW = 50
@@ -308,36 +308,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     every = staged(raw.where("doc_id is not null").mapInArrow(
         _anchor_rows, "h long, ctx long, doc_id long, xx long, start int, n int"), "anchors")
     twice = every.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    shared = staged(every.join(shuffled(twice), "h"), "shared_anchors")
+    shared = staged(every.join(apart(twice), "h"), "shared_anchors")
     # one exemplar (its owner) of every distinct context
     refs = shared.groupBy("h", "ctx").agg(F.min(F.struct("doc_id", "xx", "start", "n")).alias("e"),
                                           F.max("doc_id").alias("top"))
     cuts = (refs.select("e.doc_id", "e.xx", F.struct("h", "ctx", "e.start", "e.n", "top").alias("c"))
             .groupBy("doc_id", "xx").agg(F.collect_list("c").alias("cuts")))
-    found = raw.join(shuffled(cuts), ["doc_id", "xx"])
+    found = raw.join(apart(cuts), ["doc_id", "xx"])
     contexts = staged(found.select("doc_id", "_bytes", "cuts").mapInArrow(
         _cut_contexts, "h long, ctx long, owner long, top long, words binary"), "contexts")
     per = contexts.groupBy("h").agg(F.count("*").alias("m"))
     crowded = per.where(F.col("m") > shard * trim).select("h")
     # crowded anchors: windows that one document alone holds cannot match
-    thick = contexts.join(crowded, "h", "left_semi")
+    thick = contexts.join(apart(crowded), "h", "left_semi")
     keys = thick.mapInArrow(_window_keys, "h long, ctx long, owner long, top long, w long, j int")
     common = keys.groupBy("h", "w").agg(F.min("owner").alias("lo"), F.max("top").alias("hi")).where("lo < hi")
-    common = staged(keys.join(common.select("h", "w"), ["h", "w"])
+    common = staged(keys.join(apart(common.select("h", "w")), ["h", "w"])
                     .groupBy("h", "ctx").agg(F.collect_set("j").alias("js")), "common_windows")
-    trimmed = staged(thick.join(common, ["h", "ctx"]).select("h", "ctx", "owner", "words", "js")
+    trimmed = staged(thick.join(shuffled(common), ["h", "ctx"]).select("h", "ctx", "owner", "words", "js")
                      .mapInArrow(_trim, "h long, ctx long, at int, owner long, words binary"), "trimmed")
     # equal trimmed pieces of an anchor are one reference again
     piece = trimmed.withColumn("pc", F.xxhash64("words"))
     one = (piece.groupBy("h", "pc", "words").agg(F.min("owner").alias("owner"))
            .select("h", F.col("pc").alias("ctx"), F.lit(0).alias("at"), "owner", "words"))
-    thin = (contexts.join(shuffled(crowded), "h", "left_anti")
+    thin = (contexts.join(apart(crowded), "h", "left_anti")
             .select("h", "ctx", F.lit(0).alias("at"), "owner", "words"))
 
     def matched(rows):
         shards = F.ceil(F.col("m") / shard)
         own = F.pmod(F.xxhash64("ctx"), shards)
-        dealt = rows.join(shuffled(rows.groupBy("h").agg(F.count("*").alias("m"))), "h").withColumn("own", own)
+        dealt = rows.join(apart(rows.groupBy("h").agg(F.count("*").alias("m"))), "h").withColumn("own", own)
         # as a reference in its own shard for every block, as a query in its own block for every shard
         roles = F.when(F.col("m") <= shard, F.array(F.struct(F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("block"), F.lit(3).alias("flag")))).otherwise(
             F.concat(F.transform(F.sequence(F.lit(0).cast("long"), shards - 1), lambda j: F.struct(
@@ -351,7 +351,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     direct = matched(thin).select("h", "ctx", F.col("first"), F.col("last"), "owner")
     via = (matched(one).select("h", F.col("ctx").alias("pc"), "first", "last", "owner")
-           .join(piece.select("h", "ctx", "pc", "at"), ["h", "pc"])
+           .join(shuffled(piece.select("h", "ctx", "pc", "at")), ["h", "pc"])
            .select("h", "ctx", (F.col("first") + F.col("at")).alias("first"),
                    (F.col("last") + F.col("at")).alias("last"), "owner"))
     owned = staged(direct.union(via), "owners")
@@ -359,5 +359,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
              .select("doc_id", "xx", F.struct((F.col("start") + F.col("first")).alias("lo"),
                                               (F.col("start") + F.col("last") + WINDOW).alias("hi")).alias("c"))
              .groupBy("doc_id", "xx").agg(F.collect_set("c").alias("cover")))
-    return raw.join(shuffled(cover), ["doc_id", "xx"], "left").select("doc_id", "_bytes", "cover").mapInArrow(
+    return raw.join(apart(cover), ["doc_id", "xx"], "left").select("doc_id", "_bytes", "cover").mapInArrow(
         _remove, "doc_id long, n_words long, n_removed long, spans array<struct<lo:int,hi:int>>, kept_text string")

@@ -3,9 +3,9 @@
 Links are first thinned inside each partition by a union-find to a spanning
 forest (never more rows than the partition has nodes), then contracted by
 alternating large-star and small-star passes until nothing changes. Every
-pass is a min-aggregation (partial before the shuffle) and an equi-join that
-adaptive execution can split, so a node with a third of all links is no
-single task's work. The loop ends when the link table is a set of stars.
+pass is a min-aggregation (partial before the shuffle) and an equi-join with
+its result, dealt out anew so that adaptive execution can split the join: a node
+with a third of all links is no single task's work. The loop ends when the link table is a set of stars.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, staged
+from .common import apart, discard, staged
 
 
 def _forest(batches):
@@ -46,10 +46,9 @@ def _forest(batches):
 
 
 def _signature(df):
-    r = df.agg(F.count("*").alias("n"),
-               F.sum(F.xxhash64("u", "v") % 1000000007).alias("s"),
-               F.sum("v").alias("t")).first()
-    return tuple(r)
+    """Number and order-free hashes of the links; ids of any size."""
+    h = F.xxhash64("u", "v")
+    return tuple(df.agg(F.count("*"), F.bit_xor(h), F.bit_xor(F.xxhash64(h)), F.sum(h % 1000000007)).first())
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -63,10 +62,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while seen[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(apart(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.where("u <> v").distinct()
         small = down.groupBy("u").agg(F.min("v").alias("m"))
-        step = (down.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        step = (down.join(apart(small), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                 .union(small.select("u", F.col("m").alias("v")))).distinct()
         nxt = staged(step, "cc")
         now = _signature(nxt)

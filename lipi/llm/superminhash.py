@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, parts, shuffled, staged
+from .common import apart, discard, parts, shuffled, staged
 from .components import components
 from .textwords import U, _INV, _BASE, _powers, blocks_of, hash_words, mix, window_hash
 
@@ -309,7 +309,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                   .select(*key, "m.doc_id", "m.xx", "m.sig"), "representatives")
     band = reps.select("doc_id", "sig").mapInArrow(_bands, "bucket long, doc_id long")
     full = band.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    inside = staged(band.join(shuffled(full.select("bucket", "pivot")), "bucket"), "buckets")
+    inside = staged(band.join(apart(full.select("bucket", "pivot")), "bucket"), "buckets")
     sig = reps.select(F.col("doc_id"), "sig")
 
     def with_sigs(pairs):
@@ -317,7 +317,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 .join(shuffled(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))), "b"))
 
     def texts_of(ids):
-        wanted = ids.distinct().join(reps.select("doc_id", "xx"), "doc_id")
+        wanted = ids.distinct().join(shuffled(reps.select("doc_id", "xx")), "doc_id")
         return staged(raw.select("doc_id", F.xxhash64("_bytes").alias("xx"), "_bytes")
                       .join(shuffled(wanted), ["doc_id", "xx"], "left_semi")
                       .dropDuplicates(["doc_id", "xx"]).select("doc_id", "_bytes"), "texts")
@@ -336,14 +336,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = verified(cand1, "pivot_links")
     comp = staged(components(links), "pivot_components")
     # buckets that still hold several components
-    placed = inside.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+    placed = inside.join(shuffled(comp.withColumnRenamed("node", "doc_id")), "doc_id", "left").select(
         "bucket", "doc_id", F.coalesce("component_id", "doc_id").alias("comp"), "pivot")
     mixed = (placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
                                           F.count("*").alias("n")).where("lo <> hi").select("bucket", "n"))
     main = placed.where("doc_id = pivot").select("bucket", F.col("comp").alias("main"))
-    open_rows = staged(placed.drop("pivot").join(mixed, "bucket").join(main, "bucket"), "mixed")
+    open_rows = staged(placed.drop("pivot").join(apart(mixed.join(shuffled(main), "bucket")), "bucket"), "mixed")
     others = open_rows.groupBy("bucket").agg(F.sum((F.col("comp") != F.col("main")).cast("long")).alias("no"))
-    sized = (open_rows.join(others, "bucket").select(
+    sized = (open_rows.join(apart(others), "bucket").select(
         "bucket", "doc_id", "comp", (F.col("comp") == F.col("main")).alias("is_main"),
         F.ceil((F.col("n") - F.col("no")) / BLOCK).alias("bm"), F.ceil(F.col("no") / BLOCK).alias("bo")))
     mine = F.pmod(F.xxhash64("doc_id"), F.when(F.col("is_main"), F.col("bm")).otherwise(F.col("bo")))
@@ -367,7 +367,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # class members follow their representative
     final = components(comp.select(F.col("node").alias("a"), F.col("component_id").alias("b")).union(links2))
     rep_comp = (reps.select(*key, F.col("doc_id").alias("rep")).join(
-        final.withColumnRenamed("node", "rep"), "rep", "left")
+        apart(final.withColumnRenamed("node", "rep")), "rep", "left")
         .select(*key, F.coalesce("component_id", "rep").alias("component_id")))
     return (signed.select("doc_id", *key).join(shuffled(rep_comp), key, "left").select(
         "doc_id", "n_shingles",

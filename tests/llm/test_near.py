@@ -71,3 +71,23 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1000), (None, 3), (700, 600)], "a long, b long")
     got = {r.node: r.component_id for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(201)}, 600: 600, 700: 600}
+
+
+def test_ids_near_the_end_of_the_range(spark):
+    """Sums of ids do not fit: nothing adds them."""
+    rows = sample_docs(spark)
+    big = lambda i: (1 << 62) + i if i % 2 else -(1 << 62) - i
+    sets = {big(d): shingles(t) for d, t, _ in rows}
+    up = roots(sets, near_pairs(sets))
+    from lipi.llm import exact_dedup as E, substring as U
+    docs = table(spark, [(big(d), t) for d, t, _ in rows])
+    got = {r.doc_id: r.component_id for r in S.near_groups(docs).collect()}
+    assert got == up
+    same = {}
+    for d, t, _ in rows:
+        same.setdefault(t or "", []).append(big(d))
+    assert {r.doc_id: r.keep_id for r in E.exact_groups(docs).collect()} == {d: max(v) for v in same.values() for d in v}
+    plain = {r.doc_id: r.n_removed for r in U.remove_repeats(docs).collect()}
+    order = sorted(sets)
+    small = table(spark, [(order.index(big(d)), t) for d, t, _ in rows])
+    assert plain == {order[r.doc_id]: r.n_removed for r in U.remove_repeats(small).collect()}

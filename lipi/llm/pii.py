@@ -11,19 +11,30 @@ and the same entity gets the same surrogate in every document. Streams ignore
 case, so mentions that differ in case stay mentions of one entity.
 
 Type rules. email: domain and local part are mapped separately (one domain
-stays one domain), the top-level domain stays. phone: the country code stays.
-card: the first digit stays, and the last digit keeps its distance from the
-Luhn digit (a valid number stays valid). ip: octets stay octets. secret: the
+stays one domain), the top-level domain stays. phone: the country code stays;
+an international number ends where seven digits are complete and a group with a
+leading zero starts the next one. card: the first digit stays, and the last
+digit keeps its distance from the Luhn digit (a valid number stays valid). ip:
+octets stay octets, IPv6 digits stay digits and letters letters. secret: the
 label and quotes stay, the whole value of any length is replaced; hexadecimal
-values stay hexadecimal. Key ids keep their
-prefix, IBANs their country. Names follow a title: the title (and so the
+values stay hexadecimal. Keys and access tokens of known forms keep their
+prefix. IBANs keep their country and, where they were valid, valid check digits.
+
+Names follow a title and have any number of words: the title (and so the
 gender) stays; a name of the built-in lists becomes another of the same
 gender and script, another name is shifted vowel to vowel and consonant to
-consonant in its own script with its last letter (a gender mark) kept, and any
+consonant in its own script with its last letter (a gender mark) kept, any
 other letter that has case moves inside its own script, range of 128 code points
-and case (letters without case stay; a name starts with one that has it); a
-shifted name that hits a list name is shifted again, so lists and shifts
-cannot collide.
+and case, and a letter without case inside the run of such letters it stands in
+(names of such scripts keep no last letter). A shifted name that hits a list
+name is shifted again, so lists and shifts cannot collide. Every word of a name
+with a title is replaced in the same document wherever it stands as a word, with
+a title or without, by the same surrogate: mentions of one person stay mentions
+of one person.
+
+The key is a parameter without a default: take it from a secret store. The
+registered query and the pipeline read it from the session
+(``spark.lipi.pii.key``); where that is unset, every application draws its own.
 
 ``collision_check`` compares all distinct entities with their surrogates and
 counts those that share one or did not change.
@@ -35,13 +46,22 @@ rewritten like any other; added columns replace input columns of their name.
 
 from __future__ import annotations
 
+import secrets
 import unicodedata
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "change-this-key"  # a parameter: take it from the user's secret store
+KEY_SETTING = "spark.lipi.pii.key"
+_DRAWN: dict = {}
+
+
+def session_key(spark) -> str:
+    """The session's key, or one drawn at random for this application."""
+    key = spark.conf.get(KEY_SETTING, None)
+    return key or _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
 
 # Names of the built-in lists, by script and gender.
 NAMES = {
@@ -51,7 +71,8 @@ NAMES = {
     "cyrillic_m": "Иван Пётр Сергей Алексей Дмитрий Николай Павел",
 }
 # Titles a name follows.
-TITLES = "Mr Mrs Ms Miss Herr Frau Monsieur Madame Mme Señor Señora Señorita Господин Госпожа"
+TITLES = ("Mr Mrs Ms Miss Mx Herr Frau Monsieur Madame Mme Mlle Señor Señora Señorita Sr Sra Господин Госпожа "
+          "Dr Doctor Doktor Docteur Doctora Prof Professor Professorin Professeur Profesor Profesora")
 
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 ALNUM = (DIGITS, LOWER, UPPER)
@@ -93,34 +114,57 @@ def _other_letters() -> list:
 
 OTHER_LETTERS = _other_letters()
 
+
+def _caseless_runs() -> list:
+    """(first code point, length) of the runs of letters without case, of two at least."""
+    runs: list = []
+    for cp in range(0xAA, 0x30000):
+        if unicodedata.category(chr(cp)) == "Lo":
+            if runs and sum(runs[-1]) == cp:
+                runs[-1][1] += 1
+            else:
+                runs.append([cp, 1])
+    return [r for r in runs if r[1] > 1]
+
+
+CASELESS = _caseless_runs()
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}_.+-])", r"(?![\p{L}\p{N}_])"
+_WORD = r"[\p{Lu}\p{Lt}\p{Lo}][\p{L}\p{M}'’-]*+"
+_TITLE = r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(TITLES.split(), key=len, reverse=True)) + r")\.? "
+_LABEL = (r"(?i:passwords?|passwd|passphrase|pwd|pw|pass|token|secret|api[_-]?key|access[_-]?key|private[_-]?key|"
+          r"(?:passport|id card|reisepass|pasaporte|passeport)(?: (?:no|nr|number|nummer)\b\.?)?)\s{0,3}[=:#]\s{0,3}[\x22']?")
+_H = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,6}[A-Za-z]{2,24}" + _AFTER,
-    "key_id": _BEFORE + r"AKIA[0-9A-Z]{16}" + _AFTER,
-    "secret": r"(?<![\p{L}\p{N}_])(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\x22']?"
-              r"(?=[A-Za-z_+/.=-]*+\d)[A-Za-z0-9_+/.=-]{5,}[A-Za-z0-9_+/=]",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}" + _AFTER,
+    "key_id": _BEFORE + r"(?:AKIA[0-9A-Z]{16}|(?:gh[oprsu]_|github_pat_|sk-|xox[abprs]-|AIza)[A-Za-z0-9_-]{16,}+"
+              r"|eyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++){1,2})" + _AFTER,
+    "bearer": r"(?<![\p{L}\p{N}_])(?i:bearer) {1,3}(?=[A-Za-z_+/.=~-]*+\d)[A-Za-z0-9._~+/=-]{8,}+",
+    "secret": r"(?<![\p{L}\p{N}_])" + _LABEL + r"(?:(?<=[=][\x22']?)|(?=[A-Za-z_+/.=-]*+\d))[A-Za-z0-9_+/.=-]{4,}[A-Za-z0-9_+/=]",
     "ip": _BEFORE + rf"{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?![\p{{L}}\p{{N}}_]|\.\d)",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}_:.])(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}}|(?:{_H}:){{2,7}}:)(?![\p{{L}}\p{{N}}_:])",
     "iban": _BEFORE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _AFTER,
-    "phone": r"(?<![\p{L}\p{N}_+-])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}" + _AFTER
-             + r"|(?<![\p{L}\p{N}_+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}" + _AFTER
-             + "|" + _BEFORE + r"\d{3}[ .-]\d{3}[ .-]\d{4}" + _AFTER,
     "ssn": _BEFORE + r"\d{3}-\d{2}-\d{4}" + _AFTER,
+    "phone": r"(?<![\p{L}\p{N}_+])\+\d{1,3}(?:[ .()-]{0,2}\d){6}(?:[ .()-]{0,2}\d{1,9}+)(?:[ .-](?!0\d\d)\d{2,4}+(?![.-]?\d)){0,3}" + _AFTER
+             + r"|(?<![\p{L}\p{N}_+-])\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,4}" + _AFTER
+             + "|" + _BEFORE + r"(?:\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4}[ /-]\d{3,8}(?:[ -](?!0)\d{2,4}){0,2}|\d{3}-\d{4})(?![\p{L}\p{N}_]|-\d)",
     "card": _BEFORE + r"\d(?:[ -]?\d){12,18}" + _AFTER,
-    "name": r"(?<![\p{L}\p{N}])(?:" + TITLES.replace(" ", "|") + r")\.? \p{Lu}[\p{L}'-]{1,40}(?: \p{Lu}[\p{L}'-]{1,40}){0,2}",
+    "name": _TITLE + _WORD + "(?: " + _WORD + ")*+",
 }
 ENTITY = "|".join(PATTERNS.values())
-#: every entity holds a digit, an at sign or a title: other texts are not searched
-HINT = r"[0-9@]|(?:" + TITLES.replace(" ", "|") + r")\.? \p{Lu}"
+#: every entity holds a digit, an at or equals sign or a title: other texts are not searched
+HINT = "[0-9@=]|" + _TITLE + r"[\p{Lu}\p{Lt}\p{Lo}]"
 
 
 def kind_of(e: Column) -> Column:
-    title = "^(?:" + TITLES.replace(" ", "|") + r")\.? "
-    return (F.when(e.rlike(r"^(?i:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]"), "secret")
-            .when(e.rlike("^[^ ]+@"), "email").when(e.rlike(title), "name").when(e.rlike("^AKIA[0-9A-Z]{16}$"), "key_id")
-            .when(e.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(e.rlike(r"^[A-Z]{2}\d{2}"), "iban")
-            .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(e.rlike(r"^[+(]|^\d{3}[ .-]\d{3}[ .-]\d{4}$"), "phone")
-            .otherwise("card"))
+    return (F.when(e.rlike("^" + _LABEL), "secret").when(e.rlike("^(?i:bearer) "), "bearer")
+            .when(e.rlike("^[^ ]+@"), "email").when(e.rlike("^" + _TITLE), "name")
+            .when(e.rlike("^(?:AKIA[0-9A-Z]{16}|gh[oprsu]_|github_pat_|sk-|xox|AIza|eyJ)"), "key_id")
+            .when(e.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(e.rlike("^[0-9A-Fa-f]{0,4}:"), "ipv6")
+            .when(e.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]"), "iban").when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
+            .when(e.rlike(r"^[+(0]|^\d{3}[ .-]\d{3}[ .-]\d{4}$|^\d{3}-\d{4}$") & ~e.rlike(r"^0(?:[ -]?\d){12,18}$"), "phone")
+            .when(e.rlike(r"^\d"), "card").otherwise("mention"))
 
 
 def let(value: Column, use) -> Column:
@@ -147,7 +191,20 @@ def _shift_other(c: Column, n: Column) -> Column:
         sizes += [str(len(a))] * len(a)
     at = F.position(c, every)
     start, size = (F.get(F.split(F.lit(" ".join(x)), " "), at - 1).cast("int") for x in (starts, sizes))
-    return F.when(at > 0, F.substr(every, start + F.pmod(at - start + n % (size - 1), size) + 1, F.lit(1))).otherwise(c)
+    return (F.when(at > 0, F.substr(every, start + F.pmod(at - start + n % (size - 1), size) + 1, F.lit(1)))
+            .otherwise(_shift_caseless(c, n)))
+
+
+def _shift_caseless(c: Column, n: Column) -> Column:
+    """A letter without case moved on inside its run."""
+    firsts, sizes = (F.split(F.lit(" ".join(str(r[i]) for r in CASELESS)), " ") for i in (0, 1))
+
+    def moved(x):
+        run = F.size(F.filter(firsts, lambda f: f.cast("int") <= x["cp"])) - 1
+        first, size = F.get(firsts, run).cast("int"), F.get(sizes, run).cast("int")
+        to = first + F.pmod(x["cp"] - first + 1 + x["n"] % (size - 1), size)
+        return F.when((run >= 0) & (x["cp"] < first + size), F.decode(F.unhex(F.lpad(F.hex(to), 8, "0")), "UTF-32")).otherwise(x["c"])
+    return F.when(c.rlike(r"^\p{Lo}$"), let(F.struct(F.ascii(c).alias("cp"), n.alias("n"), c.alias("c")), moved)).otherwise(c)
 
 
 def shift(text: Column, stream: Column, alphabets) -> Column:
@@ -223,8 +280,25 @@ def _card(e, key):
         new, F.pmod(_luhn(only(new)) + last - _luhn(only(body)), F.lit(10)).cast("string")))
 
 
+_VALUES = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _iban(e, key):
+    """Country kept, the account permuted; the check digits keep their distance
+    from the right ones, so a valid number stays valid."""
+    def right(account):
+        digits = F.split(F.concat(F.regexp_replace(account, " ", ""), F.substr(e, F.lit(1), F.lit(2)), F.lit("00")), "")
+        left = F.aggregate(F.transform(digits, lambda c: F.position(c, F.lit(_VALUES)) - 1), F.lit(0),
+                           lambda s, v: F.pmod(s * F.when(v > 9, 100).otherwise(10) + v, F.lit(97)))
+        return F.lit(98) - left
+    account = F.substr(e, F.lit(5), F.length(e))
+    country, check = F.substr(e, F.lit(1), F.lit(2)), F.substr(e, F.lit(3), F.lit(2)).cast("int")
+    return let(permute(account, F.concat(F.lit("iban:"), country), key), lambda new: F.concat(
+        country, F.lpad(F.pmod(right(new) + check - right(account), F.lit(100)).cast("string"), 2, "0"), new))
+
+
 def _secret(e, key):
-    label = F.regexp_extract(e, r"^[^=:]+[=:]\s{0,3}[\x22']?", 0)
+    label = F.regexp_extract(e, "^" + _LABEL, 0)
     value = F.substr(e, F.length(label) + 1, F.length(e))
     return F.concat(label, F.when(value.rlike("^[0-9a-f]+$"), permute(value, F.lit("hex:"), key, (HEX,)))
                     .otherwise(permute(value, F.lit("secret:"), key)))
@@ -235,8 +309,9 @@ def _name_word(w, key):
     every = [n for v in lists.values() for n in v]
 
     def walk(x):
-        return F.concat(permute(F.substr(x, F.lit(1), F.length(x) - 1), F.concat(F.lit("name:"), F.right(x, F.lit(1))),
-                                key, PARTS_OF_NAME), F.right(x, F.lit(1)))
+        kept = F.when(x.rlike(r"\p{Lo}$"), F.lit("")).otherwise(F.right(x, F.lit(1)))
+        return let(kept, lambda end: F.concat(permute(F.substr(x, F.lit(1), F.length(x) - F.length(end)),
+                                                      F.concat(F.lit("name:"), end), key, PARTS_OF_NAME), end))
     out = None
     for k, v in lists.items():
         turn = F.lit(1) + _digit(_stream(key, F.lit("list:"), F.lit(k)), F.lit(0)) % F.lit(len(v) - 1)
@@ -248,33 +323,52 @@ def _name_word(w, key):
 
 
 def _name(e, key):
-    title = F.substring_index(e, " ", 1)
-    words = F.split(F.substr(e, F.length(title) + 2, F.length(e)), " ")
-    return F.concat(title, F.lit(" "), F.array_join(F.transform(words, lambda w: _name_word(w, key)), " "))
+    """A name with or without its title."""
+    title = F.regexp_extract(e, "^(?:" + _TITLE + ")?", 0)
+    words = F.split(F.substr(e, F.length(title) + 1, F.length(e)), " ")
+    return F.concat(title, F.array_join(F.transform(words, lambda w: _name_word(w, key)), " "))
 
 
-def surrogate(e: Column, key: str = KEY) -> Column:
+def surrogate(e: Column, key: str) -> Column:
     """The keyed replacement of one detected entity."""
     def by_kind(kind):
+        prefix = F.regexp_extract(e, "^(?:AKIA|gh[oprsu]_|github_pat_|sk-|xox[abprs]-|AIza|eyJ)", 0)
         return (F.when(kind == "email", _email(e, key)).when(kind == "secret", _secret(e, key))
-                .when(kind == "ip", _ip(e, key)).when(kind == "card", _card(e, key)).when(kind == "name", _name(e, key))
-                .when(kind == "key_id", _kept_prefix(e, F.substr(e, F.lit(1), F.lit(4)), key, "key_id"))
-                .when(kind == "iban", _kept_prefix(e, F.substr(e, F.lit(1), F.lit(2)), key, "iban"))
+                .when(kind == "ip", _ip(e, key)).when(kind == "card", _card(e, key)).when(kind.isin("name", "mention"), _name(e, key))
+                .when(kind == "iban", _iban(e, key))
+                .when(kind == "key_id", _kept_prefix(e, prefix, key, "key_id"))
+                .when(kind == "bearer", _kept_prefix(e, F.regexp_extract(e, "^[A-Za-z]+ +", 0), key, "bearer"))
+                .when(kind == "ipv6", permute(e, F.lit("ipv6:"), key, (DIGITS, "abcdef", "ABCDEF")))
                 .when(kind == "phone", _kept_prefix(e, F.regexp_extract(e, r"^(\+\d{1,3}(?=[ .(-]))?", 0), key, "phone"))
                 .otherwise(permute(e, F.lit("ssn:"), key)))
     return let(kind_of(e), by_kind)
 
 
-def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def mentions(entities: Column) -> Column:
+    """Pattern of the words of all names with a title, the longest first; null
+    without any. Shorter words than two letters stand for nobody."""
+    words = F.flatten(F.transform(F.filter(entities, lambda e: e.rlike("^" + _TITLE)), lambda e: F.filter(
+        F.split(F.regexp_replace(e, "^" + _TITLE, ""), " "), lambda w: F.length(w) > 1)))
+    order = F.array_sort(F.transform(F.array_distinct(words), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    every = F.transform(order, lambda x: F.concat(F.lit(r"\Q"), x["w"], F.lit(r"\E")))
+    return F.when(F.size(every) > 0, F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(every, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])")))
+
+
+def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with the text rewritten, plus entities and surrogates (arrays in
-    text order)."""
+    text order). Texts with names are searched again for their words."""
+    if not key:
+        raise ValueError("a key is needed")
     keep = [c for c in docs.columns if c not in ("entities", "surrogates")]
     t = F.col("t")
     found = (docs.select(F.struct(*[F.col(c) for c in keep]).alias("r"), F.col(text_col).alias("t"))
              .withColumn("e", F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0))))
+             .withColumn("m", mentions(F.col("e")))
+             .withColumn("p", F.when(F.col("m").isNotNull(), F.concat(F.lit(ENTITY + "|"), F.col("m"))))
+             .withColumn("e", F.when(F.col("p").isNotNull(), F.regexp_extract_all(t, F.col("p"), F.lit(0))).otherwise(F.col("e")))
              .withColumn("hit", F.coalesce(F.size("e") > 0, F.lit(False))))
     made = found.withColumn("s", F.when(F.col("hit"), F.transform("e", lambda e: surrogate(e, key))))
-    parts = F.split(t, ENTITY, -1)
+    parts = F.when(F.col("p").isNotNull(), F.split(t, F.col("p"), -1)).otherwise(F.split(t, ENTITY, -1))
     joined = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get("s", i), F.lit("")))), "")
     empty = F.array().cast("array<string>")
     return made.select(*[F.when(F.col("hit"), joined).otherwise(t).alias(c) if c == text_col

@@ -92,7 +92,7 @@ def op6_separator_scan(spark, sf_dir):
 def op10_pii_surrogates(spark, sf_dir):
     """Rewritten texts, with what was found and whether any of a document's
     surrogates fails the global collision check."""
-    found = staged(pii.replace_entities(read(spark, sf_dir, "documents").select("doc_id", "text")), "surrogates")
+    found = staged(pii.replace_entities(read(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark)), "surrogates")
     wrong = pii.collision_check(found).select(F.col("surrogate").alias("s"))
     hit = (found.where(F.size("entities") > 0)
            .select("doc_id", F.explode(F.transform("surrogates", lambda s: F.lower(s))).alias("s"))
@@ -110,8 +110,8 @@ def op2_nn_descent(spark, sf_dir):
 
 @query()
 def op8_sentencepiece(spark, sf_dir):
-    ids = sentencepiece_hf.encode(read(spark, sf_dir, "documents"), with_text=True)
-    return sentencepiece_hf.decode(ids).select(
+    ids = sentencepiece_hf.encode(read(spark, sf_dir, "documents"), with_text=True, with_decoded=True)
+    return ids.select(
         "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), sha256_text(F.col("decoded")).alias("decoded_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), "parity")
 

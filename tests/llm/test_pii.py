@@ -8,8 +8,11 @@ from lipi.llm import pii
 from .helpers import sample_docs, table
 
 
-def rewrite(spark, texts, key=pii.KEY):
-    out = pii.replace_entities(table(spark, list(enumerate(texts))), key=key).orderBy("doc_id").collect()
+KEY = "a key of the tests"
+
+
+def rewrite(spark, texts, key=KEY):
+    out = pii.replace_entities(table(spark, list(enumerate(texts))), key).orderBy("doc_id").collect()
     return [(r.text, r.entities, r.surrogates) for r in out]
 
 
@@ -57,9 +60,9 @@ def test_clean_and_awkward_rows(spark):
     for i in (0, 1, 2, 3, 4, 5, 7):
         assert got[i] == (texts[i], [], [])
     assert len(got[6][1]) == 3000 and len(set(got[6][2])) == 1 and len(got[6][0]) == len(texts[6])
-    kept = pii.replace_entities(table(spark, [(None, "a1@b2.org"), (None, "a1@b2.org"), (1, "x")]))
+    kept = pii.replace_entities(table(spark, [(None, "a1@b2.org"), (None, "a1@b2.org"), (1, "x")]), KEY)
     assert kept.count() == 3 and kept.columns.count("entities") == 1
-    assert pii.replace_entities(table(spark, [])).collect() == []
+    assert pii.replace_entities(table(spark, []), KEY).collect() == []
 
 
 def test_distinct_entities_stay_distinct(spark):
@@ -70,7 +73,7 @@ def test_distinct_entities_stay_distinct(spark):
     assert len({r.y for r in got}) == len(a) and {r.y for r in got} == set(a) and all(r.x != r.y for r in got)
     ips = [(f"1.2.{i}.{j}",) for i in range(0, 256, 5) for j in range(256)]
     df = spark.createDataFrame(ips, "x string")
-    got = df.select("x", pii.surrogate(F.col("x")).alias("y")).collect()
+    got = df.select("x", pii.surrogate(F.col("x"), KEY).alias("y")).collect()
     assert len({r.y for r in got}) == len(ips) and all(r.x != r.y for r in got)
 
 
@@ -78,7 +81,7 @@ def test_key_matters_and_collision_check(spark):
     one, two = (rewrite(spark, ["a1@b2.org 42.144.35.254"], key)[0][0] for key in ("k1", "k2"))
     assert one != two == rewrite(spark, ["a1@b2.org 42.144.35.254"], "k2")[0][0]
     docs = table(spark, sample_docs(spark, sf="/root/testdata/sf0.01", n=1000))
-    found = pii.replace_entities(docs)
+    found = pii.replace_entities(docs, KEY)
     assert pii.entity_table(found).count() > 20 and pii.collision_check(found).count() == 0
     bad = spark.createDataFrame([(["a@b.cc", "c@d.ee"], ["x@y.zz", "X@y.zz"])], "entities array<string>, surrogates array<string>")
     assert [r.n_entities for r in pii.collision_check(bad).collect()] == [2]
@@ -90,7 +93,7 @@ def test_detection_against_plain_regex(spark):
     simple = re.compile(r"[\w.]+@[\w.]+\.com|AKIA\w{16}|password=\w+|token = \"\w+|\+1 \(\d{3}\) 555-\d{4}"
                         r"|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\d)|(?<!\w)\d{16}(?!\w)")
     want = {d: simple.findall(t) for d, t, _ in rows}
-    got = {r.doc_id: r for r in pii.replace_entities(table(spark, rows)).collect()}
+    got = {r.doc_id: r for r in pii.replace_entities(table(spark, rows), KEY).collect()}
     for d, t, _ in rows:
         assert got[d].entities == want[d]
         assert got[d].text == t or want[d]
@@ -121,7 +124,7 @@ def test_names_of_any_script(spark):
     ).where(F.col("c").rlike(r"^\p{Lu}$"))
     starts = [r.c for r in upper.collect()]
     assert len(starts) > 1500
-    texts = [f"Mr {c}{c.lower() if len(c.lower()) == 1 else 'a'}o" for c in starts]
+    texts = [f"Herr {c}{c.lower() if len(c.lower()) == 1 else 'a'}o" for c in starts]
     texts += ["Mr Νίκος Παπαδόπουλος", "Mr Արամ Խաչատրյան", "Frau Łucja Świętosławska", "Mr Ğökşin Øystein", "Mr Žižka Čapek"]
     got = rewrite(spark, texts)
     for text, (new, entities, surrogates) in zip(texts, got):
@@ -134,6 +137,135 @@ def test_names_of_any_script(spark):
 
 
 def test_plan_has_no_python(spark, capsys):
-    pii.replace_entities(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).explain("formatted")
+    pii.replace_entities(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), KEY).explain("formatted")
     plan = capsys.readouterr().out
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_what_stays_of_nothing(spark):
+    """Second numbers, long names, many host labels, other titles and scripts, local numbers, tokens."""
+    got = rewrite(spark, [
+        "Call +49 170 1234567 0170 7654321 now", "Mr Juan Carlos Garcia Lopez Ruiz left",
+        "to a.b@x1.x2.x3.x4.x5.x6.x7.x8.example.org!", "Dr. Anna Schmidt, Prof. Hahn", "Mr 王伟 and Mrs שרה כהן",
+        "0171/1234567 or 555-0199", "2001:db8:0:1:ff00:42:8329:1 fe80::1ff:fe23:4567:890a", "passport no: X1234567Z",
+        "Bearer abc.def-123456", "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "pw=hunter", "+33 1 42 68 53 00, +1 555 012 3456",
+        "password: none of it", "12-3456 and 1234-5678 and 10:30:45"])
+    clear = [["170 1234567", "0170", "7654321"], "Juan Carlos Garcia Lopez Ruiz".split(), ["x1", "x8", "example"],
+             ["Anna", "Schmidt", "Hahn"], ["王", "伟", "שרה", "כהן"], ["1234567", "0199"], ["8329", "fe23"], ["X1234567Z"],
+             ["abc", "123456"], ["16C7e42F"], ["hunter"], ["42 68", "00,", "3456"]]
+    for (new, entities, _), words in zip(got, clear):
+        assert not [w for w in words if w in new], (new, words)
+    assert got[0][1] == ["+49 170 1234567", "0170 7654321"] and re.fullmatch(r"Call \+49 \d{3} \d{7} \d{4} \d{7} now", got[0][0])
+    assert len(got[1][0].split()) == 7 and got[1][0].startswith("Mr ") and got[1][0].endswith(" left")
+    assert got[2][0].endswith(".org!") and got[2][0].count(".") == 10
+    assert re.fullmatch(r"Dr\. \p{L}+ \p{L}+, Prof\. \p{L}+".replace(r"\p{L}", "[^\\W\\d_]"), got[3][0])
+    assert all(0x4E00 <= ord(c) <= 0x9FFF for c in got[4][0].split()[1]) and all(0x5D0 <= ord(c) <= 0x5EA for c in got[4][0].split()[4])
+    assert re.fullmatch(r"[0-9a-f:]+ [a-f0-9:]+", got[6][0]) and got[6][0].count(":") == 12
+    assert got[9][0].startswith("ghp_") and got[8][0].startswith("Bearer ") and got[10][0].startswith("pw=")
+    assert [len(x[1]) for x in got[11:]] == [2, 0, 0]
+
+
+def test_mentions_of_a_person(spark):
+    text = "Mr John Smith met Anna. Smith said: John SMITH's brother, Smith-Jones? Ask Mrs Smith."
+    (new, entities, surrogates), = rewrite(spark, [text])
+    pairs = dict(zip(entities, surrogates))
+    first, last = pairs["Mr John Smith"].split()[1:]
+    assert pairs["Smith"] == last and pairs["John"] == first and pairs["Mrs Smith"] == f"Mrs {last}"
+    assert new == f"Mr {first} {last} met Anna. {last} said: {first} SMITH's brother, {last}-Jones? Ask Mrs {last}."
+    other, = rewrite(spark, ["Smith and John of another text"])
+    assert other == ("Smith and John of another text", [], [])
+
+
+def iban_valid(x):
+    x = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def test_iban_check_digits(spark):
+    good = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606"]
+    assert all(map(iban_valid, good))
+    got = rewrite(spark, [*good, "DE88 3704 0044 0532 0130 00"])
+    for (new, entities, _), old in zip(got, good):
+        assert entities == [old] and iban_valid(new) and shape(new) == shape(old) and new[:2] == old[:2] and new[4:] != old[4:]
+    assert not iban_valid(got[3][0])
+
+
+def test_a_key_is_needed(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        pii.replace_entities(table(spark, []), "")
+    assert pii.session_key(spark) == pii.session_key(spark) and len(pii.session_key(spark)) == 64
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    try:
+        assert pii.session_key(spark) == "mine"
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+def plain_permute(text, tweak, key, alphabets=pii.ALNUM):
+    """The bijection restated: two rounds of shifts by SHA-256 streams."""
+    import hashlib
+
+    def moved(half, seed):
+        s = hashlib.sha256(f"{key}\x00{tweak}\x00{seed.lower()}".encode()).hexdigest()
+        out = ""
+        for i, c in enumerate(half):
+            n = int(s[i * 4 % 60:i * 4 % 60 + 4], 16)
+            own = next((a for a in alphabets if c in a), None)
+            out += own[(own.index(c) + 1 + n % (len(own) - 1)) % len(own)] if own else c
+        return out
+    left, right = text[:len(text) // 2], text[len(text) // 2:]
+    left = moved(left, right)
+    return left + moved(right, left)
+
+
+def plain_surrogate(kind, e, key):
+    if kind == "email":
+        local, host = e.split("@")
+        name, tld = host.rsplit(".", 1)
+        return plain_permute(local, f"local:{host.lower()}", key) + "@" + plain_permute(name, f"host:{tld.lower()}", key) + "." + tld
+    if kind == "key":
+        return e[:4] + plain_permute(e[4:], f"key_id:{e[:4].lower()}", key)
+    if kind == "secret":
+        label = re.match(r"[^=:]+[=:]\s*[\"']?", e).group()
+        value = e[len(label):]
+        return label + (plain_permute(value, "hex:", key, (pii.HEX,)) if re.fullmatch("[0-9a-f]+", value) else plain_permute(value, "secret:", key))
+    if kind == "phone":
+        prefix = re.match(r"(\+\d{1,3}(?=[ .(-]))?", e).group()
+        return prefix + plain_permute(e[len(prefix):], f"phone:{prefix}", key)
+    if kind == "card":
+        body = e[0] + plain_permute(e[1:-1], f"card:{e[0]}", key)
+        def digit(x):
+            return next(d for d in range(10) if luhn(re.sub("[^0-9]", "", x) + str(d)))
+        return body + str((digit(body) + int(e[-1]) - digit(e[:-1])) % 10)
+    octets, out = [int(o) for o in e.split(".")], []
+    import hashlib
+    right = f"{octets[2]}.{octets[3]}"
+    for half in (octets[:2], octets[2:]):
+        s = hashlib.sha256(f"{key}\x00ip:\x00{right}".encode()).hexdigest()
+        out += [(o + 1 + int(s[4 * i:4 * i + 4], 16) % 255) % 256 for i, o in enumerate(half)]
+        right = f"{out[0]}.{out[1]}"
+    return ".".join(map(str, out))
+
+
+def test_surrogates_against_a_restatement(spark):
+    """All documents with entities of the given tables, their counts and collisions included."""
+    from lipi.llm.queries import QUERIES
+    kinds = {"email": r"[\w.]+@[\w.]+\.com", "key": r"AKIA\w{16}", "secret": r"password=\w+|token = \"\w+", "phone": r"\+1 \(\d{3}\) 555-\d{4}",
+             "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\d)", "card": r"(?<!\w)\d{16}(?!\w)"}
+    every = re.compile("|".join(f"(?P<{k}>{v})" for k, v in kinds.items()))
+    sf = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    spark.conf.set(pii.KEY_SETTING, KEY)
+    try:
+        got = {r.doc_id: r for r in QUERIES["op10_pii_surrogates"](spark, sf).collect()}
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    seen = {}
+    for d, text in rows.items():
+        new = every.sub(lambda m: plain_surrogate(m.lastgroup, m.group(), KEY), text or "")
+        found = [plain_surrogate(m.lastgroup, m.group(), KEY) for m in every.finditer(text or "")]
+        for m in every.finditer(text or ""):
+            seen.setdefault(plain_surrogate(m.lastgroup, m.group(), KEY).lower(), set()).add(m.group().lower())
+        assert (got[d].text or "") == new and got[d].n_entities == len(found) and got[d].n_distinct == len(set(found))
+    assert len(seen) > 50 and all(len(v) == 1 for v in seen.values()) and all(r.n_collisions == 0 for r in got.values())

@@ -5,12 +5,12 @@ from lipi.llm import langid as L, pii
 from lipi.llm.tokens import tokenizer_path
 
 from .helpers import near_pairs, roots, sample_docs, shingles, table
+from .test_langid import restated
 
 
 def brute(spark, docs, rows):
     model = L.learn(docs.where(~L.held_out()))
-    made = L._compressors("pipe", tuple(sorted(model.items())))
-    kept = [(d, t) for d, t, *_ in rows if t and any(c.isalpha() for c in t) and L.choose(t, made)[1] >= L.MIN_MARGIN]
+    kept = [(d, t) for d, t, *_ in rows if t and any(c.isalpha() for c in t) and restated(model, t)[2]]
     last = {}
     for d, t in kept:
         last[t] = max(last.get(t, -1), d)
@@ -18,7 +18,7 @@ def brute(spark, docs, rows):
     sets = {d: shingles(t) for d, t in kept}
     up = roots(sets, near_pairs(sets))
     kept = [(d, t) for d, t in kept if up[d] == d]
-    new = pii.replace_entities(table(spark, kept)).collect()
+    new = pii.replace_entities(table(spark, kept), pii.session_key(spark)).collect()
     tok = Tokenizer.from_file(tokenizer_path())
     return {r.doc_id: len(tok.encode(r.text, add_special_tokens=False).ids) + 1 for r in new}
 

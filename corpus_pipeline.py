@@ -35,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not found, or only by a narrow margin, go."""
     model = langid.learn(docs.where(~langid.held_out()))
     seen = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("r"), F.col("text").alias("text"))
-    return _columns(langid.predict(seen, model).where(langid.accepted()), docs)
+    return _columns(langid.predict(seen, model).where("accepted"), docs)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by surrogates in every text."""
-    return pii.replace_entities(docs).select(*docs.columns)
+    return pii.replace_entities(docs, pii.session_key(spark)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, shuffled, staged
+from .common import apart, parts, shuffled, staged
 
 P = (1 << 31) - 1
 BASES = (1000003, 48271 * 7919 % P, 16777619, 69621 * 104729 % P)
@@ -187,7 +187,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nid = F.coalesce("doc_id", F.lit(-(1 << 63)))
     rows = (fps.select(*key, nid.alias("doc_id"), "xx").distinct())
     many = rows.groupBy(*key).agg(F.count("*").alias("cnt")).where("cnt > 1")
-    members = staged(rows.join(shuffled(many), key), "candidates")
+    members = staged(rows.join(apart(many), key), "candidates")
     most = members.agg(F.max("cnt")).first()[0]
     if most is None:
         return fps.select("doc_id", F.col("doc_id").alias("keep_id"),
@@ -217,13 +217,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         level, level_no = seen.where("_bytes is not null"), level_no + 1
     flat = (fps.withColumn("nid", nid).join(
-        shuffled(roots.select(F.col("doc_id").alias("nid"), "xx", "lead_id", "lead_xx").distinct()), ["nid", "xx"], "left")
+        apart(roots.select(F.col("doc_id").alias("nid"), "xx", "lead_id", "lead_xx").distinct()), ["nid", "xx"], "left")
         .select("doc_id", "text_sha256", F.coalesce("lead_id", "nid").alias("lead_id"),
                 F.coalesce("lead_xx", "xx").alias("lead_xx"),
                 *key))
     group = flat.groupBy("lead_id", "lead_xx", *key).agg(F.max("doc_id").alias("keep_id"),
                                                          F.count("*").alias("group_size"))
-    return flat.join(shuffled(group), ["lead_id", "lead_xx", *key]).select(
+    return flat.join(apart(group), ["lead_id", "lead_xx", *key]).select(
         "doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, parts, shuffled, staged
+from .common import apart, discard, parts, shuffled, staged
 from .components import components
 
 THRESHOLD = 0.95
@@ -293,16 +293,16 @@ class Descent:
         g = self.graph
         state = (g.groupBy("src").agg(F.count("*").alias("k"), F.min("sim").alias("low"))
                  .select(F.col("src").alias("node"), F.when(F.col("k") < K, F.lit(-1.0)).otherwise(F.col("low")).alias("bar")))
-        node = (self.nodes.select("node", "bin").join(shuffled(state), "node")
+        node = (self.nodes.select("node", "bin").join(apart(state), "node")
                 .join(shuffled(self.comp), "node", "left")
                 .select("node", "bin", "bar", F.coalesce("component_id", "node").alias("comp")))
         back = g.groupBy(F.col("dst").alias("mid")).agg(F.ceil(F.count("*") / REVERSE).alias("salts"))
         hub = F.coalesce("salts", F.lit(1).cast("long"))
         fwd = (g.select(F.col("src").alias("mid"), F.col("dst").alias("node"))
                .union(g.select(F.col("src").alias("mid"), F.col("src").alias("node")).distinct())
-               .join(shuffled(back), "mid", "left")
+               .join(apart(back), "mid", "left")
                .select("mid", F.explode(F.sequence(F.lit(0).cast("long"), hub - 1)).alias("salt"), "node"))
-        rev = (g.select(F.col("dst").alias("mid"), F.col("src").alias("node")).join(shuffled(back), "mid")
+        rev = (g.select(F.col("dst").alias("mid"), F.col("src").alias("node")).join(apart(back), "mid")
                .select("mid", F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"), "node"))
         groups = (fwd.union(rev).join(shuffled(node), "node")
                   .repartition(self.parts, "mid", "salt").sortWithinPartitions("mid", "salt"))
@@ -314,16 +314,16 @@ class Descent:
         component_id."""
         full = (self.graph.where(F.col("sim") >= self.threshold).groupBy(F.col("src").alias("node"))
                 .agg(F.count("*").alias("k")).where(F.col("k") >= K).select("node"))
-        dense = self.comp.join(shuffled(full), "node", "left_semi").select("component_id").distinct()
-        member = self.comp.join(shuffled(dense), "component_id", "left_semi")
+        dense = self.comp.join(apart(full), "node", "left_semi").select("component_id").distinct()
+        member = self.comp.join(apart(dense), "component_id", "left_semi")
         size = member.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).alias("nb"))
-        row = member.join(shuffled(size), "component_id").join(shuffled(self.nodes), "node")
+        row = member.join(apart(size), "component_id").join(shuffled(self.nodes), "node")
         crowd = (self._block_pairs(row.withColumnRenamed("component_id", "comp"))
                  .mapInArrow(_count_blocks(self.width, self.threshold), _COUNTS)
                  .groupBy("node").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
         ends = (self.links.select(F.col("a").alias("node"), F.col("b").alias("o"))
                 .union(self.links.select(F.col("b").alias("node"), F.col("a").alias("o"))))
-        loose = (ends.join(shuffled(self.comp.join(shuffled(dense), "component_id", "left_anti").select("node")), "node", "left_semi")
+        loose = (ends.join(shuffled(self.comp.join(apart(dense), "component_id", "left_anti").select("node")), "node", "left_semi")
                  .join(shuffled(self.nodes.select(F.col("node").alias("o"), "weight")), "o")
                  .groupBy("node").agg(F.sum("weight").alias("n"), F.count("*").alias("m")))
         return self._per_node(crowd.union(loose))

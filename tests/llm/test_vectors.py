@@ -97,3 +97,9 @@ def test_target_that_the_rounds_miss(spark, monkeypatch):
     assert N.near_vectors.recall == 1.0
     assert run(spark, rows, target=1.01) == expected(rows)
     assert run(spark, []) == []
+
+
+def test_ids_near_the_end_of_the_range(spark):
+    rows = cloud(8, [1] * 30 + [3] * 5 + [20])
+    rows = [((1 << 62) + i if i % 2 else -(1 << 62) - i, v) for i, v in rows]
+    assert run(spark, rows) == expected(rows)

@@ -196,9 +196,7 @@ def _cut(batches):
 def _nearest(width, top):
     """Rows sorted by (curve, block, candidates first) -> the best candidates of
     every query of a block, those at least as good as its bar."""
-    kind = np.dtype("<f8" if width == 8 else "<f4")
-
-    def best(queries, size, ids, x):
+    def best(queries, ids, x):
         q = _matrix([r[2] for r in queries], width)
         s = q @ x.T
         slack = 1e-9 * np.abs(q).sum(axis=1) * np.abs(x).max() + 1e-300
@@ -220,7 +218,7 @@ def _nearest(width, top):
         def flush(size):
             got = waiting.pop(size, [])
             if got and size in held:
-                yield best(got, size, *held[size])
+                yield best(got, *held[size])
 
         for b in batches:
             for curve, block, ask, i, bar, blob in zip(*(b.column(k).to_pylist() for k in
@@ -245,7 +243,6 @@ def _nearest(width, top):
                     yield from flush(len(blob))
         for size in list(waiting):
             yield from flush(size)
-    assert kind.itemsize == width
     return run
 
 

@@ -17,7 +17,7 @@ from ..session import ensure_checkpoint_dir, first_n, keep_rows, read_table
 from ..sources import artefacts
 from ..sources import corpus as corpus_src
 from . import sqltext as S
-from .corpus_queries import ASCII, WIDE, corpus, corpus_lines, eval_lines, raw_sample
+from .corpus_queries import ASCII, WIDE, eval_lines, raw_sample
 from .model_queries import ORACLE_STEPS, merges_df, model_of, train_prefix, vocab_df
 from .registry import query
 

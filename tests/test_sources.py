@@ -2,7 +2,6 @@
 
 import bz2
 import os
-import shutil
 import tempfile
 
 import pytest

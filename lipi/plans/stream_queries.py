@@ -19,8 +19,7 @@ from .registry import query
 @query("stream_word_counts", f"WITH {S.corpus_clean_cte()}, {S.word_counts_cte()} SELECT word, cnt FROM wc")
 def stream_word_counts(spark, sf):
     """The table as a file stream; final state equals word_counts."""
-    docs = feed.file_stream(spark, sf, "documents.parquet",
-                            spread=spark.sparkContext.defaultParallelism)
+    docs = feed.table_stream(spark, f"{sf}/documents.parquet", spread=spark.sparkContext.defaultParallelism)
     final, _ = feed.stream_word_counts(spark, docs)
     return final
 
@@ -33,8 +32,10 @@ def _feed(spark, sf):
     """The documents as a feed of FEED_CHUNKS chunks, one micro-batch each."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lipi-feed-{uuid.uuid4().hex}"
     feed.write_feed(read_table(spark, sf, "documents"), path, F.pmod("doc_id", F.lit(FEED_CHUNKS)))
-    docs = feed.file_stream(spark, path, "*.parquet")
-    return feed.stream_word_counts(spark, docs, partitions=4)
+    # a chunk is one file: without dealing it out, one task would clean it
+    cores = spark.sparkContext.defaultParallelism
+    docs = feed.file_stream(spark, path, "*.parquet", spread=cores)
+    return feed.stream_word_counts(spark, docs, partitions=max(4, cores))
 
 
 @query("stream_running_counts", f"WITH {S.corpus_clean_cte()}, {S.word_counts_cte()} SELECT word, cnt FROM wc")
@@ -55,8 +56,7 @@ def stream_progress(spark, sf):
 
 @query("stream_encode", f"WITH {train_prefix()},\n{_enc('', 'conversations', CONV, 'text')}\n{_summary_sql(CONV)}")
 def stream_encode(spark, sf):
-    convs = feed.file_stream(spark, sf, "conversations.parquet",
-                             spread=spark.sparkContext.defaultParallelism)
+    convs = feed.table_stream(spark, f"{sf}/conversations.parquet", spread=spark.sparkContext.defaultParallelism)
     out = feed.stream_encode(spark, convs, model_of(spark, sf), CONV, "text")
     return out.select(*CONV, "ids_csv", "token_count", "compression_ratio")
 

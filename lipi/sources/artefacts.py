@@ -32,10 +32,17 @@ def _params_text(params: TrainParams) -> str:
     return json.dumps({"vocab_size": params.vocab_size, "min_frequency": params.min_frequency}, sort_keys=True)
 
 
+def _checked(spark: SparkSession, fs) -> bool:
+    kind = spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.ChecksumFileSystem")
+    return kind.isInstance(fs)
+
+
 def _point_to(spark: SparkSession, path: str, version: str) -> None:
-    """Swap the pointer: write it aside, rename over the old one."""
+    """Swap the pointer: write it aside, rename over the old one. It has no
+    checksum file, which could not be swapped in the same step."""
     fs, aside = _fs(spark, f"{path}/{POINTER}-{version}")
-    out = fs.create(aside, True)
+    plain = fs.getRawFileSystem() if _checked(spark, fs) else fs
+    out = plain.create(aside, True)
     out.write(bytearray(version.encode()))
     out.close()
     hadoop = spark._jvm.org.apache.hadoop.fs

@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, parts, shuffled, staged
+from .common import apart, batches_of, parts, shuffled, staged
 
 P = (1 << 31) - 1
 BASES = (1000003, 48271 * 7919 % P, 16777619, 69621 * 104729 % P)
 CHUNK = 1 << 16          # bytes hashed or compared at once
 HUGE = 1 << 23           # a text of more bytes is hashed by several tasks
+BATCH = 1 << 21          # bytes of texts passed to Python at once
 FAN = 512                # rows of one fingerprint streamed by one task
 
 
@@ -181,7 +182,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  huge: int = HUGE, fan: int = FAN) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per input row."""
     spark = docs.sparkSession
-    fps = staged(fingerprints(docs, id_col, text_col, huge), "fingerprints")
+    with batches_of(spark, BATCH):
+        fps = staged(fingerprints(docs, id_col, text_col, huge), "fingerprints")
     key = ["f1", "f2", "n_bytes"]
     # identical (id, text) rows compare once; null ids need a value to join on
     nid = F.coalesce("doc_id", F.lit(-(1 << 63)))
@@ -204,7 +206,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         dealt = (level.select(*key, "cnt", "doc_id", "xx", "_bytes",
                               F.pmod(F.xxhash64("doc_id", "xx", F.lit(level_no)), salts).alias("salt"))
                  .repartition(parts(spark), *key, "salt").sortWithinPartitions(*key, "salt"))
-        seen = staged(dealt.select(*key, "cnt", "doc_id", "xx", "_bytes").mapInArrow(_stream_compare, schema), "compared")
+        with batches_of(spark, BATCH):
+            seen = staged(dealt.select(*key, "cnt", "doc_id", "xx", "_bytes").mapInArrow(_stream_compare, schema), "compared")
         link = seen.select("doc_id", "xx", "lead_id", "lead_xx")
         if roots is None:
             roots = link

@@ -9,7 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lipi.llm import common, exact_dedup
+from lipi import session
+from lipi.llm import common, exact_dedup, langid
 from lipi.operators import bpe_train, counts
 from lipi.operators import encode as en
 from lipi.plans import encode_queries, stream_queries
@@ -139,3 +140,40 @@ def test_exact_dedup_passes_small_batches(spark, monkeypatch):
     texts = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 1000).alias("t"))
     with common.batches_of(spark, 50_000):
         assert max(r["n"] for r in texts.mapInArrow(rows, "n long").collect()) < 100
+
+
+@pytest.mark.parametrize("make", [
+    lambda spark, df: en.encode_ids(spark, df, MODEL),
+    lambda spark, df: en.encode(spark, df, MODEL),
+    lambda spark, df: en.decode(df.select("doc_id", F.array(F.lit(5)).alias("ids")), MODEL),
+    lambda spark, df: en.word_positions(df),
+    lambda spark, df: langid.predict(df, langid.Model()),
+], ids=["ids", "encode", "decode", "words", "langid"])
+def test_rows_pass_to_python_in_small_batches(spark, make):
+    """Batches are bounded in bytes, not by 10,000 rows; a smaller setting stays."""
+    df = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab cab "), 700).alias("text"))
+
+    def sizes():
+        run = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows], "bytes": [b.nbytes]}) for b in batches)
+        return df.mapInArrow(run, "n long, bytes long").collect()
+    before = spark.conf.get(session.BATCH_BYTES)
+    try:
+        spark.conf.unset(session.BATCH_BYTES)
+        make(spark, df)
+        got = sizes()
+        assert sum(r.n for r in got) == 3000 and max(r.bytes for r in got) <= 2 * session.SMALL_BATCH
+        spark.conf.set(session.BATCH_BYTES, "65536")
+        make(spark, df)
+        assert spark.conf.get(session.BATCH_BYTES) == "65536"
+    finally:
+        spark.conf.set(session.BATCH_BYTES, before)
+
+
+def test_generations_take_over_what_is_used():
+    """A part of the old generation comes back, others are asked for."""
+    from lipi.llm.tokens import Generations
+    g = Generations(3)
+    g.update({"a": 1, "b": 2})
+    assert sorted(g.missing({"a", "c"})) == ["c"] and g == {"a": 1} and g.old == {"a": 1, "b": 2}
+    g["c"] = 3
+    assert g.missing({"b"}) == [] and g == {"a": 1, "b": 2, "c": 3}

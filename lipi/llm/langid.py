@@ -38,6 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_batches
 from .common import parts
 
 UND = "und"
@@ -189,6 +190,7 @@ def choose(text: str, compressors, limits: dict) -> tuple:
 
 def _classifier(spark, model: Model):
     """Arrow function text -> (lang_pred, score, support, accepted)."""
+    small_batches(spark)
     frozen = model.frozen()
     shared = spark.sparkContext.broadcast(frozen)      # MODEL_BYTES and two dictionaries at most
     key = hashlib.sha256(repr(frozen).encode()).hexdigest()   # a worker keeps one model's compressors

@@ -87,19 +87,20 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, _PIECE + (", ids binary" if with_ids else ""))
 
 
-def first_fit(pdf, capacity):
+def first_fit(tail: pa.Table, capacity: int) -> pa.Table:
     """First-fit decreasing over the bounded tail."""
-    pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
+    tail = tail.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
     fill: list = []
     seq, off = [], []
-    for n in pdf["length"].tolist():
+    for n in tail["length"].to_pylist():
         i = next((i for i, f in enumerate(fill) if f + n <= capacity), len(fill))
         if i == len(fill):
             fill.append(0)
         seq.append(i)
         off.append(fill[i])
         fill[i] += n
-    return pdf.assign(sequence_id=np.array(seq, dtype="i8") + pdf["full"].to_numpy(), offset=np.array(off, dtype="i8"))
+    seq = np.array(seq, dtype="i8") + tail["full"].to_numpy()
+    return tail.append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off, pa.int64()))
 
 
 def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -131,6 +132,6 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     tail = placed.where(~whole).select(*out, "full", *extra)
     schema = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
               + (", ids binary" if with_ids else ""))
-    packed = (tail.groupBy("full").applyInPandas(
-        lambda pdf: first_fit(pdf, capacity)[out + ["sequence_id", "offset"] + extra], schema))
+    packed = (tail.groupBy("full").applyInArrow(
+        lambda rows: first_fit(rows, capacity).select(out + ["sequence_id", "offset"] + extra), schema))
     return single.union(several).union(packed)

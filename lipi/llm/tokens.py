@@ -37,6 +37,8 @@ def byte_alphabet() -> dict:
 
 _NEAR_SPACE = re.compile(r" \s|[^\S ] ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_TWO = re.compile(r"\s\s")     # every hit of _NEAR_SPACE holds one; far cheaper to look for
+_MARKS = ".,;:!?"
 
 
 def tokenizer_path(name: str = BYTE_BPE) -> str:
@@ -94,19 +96,27 @@ class WordTokenizer:
         """Every part gets its ids; returns the long ones, to be forgotten."""
         new, width, other = cache.missing(parts), self.width, []
         for p in new:
+            word = p.rstrip(_MARKS)
+            if self.plain and word.isascii() and word.isalpha():     # most parts
+                # the bare word may be known from another part
+                raw = cache.get(word) if len(word) < len(p) else None
+                if raw is None:
+                    raw = self._word(prefix + word)
+                cache[p] = raw + self._unit(p[len(word):]) if len(word) < len(p) else raw
+                continue
             m = _PLAIN.fullmatch(p) if self.plain else None
             if m is None:
                 other.append(p)
                 continue
             a, b, c, d, e = m.groups()
-            ids = self._word(prefix + a)
+            raw = self._word(prefix + a)
             if b:
-                ids = ids + self._unit(b)
+                raw += self._unit(b)
             if c:
-                ids = ids + self._unit(c) + self._word(d)
+                raw += self._unit(c) + self._word(d)
                 if e:
-                    ids = ids + self._unit(e)
-            cache[p] = array(self.code, ids).tobytes()
+                    raw += self._unit(e)
+            cache[p] = raw
         for i in range(0, len(other), 20000):
             part = other[i:i + 20000]
             got = self.tok.encode_batch_fast([prefix + p for p in part], add_special_tokens=False)
@@ -119,23 +129,25 @@ class WordTokenizer:
                 at = end
         return [p for p in new if len(p) > CACHE_CHARS]
 
-    def _word(self, word: str) -> list:
+    def _word(self, word: str) -> bytes:
         """Ids of one pre-token."""
-        if not word.isascii():
-            word = word.encode().decode("latin-1")
-            return [t.id for t in self.model.tokenize(word.translate(self.table))]
-        return [t.id for t in self.model.tokenize("\u0120" + word[1:] if word[0] == " " else word)]
-
-    def _unit(self, marks: str) -> list:
-        ids = self.units.get(marks)
-        if ids is None:
-            ids = [t.id for t in self.model.tokenize(marks.translate(self.table))]
+        if word.isascii():
+            word = "\u0120" + word[1:] if word[0] == " " else word
+        else:
+            word = word.encode().decode("latin-1").translate(self.table)
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _unit(self, marks: str) -> bytes:
+        raw = self.units.get(marks)
+        if raw is None:
+            raw = array(self.code, [t.id for t in self.model.tokenize(marks.translate(self.table))]).tobytes()
             if len(marks) <= 8:
-                self.units[marks] = ids
-        return ids
+                self.units[marks] = raw
+        return raw
 
     def encode(self, texts: list) -> list:
-        cut = [_CUT.split(t) if _NEAR_SPACE.search(t) else t.split(" ") for t in (t or "" for t in texts)]
+        cut = [_CUT.split(t) if _TWO.search(t) and _NEAR_SPACE.search(t) else t.split(" ")
+               for t in (t or "" for t in texts)]
         tails: set = set()
         tails.update(*cut)            # first parts too: they are words as well
         drop_first = self._learn(self.first, {c[0] for c in cut}, "")

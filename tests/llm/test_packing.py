@@ -71,6 +71,33 @@ def test_word_cache_equals_tokenizer(text):
     assert np.frombuffer(FAST.encode([text])[0], "<u4").tolist() == plain(text)
 
 
+def test_ordinary_texts_take_the_short_way(monkeypatch):
+    """Plain words and texts of single spaces need neither costly pattern."""
+    from lipi.llm import tokens as T
+
+    class Never:
+        def __getattr__(self, name):
+            raise AssertionError(name)
+    texts = ["One word, two words; three.", "word words. word!", "", "a", "tail. tail"]
+    want = [plain(t) for t in texts]
+    monkeypatch.setattr(T, "_NEAR_SPACE", Never())
+    monkeypatch.setattr(T, "_PLAIN", Never())
+    tok = T.WordTokenizer(tokenizer_path())
+    short = [[t for t in texts if t]]
+    got = tok.encode(short[0])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [w for t, w in zip(texts, want) if t]
+
+
+def test_first_fit_keeps_ids_of_any_size():
+    import pyarrow as pa
+    from lipi.llm.packing import first_fit
+    big = (1 << 62) + 1
+    tail = pa.table({"doc_id": pa.array([None, big, 5, big], pa.int64()), "start": [0, 0, 0, 9], "length": [3, 3, 7, 8],
+                     "full": [2, 2, 2, 2]})
+    got = first_fit(tail, 10).select(["doc_id", "start", "length", "sequence_id", "offset"]).to_pylist()
+    assert [tuple(r.values()) for r in got] == [(big, 9, 8, 2, 0), (5, 0, 7, 3, 0), (big, 0, 3, 3, 7), (None, 0, 3, 4, 0)]
+
+
 def test_separator_scan_counts_every_document(spark):
     rows = sample_docs(spark, n=40) + [(d if d is None else d + 10_000, t) for d, t in awkward()]
     tok = Tokenizer.from_file(tokenizer_path())

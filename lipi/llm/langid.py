@@ -34,7 +34,7 @@ from __future__ import annotations
 import hashlib
 import random
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,6 +188,9 @@ def choose(text: str, compressors, limits: dict) -> tuple:
     return compressors[order[0]][0], score, support, score >= least[0] and support >= least[1]
 
 
+_CHOICE = "lang_pred string, score double, support double, accepted boolean"
+
+
 def _classifier(spark, model: Model):
     """Arrow function text -> (lang_pred, score, support, accepted)."""
     small_batches(spark)
@@ -195,13 +198,16 @@ def _classifier(spark, model: Model):
     shared = spark.sparkContext.broadcast(frozen)      # MODEL_BYTES and two dictionaries at most
     key = hashlib.sha256(repr(frozen).encode()).hexdigest()   # a worker keeps one model's compressors
 
-    @F.pandas_udf("lang_pred string, score double, support double, accepted boolean")
-    def classify(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(_CHOICE)
+    def classify(texts: pa.Array) -> pa.Array:
         limits = dict(shared.value[2])
         none = (UND, 0.0, 0.0, False)
         made = _compressors(key, shared.value) if shared.value[0] else None
-        out = [none if t is None or made is None else choose(t, made, limits) for t in texts]
-        return pd.DataFrame(out, columns=["lang_pred", "score", "support", "accepted"])
+        out = [none if t is None or made is None else choose(t, made, limits) for t in texts.to_pylist()]
+        types = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
+        cols = zip(*out) if out else [()] * len(types)
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
+                                          names=["lang_pred", "score", "support", "accepted"])
     return classify
 
 

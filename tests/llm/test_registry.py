@@ -14,3 +14,13 @@ def test_nothing_else_imports_the_subpackage():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "llm" not in f.read_text(), f
+
+
+def test_the_entry_loads_no_pandas():
+    """The driver and every Python worker would hold it."""
+    import pathlib
+    import subprocess
+    import sys
+    root = pathlib.Path(__file__).parents[2]
+    code = "import sys, __spark_entry__; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0

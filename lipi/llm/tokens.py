@@ -22,9 +22,14 @@ YOUNG_WORDS = 600_000    # entries of a cache generation (two are kept: about 20
 
 # A part of plain words: letters, then marks, and the same again behind a line
 # end. Its pre-tokens are these groups (letters with the space before them),
-# so the model can be asked for each without the pipeline around it.
+# so the model can be asked for each without the pipeline around it. Marks are
+# ASCII's without the apostrophe, which begins contractions.
 _LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
-_PLAIN = re.compile(rf"({_LETTERS}+)([.,;:!?]*)(?:(\n)({_LETTERS}+)([.,;:!?]*))?")
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+_MARK = f"[{re.escape(_MARKS)}]"
+_PLAIN = re.compile(rf"({_LETTERS}+)({_MARK}*)(?:(\n)({_LETTERS}+)({_MARK}*))?")
+_NEVER_PLAIN = re.compile(rf"{_MARK}{_LETTERS}")     # in no plain part
+UNITS, UNIT_CHARS = 50_000, 8    # runs of marks kept, and their length
 
 
 def byte_alphabet() -> dict:
@@ -38,7 +43,6 @@ def byte_alphabet() -> dict:
 _NEAR_SPACE = re.compile(r" \s|[^\S ] ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _TWO = re.compile(r"\s\s")     # every hit of _NEAR_SPACE holds one; far cheaper to look for
-_MARKS = ".,;:!?"
 
 
 def tokenizer_path(name: str = BYTE_BPE) -> str:
@@ -60,14 +64,11 @@ class Generations(dict):
         if len(self) + len(keys) > self.young:
             self.old = dict(self)
             self.clear()
-        old, new = self.old, []
-        for k in keys:
-            if k not in self:
-                v = old.get(k)
-                if v is None:
-                    new.append(k)
-                else:
-                    self[k] = v
+        old, new = self.old, [k for k in keys if k not in self]
+        if old:
+            back = {k: v for k in new if (v := old.get(k)) is not None}
+            self.update(back)
+            new = [k for k in new if k not in back]
         return new
 
 
@@ -84,7 +85,8 @@ class WordTokenizer:
         shape = json.loads(self.tok.to_str())
         before = shape["pre_tokenizer"] or {}
         self.plain = (shape["normalizer"] is None and before.get("type") == "ByteLevel"
-                      and before.get("use_regex") and not before.get("add_prefix_space"))
+                      and before.get("use_regex") and not before.get("add_prefix_space")
+                      and all(_NEVER_PLAIN.search(t["content"]) for t in shape["added_tokens"]))
         self.table = {b: c for b, c in byte_alphabet().items() if chr(b) != c}
         self.code = "H" if self.width == "<u2" else "I"
         self.model = self.tok.model
@@ -95,16 +97,19 @@ class WordTokenizer:
     def _learn(self, cache: Generations, parts: set, prefix: str) -> list:
         """Every part gets its ids; returns the long ones, to be forgotten."""
         new, width, other = cache.missing(parts), self.width, []
+        plain, code, tokenize, get = self.plain, self.code, self.model.tokenize, cache.get
+        ascii_prefix = "\u0120" if prefix else ""
         for p in new:
             word = p.rstrip(_MARKS)
-            if self.plain and word.isascii() and word.isalpha():     # most parts
+            if plain and word.isascii() and word.isalpha():     # most parts
+                marks = p[len(word):]
                 # the bare word may be known from another part
-                raw = cache.get(word) if len(word) < len(p) else None
+                raw = get(word) if marks else None
                 if raw is None:
-                    raw = self._word(prefix + word)
-                cache[p] = raw + self._unit(p[len(word):]) if len(word) < len(p) else raw
+                    raw = array(code, [t.id for t in tokenize(ascii_prefix + word)]).tobytes()
+                cache[p] = raw + self._unit(marks) if marks else raw
                 continue
-            m = _PLAIN.fullmatch(p) if self.plain else None
+            m = _PLAIN.fullmatch(p) if plain else None
             if m is None:
                 other.append(p)
                 continue
@@ -141,7 +146,7 @@ class WordTokenizer:
         raw = self.units.get(marks)
         if raw is None:
             raw = array(self.code, [t.id for t in self.model.tokenize(marks.translate(self.table))]).tobytes()
-            if len(marks) <= 8:
+            if len(marks) <= UNIT_CHARS and len(self.units) < UNITS:
                 self.units[marks] = raw
         return raw
 

@@ -124,3 +124,21 @@ def test_separator_scan_of_odd_files(spark, tmp_path):
         for r in sorted(Q.count_documents(df, block_tokens=block).collect(), key=lambda r: r.place):
             got[r.file].append(r.n_tokens)
         assert dict(got) == {k: v for k, v in names.items() if v}
+
+
+def test_words_with_any_marks_are_asked_of_the_model_alone():
+    class NoPipeline:
+        def encode_batch_fast(self, texts, **_):
+            assert not texts, texts
+    text = "plain word&&& word### öl%%% (not) x_y a/b\nthese$$$\nlines*** end{}|~"
+    whole = [w for w in text.split(" ") if w not in ("(not)", "x_y", "a/b\nthese$$$\nlines***")]
+    w = WordTokenizer(tokenizer_path())
+    w.tok = NoPipeline()
+    assert [np.frombuffer(x, "<u4").tolist() for x in w.encode([" ".join(whole)])] == [plain(" ".join(whole))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "Be", "é", "ß", "'", "s", "&", "#", "<|endoftext|>", "<|", "_", "%$", ".", "\"", "`", "~", "7",
+                                 " ", "\n", "\t"]), max_size=30).map("".join))
+def test_marks_give_the_ids_of_the_whole_pipeline(text):
+    assert np.frombuffer(FAST.encode([text])[0], "<u4").tolist() == plain(text)

@@ -1,14 +1,19 @@
 """Rows of one group as one value: packs, and the queries that shuffle packs."""
 
 import datetime
+import os
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lipi.operators import encode as en
 from lipi.operators import packs
+from lipi.operators.encode import BpeModel
+
+ABC = BpeModel(("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]", "a", "b", "c", "ab", "bc", "abc"), (("b", "c"), ("a", "b"), ("a", "bc")))
 
 
 def shuffled(df):
@@ -111,3 +116,110 @@ def test_span_tables_are_shuffled_as_packs(spark):
     rows, written = shuffled(en.overlap_join(make("token_idx"), make("word_idx"), "doc_id"))
     assert sorted((r.doc_id, r.token_idx) for r in rows) == sorted((r.doc_id, r.word_idx) for r in rows) == [(d, i) for d in range(6) for i in range(3000)]
     assert 0 < written < 3 * 2 * len(spans)
+
+
+def word_ids(word):
+    _, tok2id, ranks = en._entry(ABC)[:3]
+    return [2] if word == "[CLS]" else [i for _, i in en.encode_word(word, tok2id, ranks)]
+
+
+def by_dictionary(rows):
+    """What encode_dictionary promises: the ids of all texts of a row's key, place by place."""
+    found = {}
+    for *key, text in rows:
+        pieces = en.re.findall(r"\[CLS\]|\w+|[^\w\s]+|\s+", text or "")
+        found.setdefault(tuple(key), []).extend((i, word_ids(p)) for i, p in enumerate(pieces) if not p.isspace())
+    return sorted(((*k, [] if None in k else [x for _, ids in sorted(found[tuple(k)]) for x in ids]) for *k, _ in rows), key=str)
+
+
+@pytest.mark.parametrize("share", [10_000, 3, 0], ids=["all hot", "some hot", "none hot"])
+@pytest.mark.parametrize("twice", [False, True], ids=["keys once", "keys repeat"])
+def test_dictionary_of_odd_tables(spark, monkeypatch, share, twice):
+    """Null and repeated keys, null, blank and wide texts, two columns of keys."""
+    monkeypatch.setattr(en, "HOT_SHARE", share)
+    rows = [(i, str(i % 3), f"abc w{i % 5} \t ab,{'c' * i}") for i in range(30)]
+    rows += [(50, "x", None), (51, "x", " \n "), (52, "", ""), (53, "é", "abcé [CLS]xab"), (None, "x", "ab"), (54, None, "abc"), (None, None, "c c")]
+    rows += [(None, "x", "b"), *([(3, "0", "b c ab"), (7, "1", None), (50, "x", "ab abc"), (4, "1", rows[4][2])] if twice else [])]
+    df = spark.createDataFrame(rows, "k int, t string, body string").repartition(3)
+    got = en.encode_dictionary(spark, df, ABC, ["k", "t"], "body")
+    assert got.columns == ["k", "t", "ids"]
+    assert sorted(((r.k, r.t, list(r.ids)) for r in got.collect()), key=str) == by_dictionary(rows)
+    assert en.encode_dictionary(spark, df.where("k < 0"), ABC, ["k", "t"], "body").collect() == []
+
+
+class Shared:
+    value = ABC
+
+
+class Task:
+    partitionId = staticmethod(lambda: 3)
+
+
+@pytest.mark.parametrize("share", [1, 7, 0])
+@pytest.mark.parametrize("size, words", [(1, 100), (40, 100), (1 << 20, 3), (1 << 20, 100)])
+def test_chunks_and_their_words(monkeypatch, share, size, words):
+    """The worker's functions themselves, with small chunks, slices and batches."""
+    monkeypatch.setattr(en.TaskContext, "get", classmethod(lambda cls: Task))
+    monkeypatch.setattr(en, "CHUNK_BYTES", size)
+    monkeypatch.setattr(en, "CHUNK_WORDS", words)
+    monkeypatch.setattr(en, "SLICE_CHARS", 16)
+    texts = [["ab", " ", "c", " ", "ab"], None, [], [" "], ["abc", ",", "ab"], ["c" * 70], ["ab", "c", "b"], ["x", " ", "ab"]]
+    table = pa.table({"k": pa.array(range(8), pa.int64()), "pieces": pa.array(texts, pa.list_(pa.string()))})
+    want = [[x for p in t or [] if p != " " for x in word_ids(p)] for t in texts]
+    for places in (False, True):
+        chunks = [b.to_pylist()[0] for b in en._to_chunks(1, places, iter(table.to_batches(max_chunksize=3)))]
+        assert [c["chunk"] for c in chunks] == [(3 << 32) + i for i in range(len(chunks))] and (len(chunks) > 2) == (size < 100 or words < 100)
+        entries = pa.Table.from_batches(en._chunk_words(iter([pa.RecordBatch.from_pylist([{"chunk": c["chunk"], "words": c["words"]} for c in chunks])])))
+        assert entries.num_rows == sum(c["n"] for c in chunks)
+        seen = []
+        real = en.encode_word
+        monkeypatch.setattr(en, "encode_word", lambda w, *a: seen.append(w) or real(w, *a))
+        en._entry(ABC)[3].clear()
+        coded = pa.Table.from_batches(en._code_words(Shared, share, entries.num_rows, iter(entries.sort_by("word").to_batches(max_chunksize=2)))).to_pylist()
+        monkeypatch.setattr(en, "encode_word", real)
+        assert sorted(seen) == sorted({p for t in texts for p in t or [] if p != " "})           # each once
+        hot = [c["pack"] for c in coded if c["chunk"] is None]
+        met = entries.column("word").to_pylist()
+        assert sorted(packs.unpack(h)[0][0].as_py() for h in hot) == sorted(w for w in {*met} if met.count(w) * share > len(met))
+        rows = [{"words": c["words"], "texts": c["texts"], "parts": [x["pack"] for x in coded if x["chunk"] == c["chunk"]] or None, "hot": hot} for c in chunks]
+        schema = pa.schema([("words", pa.binary()), ("texts", pa.binary()), ("parts", pa.list_(pa.binary())), ("hot", pa.list_(pa.binary()))])
+        out = pa.Table.from_batches(en._text_ids(1, places, ["k", "ids"], iter(pa.Table.from_pylist(rows, schema).to_batches()))).to_pylist()
+        assert [r["k"] for r in out] == [*range(8)]
+        if not places:
+            assert [r["ids"] for r in out] == want
+            continue
+        for r, t, ids in zip(out, texts, want):
+            counts, found = (c[0].as_py() for c in packs.unpack(r["ids"]))
+            assert found == ids and counts == [0 if p == " " else len(word_ids(p)) for p in t or []]
+        lists = pa.array([[r["ids"]] for r in out] + [None, [out[0]["ids"], out[4]["ids"]]])
+        merged = [x for b in en._unpacked_ids_udf.func(iter([lists])) for x in b.to_pylist()]
+        both = sorted([(0, word_ids("ab")), (2, word_ids("c")), (4, word_ids("ab")), (0, word_ids("abc")), (1, word_ids(",")), (2, word_ids("ab"))])
+        assert merged == [*want, [], [x for _, i in both for x in i]]
+
+
+def test_a_lost_word_is_an_error():
+    texts = packs.pack([pa.array([1]), pa.array([[1]], pa.list_(pa.int32()))])
+    row = {"words": packs.pack([pa.array(["ab"])]), "texts": texts, "parts": None, "hot": []}
+    schema = pa.schema([("words", pa.binary()), ("texts", pa.binary()), ("parts", pa.list_(pa.binary())), ("hot", pa.list_(pa.binary()))])
+    with pytest.raises(RuntimeError, match="dictionary"):
+        list(en._text_ids(1, False, ["k", "ids"], iter(pa.Table.from_pylist([row], schema).to_batches())))
+
+
+def test_dictionary_takes_little_disk(spark):
+    """Checkpoints and shuffles of the whole job, against the text."""
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=rnd.randint(2, 7)))
+    common, rows = [word() for _ in range(3000)], []
+    for i in range(60):
+        rows.append((i, " ".join(common[int(x)] for x in np.random.default_rng(i).zipf(1.3, 1500) % 3000)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    text = sum(len(t) for _, t in rows)
+
+    def kept():
+        folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(folder) for f in files)
+    before = kept()
+    got = en.encode_dictionary(spark, df, ABC)
+    found, written = shuffled(got)
+    assert sorted(((r.doc_id, list(r.ids)) for r in found), key=str) == by_dictionary(rows)
+    assert 0 < kept() - before < text and written < text

@@ -169,7 +169,8 @@ def test_chunks_and_their_words(monkeypatch, share, size, words):
     for places in (False, True):
         chunks = [b.to_pylist()[0] for b in en._to_chunks(1, places, iter(table.to_batches(max_chunksize=3)))]
         assert [c["chunk"] for c in chunks] == [(3 << 32) + i for i in range(len(chunks))] and (len(chunks) > 2) == (size < 100 or words < 100)
-        entries = pa.Table.from_batches(en._chunk_words(iter([pa.RecordBatch.from_pylist([{"chunk": c["chunk"], "words": c["words"]} for c in chunks])])))
+        dealt = pa.Table.from_batches(en._chunk_words(2, iter([pa.RecordBatch.from_pylist([{"chunk": c["chunk"], "words": c["words"]} for c in chunks])])))
+        entries = pa.Table.from_batches(en._unpack_words(iter(dealt.select(["chunk", "pack"]).to_batches())))
         assert entries.num_rows == sum(c["n"] for c in chunks)
         seen = []
         real = en.encode_word
